@@ -22,7 +22,6 @@ PLAIN_ENTITIES = {
 OTHER_ENTITY = r"&(?!(?:lt|gt|quot|apos|#39|nbsp|copy|middot|amp);)(?:#|[a-zA-Z])"
 
 
-@F.pandas_udf("string")
 def _decode_all(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
@@ -33,7 +32,7 @@ def decode_entities(text: Column) -> Column:
     plain = text
     for entity, char in PLAIN_ENTITIES.items():
         plain = F.replace(plain, F.lit(entity), F.lit(char))
-    return F.when(rare, _decode_all(F.when(rare, text))).otherwise(plain)
+    return F.when(rare, F.pandas_udf(_decode_all, "string")(F.when(rare, text))).otherwise(plain)
 
 
 def html_text(markup: Column) -> Column:

@@ -16,6 +16,7 @@ from passagemill.options import RAG_PROMPT
 # The white space of Unicode plus the four separators x1c-x1f.
 SPACE = r"(?U)[\s\x1c-\x1f]"
 WORD = r"(?U)[^\s\x1c-\x1f]+"
+FILLED = r"(?U)[^\s\x00\x1c-\x1f]"
 TERM = r"[\p{L}\p{N}]+"
 EMPTY_ID = "unknown_file_component"
 
@@ -27,8 +28,8 @@ def clean_text(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    """True for null and for text of white space only."""
-    return ~F.coalesce(text.rlike(WORD), F.lit(False))
+    """True for null and for text of white space and NULs only."""
+    return ~F.coalesce(text.rlike(FILLED), F.lit(False))
 
 
 def words(text: Column) -> Column:

@@ -126,8 +126,23 @@ def score_block(metric: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def sparse_to_dense(sparse: Column, dim: int) -> Column:
-    """A ``map<int, float>`` as an array; indices outside ``0..dim-1`` are ignored."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_element_at(sparse, i).cast("float"), F.lit(0.0).cast("float")),
-    )
+    """A ``map<int, float>`` as an array; indices outside ``0..dim-1`` are ignored.
+
+    Stored values in index order, each after the zeros of its gap.
+    """
+    zero = F.lit(0.0).cast("float")
+    inside = F.filter(F.map_entries(sparse), lambda e: (e["key"] >= 0) & (e["key"] < dim))
+
+    def filled(entries: Column) -> Column:
+        key = lambda i: F.coalesce(F.get(entries, i)["key"], F.lit(-1))
+        runs = F.transform(
+            entries,
+            lambda e, i: F.concat(
+                F.array_repeat(zero, e["key"] - F.when(i > 0, key(i - 1)).otherwise(F.lit(-1)) - 1),
+                F.array(e["value"].cast("float")),
+            ),
+        )
+        last = F.when(F.size(entries) > 0, key(F.size(entries) - 1)).otherwise(F.lit(-1))
+        return F.concat(F.flatten(runs), F.array_repeat(zero, F.lit(dim - 1) - last))
+
+    return F.element_at(F.transform(F.array(F.array_sort(inside)), filled), 1)

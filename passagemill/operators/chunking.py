@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from passagemill import options as opt
 from passagemill import schemas
 from passagemill.functions import text as tx
-from passagemill.functions.vectors import term_codes
+from passagemill.functions.vectors import SCORE_DECIMALS, term_codes
 from passagemill.operators import sentences as sen
 from passagemill.operators.boundaries import group_starts
 
@@ -24,6 +24,16 @@ PIECES = "__pieces"
 FAILURE = "__failure"
 
 
+def threshold_of(threshold: float | str, sim: Column) -> Column:
+    """Aggregate that resolves a similarity threshold per group of similarities."""
+    value = opt.parse_threshold(threshold)
+    if value == "auto":
+        return F.round(F.avg(sim) - F.stddev_pop(sim), SCORE_DECIMALS)
+    if value > 1:
+        return F.round(F.percentile(sim, F.lit(value / 100)), SCORE_DECIMALS)
+    return F.first(F.lit(value))
+
+
 def pieces_by_similarity(parts: DataFrame, o: opt.SemanticOptions) -> DataFrame:
     """Sentences grouped by topic; adds the ``PIECES`` array."""
     skip = getattr(o, "skip_window", 0)

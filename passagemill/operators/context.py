@@ -11,11 +11,14 @@ from passagemill import options as opt
 from passagemill import schemas
 from passagemill.functions import text as tx
 
-BY_RANK = Window.partitionBy("query_id").orderBy("rank")
 NO_SOURCES = "No sources were cited in the LLM context."
 LEGEND_HEAD = "\n--- Sources Referenced in LLM Context ---"
 
 
+def by_rank():
+    return Window.partitionBy("query_id").orderBy("rank")
+
+
 def packed_hits(
     hits: DataFrame,
     max_tokens: int = opt.MAX_CONTEXT_TOKENS,
@@ -27,14 +30,14 @@ def packed_hits(
     running sum says the same, since counts are not negative.
     """
     usable = hits.filter(~tx.is_blank(F.col("text")))
-    tagged = usable.withColumn("tag_id", F.row_number().over(BY_RANK))
+    tagged = usable.withColumn("tag_id", F.row_number().over(by_rank()))
     if counter is None:
         # A tag is two words and a text at least one, so later hits cannot fit.
         # This lets Spark cut long hit lists before the shuffle.
         tagged = tagged.filter(F.col("tag_id") <= max_tokens // 3 + 1)
     block = tagged.withColumn("block", tx.source_block(F.col("tag_id"), F.col("text")))
     counted = block.withColumn("block_tokens", tx.count_tokens(F.col("block"), counter))
-    running = BY_RANK.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = by_rank().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return counted.withColumn("total_tokens", F.sum("block_tokens").over(running)).filter(
         F.col("total_tokens") <= max_tokens
     )
@@ -153,7 +156,7 @@ def select_explore_chunks(hits: DataFrame, m: int = opt.EXPLORE_CHUNKS, reranked
 
 def explore_blocks(selected: DataFrame) -> DataFrame:
     """Numbered blocks; a blank hit is left out but keeps its number."""
-    numbered = selected.withColumn("number", F.row_number().over(BY_RANK))
+    numbered = selected.withColumn("number", F.row_number().over(by_rank()))
     filled = numbered.filter(F.coalesce(F.col("text"), F.lit("")) != "")
     name = display_name(selected, F.col("number") - 1)
     block = F.concat(
