@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["scalars", "chunking", "embedding", "searching", "classification", "contexts"]
+MODULES = ["sources", "stores", "scalars", "chunking", "embedding", "searching", "classification", "contexts", "training"]
 
 
 def check(name: str, sql: str | None = None):

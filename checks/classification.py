@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import check
-from checks.frames import questions, rich_hits, rounded, table, token_chunks
+from checks.frames import rich_hits, table, token_chunks
 from checks.twins import cosine, twin, vector
 from passagemill.operators import classify as cl
 
@@ -15,7 +15,7 @@ names AS (SELECT DISTINCT p_name AS label FROM part UNION SELECT DISTINCT p_type
 name_vec AS ({vector('names', 'label', 'label', name='query_id')}),
 name_ids AS (SELECT label AS query_id FROM names),
 label_scores AS (
-  SELECT chunk_id, query_id AS label, score AS cos, round((1 + score) / 2, 9) AS score
+  SELECT chunk_id, query_id AS label, score AS cos, (1 + score) / 2 AS score
   FROM ({cosine('name_vec', 'chunk_vec', 'name_ids', 'chunks')})),
 soft AS (
   SELECT chunk_id, label, round(exp(cos) / sum(exp(cos)) OVER (PARTITION BY chunk_id), 9) AS score FROM label_scores),
@@ -38,30 +38,30 @@ def classified(spark, d, **options):
 
 @check(
     "classify_zero_shot",
-    twin("SELECT chunk_id, (place - 1)::INTEGER AS place, label, round(score, 6) AS score FROM ordered", _LABELS),
+    twin("SELECT chunk_id, (place - 1)::INTEGER AS place, label, score FROM ordered", _LABELS),
 )
 def classify_multi(spark, d):
     rows = classified(spark, d).select("chunk_id", F.posexplode(F.arrays_zip("labels", "scores")).alias("place", "x"))
-    return rows.select("chunk_id", "place", "x.labels", rounded("x.scores").alias("score")).withColumnRenamed("labels", "label")
+    return rows.select("chunk_id", "place", "x.labels", F.col("x.scores").alias("score")).withColumnRenamed("labels", "label")
 
 
 @check(
     "classify_single_label",
-    twin("SELECT chunk_id, label, round(score, 6) AS score FROM soft", _LABELS),
+    twin("SELECT chunk_id, label, score FROM soft", _LABELS),
 )
 def classify_single(spark, d):
     rows = classified(spark, d, multi_label=False).select("chunk_id", F.explode(F.arrays_zip("labels", "scores")).alias("x"))
-    return rows.select("chunk_id", F.col("x.labels").alias("label"), rounded("x.scores").alias("score"))
+    return rows.select("chunk_id", F.col("x.labels").alias("label"), F.col("x.scores").alias("score"))
 
 
 @check(
     "top_label",
     twin(
-        "SELECT chunk_id, label AS top_label, round(score, 6) AS top_label_score FROM ordered WHERE place = 1", _LABELS
+        "SELECT chunk_id, label AS top_label, score AS top_label_score FROM ordered WHERE place = 1", _LABELS
     ),
 )
 def top(spark, d):
-    return classified(spark, d).select("chunk_id", "top_label", rounded("top_label_score").alias("top_label_score"))
+    return classified(spark, d).select("chunk_id", "top_label", "top_label_score")
 
 
 _FAILS = "text LIKE '%ing%'"

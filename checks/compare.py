@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 import time
+from collections import Counter
 
 import duckdb
 
@@ -57,8 +58,8 @@ def differences(spark, db, name: str, folder: str) -> str | None:
     theirs = sorted(tuple(_cell(r[c]) for c in columns) for r in twin)
     if mine == theirs:
         return None
-    extra = [r for r in mine if r not in set(theirs)][:2]
-    missing = [r for r in theirs if r not in set(mine)][:2]
+    here, there = Counter(mine), Counter(theirs)
+    extra, missing = list((here - there))[:2], list((there - here))[:2]
     return f"{len(mine)} and {len(theirs)} rows\n   only here {str(extra)[:700]}\n   only there {str(missing)[:700]}"
 
 

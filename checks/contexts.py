@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import check
-from checks.frames import questions, rich_hits, rounded, store, token_chunks, written_store
+from checks.frames import questions, rich_hits, store, token_chunks, written_store
 from checks.searching import BM25
 from checks.twins import tokens, twin
 from passagemill.operators import context as ctx

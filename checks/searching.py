@@ -11,7 +11,6 @@ from checks.frames import (
     question_vectors,
     questions,
     rich_hits,
-    rounded,
     token_chunks,
     written_store,
 )
@@ -19,11 +18,11 @@ from checks.twins import terms, topk, twin
 from passagemill.operators.rerank import rerank, rerank_or_initial, usable_hits
 from passagemill.operators.search import get_chunks, hydrate_hits, knn_graph, search
 
-_HITS = "SELECT query_id, rank::INTEGER AS rank, chunk_id, round(score, 6) AS score FROM {}"
+_HITS = "SELECT query_id, rank::INTEGER AS rank, chunk_id, score FROM {}"
 
 
 def _shown(hits):
-    return hits.select("query_id", "rank", "chunk_id", rounded("score").alias("score"))
+    return hits.select("query_id", "rank", "chunk_id", "score")
 
 
 @check("search_topk", twin(_HITS.format("top"), f"top AS ({topk('scores', 5)})"))
@@ -35,7 +34,7 @@ def search_topk(spark, d):
     "search_threshold",
     twin(
         """SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INTEGER AS rank,
-             chunk_id, round(score, 6) AS score FROM scores WHERE score >= 0.6"""
+             chunk_id, score FROM scores WHERE score >= 0.6"""
     ),
 )
 def search_threshold(spark, d):
@@ -152,14 +151,14 @@ reranked AS (
 @check(
     "rerank",
     twin(
-        """SELECT query_id, rank::INTEGER AS rank, initial_rank::INTEGER AS initial_rank, chunk_id, round(score, 6) AS score
+        """SELECT query_id, rank::INTEGER AS rank, initial_rank::INTEGER AS initial_rank, chunk_id, score
            FROM reranked""",
         BM25,
     ),
 )
 def rerank_bm25(spark, d):
     better = rerank(rich_hits(spark, d), questions(spark, d), token_chunks(spark, d))
-    return better.select("query_id", "rank", "initial_rank", "chunk_id", rounded("rerank_score").alias("score"))
+    return better.select("query_id", "rank", "initial_rank", "chunk_id", F.col("rerank_score").alias("score"))
 
 
 @check(

@@ -53,25 +53,22 @@ def sanitize_id(name: Column) -> Column:
     """A name reduced to letters, digits, ``_``, ``.`` and ``-``."""
     kept = F.regexp_replace(name.cast("string"), "[^0-9a-zA-Z_.-]+", "_")
     bare = F.regexp_replace(F.regexp_replace(kept, "_{2,}", "_"), "^[_.-]+|[_.-]+$", "")
-    return F.when(bare == "", F.lit(EMPTY_ID)).otherwise(bare)
+    return F.regexp_replace(bare, "^$", EMPTY_ID)
 
 
-def part_id_suffix(locations: Mapping[str, Column]) -> Column:
-    """``_``-joined location marks, e.g. ``pag3`` or ``sheQ1_row7``; empty if none."""
+def part_id(source_file: Column, locations: Mapping[str, Column], part_order: Column, parts_in_file: Column) -> Column:
+    """Id of a part: its file, then its location, else its number when not alone.
+
+    A location mark is three letters of its name and its value, e.g. ``pag3``
+    or ``sheQ1_row7``.
+    """
     marks = [
         F.concat(F.lit(name.split("_")[0][:3]), F.substring(sanitize_id(value), 1, 15))
         for name, value in locations.items()
     ]
-    return F.concat_ws("_", *marks)
-
-
-def part_id(source_file: Column, locations: Mapping[str, Column], part_order: Column, parts_in_file: Column) -> Column:
-    """Id of a part: its file, then its location, else its number when not alone."""
-    suffix = part_id_suffix(locations)
-    numbered = F.when(parts_in_file > 1, F.concat(F.lit("docpart"), part_order.cast("string")))
-    return sanitize_id(
-        F.concat_ws("_", sanitize_id(source_file), F.when(suffix != "", suffix).otherwise(numbered))
-    )
+    nowhere = F.coalesce(*[v.cast("string") for v in locations.values()], F.lit(None)).isNull()
+    number = F.when(nowhere & (parts_in_file > 1), F.concat(F.lit("docpart"), part_order.cast("string")))
+    return sanitize_id(F.concat_ws("_", sanitize_id(source_file), *marks, number))
 
 
 def chunk_id(part: Column, order: Column) -> Column:

@@ -80,7 +80,7 @@ def _hashed_scores(labels: np.ndarray, multi_label: bool):
     def score(vectors: pa.Array) -> pa.Array:
         cosines = vec.score_block("cosine", vec.matrix_of(vectors), labels)
         if multi_label:
-            return vec.lists_of(np.round((1.0 + cosines) / 2.0, vec.SCORE_DECIMALS), pa.float64())
+            return vec.lists_of((1.0 + cosines) / 2.0, pa.float64())
         powers = np.exp(cosines)
         share = powers / powers.sum(axis=1, keepdims=True)
         return vec.lists_of(np.round(share, vec.SCORE_DECIMALS), pa.float64())

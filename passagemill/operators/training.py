@@ -41,9 +41,10 @@ def featurize_corpus(
     """
     spark = passages.sparkSession
     chosen = passages.select("passage_id", "text")
-    # The cap is the operator's own; passages are taken by id, so that a
-    # resumed run picks the same ones.
-    chosen = chosen.orderBy("passage_id").limit(max_means)
+    # The cap is the operator's own. Passages are taken by id, so that a
+    # resumed run picks the same ones; only ids are sorted to find the last.
+    last = chosen.select("passage_id").orderBy("passage_id").limit(max_means).agg(F.max("passage_id")).scalar()
+    chosen = chosen.filter(F.col("passage_id") <= last)
     try:
         done = spark.read.parquet(out_path).select("passage_id")
         todo = chosen.join(done, "passage_id", "left_anti")

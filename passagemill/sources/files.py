@@ -83,7 +83,8 @@ def sniff(content: Column, extension: Column) -> Column:
     Rules over magic numbers and openings; guesses at text formats are only
     made for names without a known extension and for plain text.
     """
-    head = as_text(F.substring(content, 1, SNIFFED_BYTES))
+    # The cut may split a character, which is no sign of broken text.
+    head = F.regexp_replace(as_text(F.substring(content, 1, SNIFFED_BYTES)), "\ufffd{1,3}\\z", "")
     start = F.ltrim(F.regexp_replace(head, "^﻿", ""))
     opening = F.lower(F.regexp_replace(F.substring(start, 1, 256), r"^\s+", ""))
     first_bytes = F.hex(F.substring(content, 1, 8))
@@ -99,10 +100,16 @@ def sniff(content: Column, extension: Column) -> Column:
             total = total + f
         return total
 
+    # A comma table has a line of short names, then lines of as many cells.
     commas = F.transform(
-        F.slice(F.filter(F.split(head, r"\r?\n"), lambda line: line != ""), 1, 5), lambda line: F.regexp_count(line, F.lit(","))
+        F.slice(F.filter(F.split(head, r"\r?\n"), lambda line: line != ""), 1, 5),
+        lambda line: F.regexp_count(line, F.lit(",")),
+    )
+    even = (
+        head.rlike(r'^"?[\p{L}_][\w -]{0,39}"?(,"?[\p{L}_][\w -]{0,39}"?)+\r?\n')
+        & (F.size(commas) >= 3)
+        & (F.array_min(commas) == F.array_max(commas))
     )
-    even = (F.size(commas) >= 3) & (F.get(commas, F.lit(0)) >= 1) & (F.array_min(commas) == F.array_max(commas))
     is_json = opening.rlike(r"^[\[{]") & F.try_parse_json(as_text(content)).isNotNull()
     zipped = first_bytes.startswith("504B0304")
     return (
