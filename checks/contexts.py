@@ -122,8 +122,9 @@ def legend(spark, d):
     ),
 )
 def select_explore(spark, d):
-    hits = rich_hits(spark, d)
-    better = rerank(hits, questions(spark, d).filter(F.col("query_id") % 2 == 0), token_chunks(spark, d))
+    stored = written_store(spark, d)
+    hits = rich_hits(spark, d, stored)
+    better = rerank(hits, questions(spark, d).filter(F.col("query_id") % 2 == 0), stored)
     return ctx.select_explore_chunks(hits, 7, better).select("query_id", "rank", "chunk_id")
 
 

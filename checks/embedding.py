@@ -11,6 +11,7 @@ from checks.twins import hash_of, terms, twin
 from passagemill.functions import text as tx
 from passagemill.functions import vectors as vec
 from passagemill.operators import embedding as emb
+from passagemill.session import materialize
 
 _LONG = "SELECT chunk_id, b::INTEGER AS bucket, v AS value FROM chunk_vec WHERE v <> 0"
 
@@ -58,7 +59,7 @@ def token_vectors(spark, d):
     ),
 )
 def embed_static(spark, d):
-    done = emb.embed_static(token_chunks(spark, d), "chunk_id", "text", token_vectors(spark, d))
+    done = emb.embed_static(token_chunks(spark, d), "chunk_id", "text", materialize(token_vectors(spark, d), "tokens"))
     filled = F.exists("vector", lambda x: x != 0)
     rows = done.filter(filled).select("chunk_id", F.posexplode("vector").alias("position", "value"))
     return rows.withColumn("value", rounded(F.col("value").cast("double"), 4) + F.lit(0.0))

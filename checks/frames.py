@@ -55,8 +55,8 @@ def found(spark: SparkSession, folder: str, **options) -> DataFrame:
     return search(question_vectors(spark, folder), store(spark, folder), **options)
 
 
-def rich_hits(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieve(questions(spark, folder), written_store(spark, folder))
+def rich_hits(spark: SparkSession, folder: str, stored: DataFrame | None = None) -> DataFrame:
+    return retrieve(questions(spark, folder), written_store(spark, folder) if stored is None else stored)
 
 
 def points(spark: SparkSession, folder: str) -> DataFrame:

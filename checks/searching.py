@@ -11,7 +11,6 @@ from checks.frames import (
     question_vectors,
     questions,
     rich_hits,
-    token_chunks,
     written_store,
 )
 from checks.twins import terms, topk, twin
@@ -157,7 +156,8 @@ reranked AS (
     ),
 )
 def rerank_bm25(spark, d):
-    better = rerank(rich_hits(spark, d), questions(spark, d), token_chunks(spark, d))
+    stored = written_store(spark, d)
+    better = rerank(rich_hits(spark, d, stored), questions(spark, d), stored)
     return better.select("query_id", "rank", "initial_rank", "chunk_id", F.col("rerank_score").alias("score"))
 
 
@@ -202,8 +202,9 @@ def rerank_hydrate(spark, d):
     ),
 )
 def rerank_fallback(spark, d):
-    hits = rich_hits(spark, d)
+    stored = written_store(spark, d)
+    hits = rich_hits(spark, d, stored)
     asked = questions(spark, d)
     silent = asked.withColumn("query", F.when(F.col("query_id") % 2 == 0, F.col("query")).otherwise(F.lit("")))
-    better = rerank(hits, silent, token_chunks(spark, d))
+    better = rerank(hits, silent, stored)
     return rerank_or_initial(better, hits).select("query_id", "rank", "chunk_id")

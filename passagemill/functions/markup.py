@@ -35,12 +35,17 @@ def decode_entities(text: Column) -> Column:
     return F.when(rare, F.pandas_udf(_decode_all, "string")(F.when(rare, text))).otherwise(plain)
 
 
-def html_text(markup: Column) -> Column:
-    """Visible text: no scripts, styles, comments or tags; cleaned."""
-    return clean_text(decode_entities(F.regexp_replace(markup, HTML_DROPPED, " ")))
+def without_html_tags(markup: Column) -> Column:
+    """No scripts, styles, comments or tags; references still encoded."""
+    return F.regexp_replace(markup, HTML_DROPPED, " ")
 
 
-def xml_text(markup: Column) -> Column:
-    """All text nodes, CDATA included; cleaned."""
-    open_cdata = F.regexp_replace(markup, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    return clean_text(decode_entities(F.regexp_replace(open_cdata, XML_DROPPED, " ")))
+def without_xml_tags(markup: Column) -> Column:
+    """All text nodes, CDATA included; references still encoded."""
+    return F.regexp_replace(F.regexp_replace(markup, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), XML_DROPPED, " ")
+
+
+def markup_text(stripped: Column) -> Column:
+    """Cleaned text of markup without its tags. Pass a column, not an
+    expression: it is read several times."""
+    return clean_text(decode_entities(stripped))

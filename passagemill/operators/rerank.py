@@ -30,27 +30,25 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
 
 
-def term_statistics(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(term, idf)`` of the wanted terms over all chunks."""
-    total = chunks.agg(F.count(F.lit(1)).alias("n")).scalar()
+def term_statistics(chunks: DataFrame, wanted: DataFrame, total: int) -> DataFrame:
+    """``(term, idf)`` of the wanted terms over all ``total`` chunks."""
     vocabulary = wanted.select("term").distinct()
     if vocabulary.count() <= BROADCAST_TERMS:
         vocabulary = F.broadcast(vocabulary)
     # Once per chunk and term; only wanted terms reach the shuffle.
     seen = chunks.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     counts = seen.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return counts.select("term", F.ln(1 + (total - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-
-
-def mean_length(chunks: DataFrame) -> DataFrame:
-    return chunks.agg(F.avg(F.size(terms(F.col("text")))).alias("mean_length"))
+    return counts.select("term", F.ln(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def bm25_scores(hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Adds ``rerank_score`` to hits ``(query_id, chunk_id, text, ...)``."""
     wanted = query_terms(queries)
-    idf = term_statistics(chunks, wanted)
-    average = mean_length(chunks).scalar()
+    size = chunks.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size(terms(F.col("text")))), F.lit(1.0)).alias("mean")
+    ).first()
+    idf = term_statistics(chunks, wanted, size["n"])
+    average = F.lit(max(size["mean"], 1e-9))
     words = hits.select("query_id", "chunk_id", terms(F.col("text")).alias("__terms"))
     counted = (
         words.select("query_id", "chunk_id", F.size("__terms").alias("__length"), F.explode("__terms").alias("term"))

@@ -238,9 +238,9 @@ def _blocked_pairs(
 
     def place(df: DataFrame, own: str, other: str, mine: str, theirs: str, key: str) -> DataFrame:
         sized = df.join(grid, "cell").withColumn(mine, F.pmod(F.xxhash64(key), F.col(own)).cast("int"))
-        return sized.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).select(
-            key, "vector", "cell", "left_block", "right_block"
-        )
+        met = sized.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        # New names for the columns, as both sides may stem from one frame.
+        return met.select(*[F.col(c).alias(c) for c in (key, "vector", "cell", "left_block", "right_block")])
 
     lefts = place(left, "left_blocks", "right_blocks", "left_block", "right_block", "q")
     rights = place(right, "right_blocks", "left_blocks", "right_block", "left_block", "s")

@@ -85,3 +85,13 @@ def conform(df: DataFrame, fields: dict[str, T.DataType]) -> DataFrame:
 def optional(df: DataFrame, name: str, dtype: T.DataType = S) -> Column:
     """The column when the frame has it, else a typed null."""
     return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters may use.
+
+    A filter on a plain projection is pushed below it, and so works the value
+    out a second time; it is not pushed through a generator.
+    """
+    kept = [c for c in df.columns if c != name]
+    return df.select(*kept, F.explode_outer(F.array(value)).alias(name))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from passagemill import schemas
 from passagemill.functions import text as tx
-from passagemill.functions.markup import html_text, xml_text
+from passagemill.functions.markup import markup_text, without_html_tags, without_xml_tags
 from passagemill.functions.ranking import distributed_row_number
 from passagemill.sources import files as fl
 from passagemill.sources.structured import PdfExtractor, structured_reader
@@ -37,11 +37,14 @@ def parse_files(files: DataFrame, pdf_extractor: PdfExtractor | None = None) ->
     reader = structured_reader(pdf_extractor)
     rows = split.lateralJoin(reader(parser.outer(), F.col("__bytes").outer())).drop("__bytes")
     raw = F.coalesce("__plain", "raw_text")
-    text = (
-        F.when(parser.isin(".html", ".epub"), html_text(F.when(parser.isin(".html", ".epub"), raw)))
-        .when(parser == ".xml", xml_text(raw))
-        .otherwise(tx.clean_text(raw))
+    stripped = (
+        F.when(parser.isin(".html", ".epub"), without_html_tags(raw))
+        .when(parser == ".xml", without_xml_tags(raw))
+        .otherwise(raw)
     )
+    markup = parser.isin(".html", ".epub", ".xml")
+    held = F.col("__stripped")
+    text = F.when(markup, markup_text(F.when(markup, held))).otherwise(tx.clean_text(held))
     kind = (
         F.when(parser.isin(fl.MARKDOWN_EXTENSIONS), F.lit("markdown"))
         .when(parser.isin(fl.CODE_EXTENSIONS), F.lit("code"))
@@ -50,11 +53,10 @@ def parse_files(files: DataFrame, pdf_extractor: PdfExtractor | None = None) ->
         .otherwise(F.col("content_type"))
     )
     return (
-        rows.withColumn("text", text)
-        .withColumn("content_type", kind)
+        schemas.computed_once(rows.withColumns({"content_type": kind, "__stripped": stripped}), "text", text)
         .withColumn("extraction_method", F.when(generic, F.lit("generic_text_fallback")))
         .withColumn("sheet_name", tx.sanitize_id(F.col("sheet_name")))
-        .drop("__plain", "raw_text")
+        .drop("__plain", "raw_text", "__stripped")
     )
 
 
@@ -115,17 +117,18 @@ def parts_from_table(
     locations: Mapping[str, Column] | None = None,
     part_order: Column | None = None,
     keep_newlines: bool = False,
+    cleaned: bool = False,
     **metadata: Column,
 ) -> DataFrame:
     """Rows of any table as ``doc_parts``.
 
     Rows of one source without locations are told apart by ``part_order``.
     """
-    cleaned = F.trim(text) if keep_newlines else tx.clean_text(text)
+    shown = text if cleaned else F.trim(text) if keep_newlines else tx.clean_text(text)
     places = dict(locations or {})
     rows = df.filter(~tx.is_blank(text)).select(
         source_file.alias("source_file"),
-        cleaned.alias("text"),
+        shown.alias("text"),
         (F.lit(0) if part_order is None else part_order).cast("bigint").alias("part_order"),
         *[c.cast(schemas.LOCATION_FIELDS[k]).alias(k) for k, c in places.items()],
         *[c.alias(k) for k, c in metadata.items()],
@@ -143,8 +146,15 @@ def table_row_parts(df: DataFrame, source_file: Column, row_index: Column, colum
     """Rows of a table as ``name: value`` parts."""
     types = dict(df.dtypes)
     shown = {c: tx.python_style(F.col(c), types[c]) for c in columns}
+    named = df.withColumns({"__source": source_file, "__index": row_index})
+    texts = schemas.computed_once(named, "__text", tx.row_to_text(shown))
     return parts_from_table(
-        df, source_file, tx.row_to_text(shown), locations={"row_index": row_index}, part_order=row_index
+        texts,
+        F.col("__source"),
+        F.col("__text"),
+        locations={"row_index": F.col("__index")},
+        part_order=F.col("__index"),
+        cleaned=True,
     )
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagemill.schemas import computed_once
+
 FILE_SCHEMA = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -56,7 +58,7 @@ def list_source_files(spark: SparkSession, root: str) -> DataFrame:
     """Files below ``root``: ``(source_file, path, modificationTime, length, content)``.
 
     Content is only read if a later step selects it. Spark itself leaves out
-    files whose name starts with ``_``.
+    files whose name starts with ``_``, and empty files.
     """
     scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return with_source_file(scan, root)
@@ -77,16 +79,21 @@ def as_text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def sniff(content: Column, extension: Column) -> Column:
+def head_of(content: Column) -> Column:
+    """The first characters. The cut may split one, which is no sign of broken text."""
+    return F.regexp_replace(as_text(F.substring(content, 1, SNIFFED_BYTES)), "\ufffd{1,3}\\z", "")
+
+
+def opening_of(head: Column) -> Column:
+    return F.lower(F.regexp_replace(F.substring(head, 1, 256), "^\ufeff?\\s*", ""))
+
+
+def sniff(content: Column, extension: Column, head: Column, opening: Column) -> Column:
     """``struct<label, group, score>`` from a file's first bytes.
 
     Rules over magic numbers and openings; guesses at text formats are only
     made for names without a known extension and for plain text.
     """
-    # The cut may split a character, which is no sign of broken text.
-    head = F.regexp_replace(as_text(F.substring(content, 1, SNIFFED_BYTES)), "\ufffd{1,3}\\z", "")
-    start = F.ltrim(F.regexp_replace(head, "^﻿", ""))
-    opening = F.lower(F.regexp_replace(F.substring(start, 1, 256), r"^\s+", ""))
     first_bytes = F.hex(F.substring(content, 1, 8))
     unsure = ~extension.isin([e for e in KNOWN_EXTENSIONS if e != ".txt"])
 
@@ -152,11 +159,14 @@ def parser_for(extension: Column, label: Column, score: Column) -> Column:
 def file_metadata(files: DataFrame) -> DataFrame:
     """Files with their base metadata; empty files are left out."""
     extension = F.col("file_extension")
-    sniffed = (
+    opened = (
         files.filter(F.col("length") > 0)
         .withColumn("file_extension", extension_of(F.col("source_file")))
-        .withColumn("__sniff", sniff(F.col("content"), extension))
+        .withColumn("__head", head_of(F.col("content")))
+        .withColumn("__opening", opening_of(F.col("__head")))
     )
+    found = sniff(F.col("content"), extension, F.col("__head"), F.col("__opening"))
+    sniffed = computed_once(opened, "__sniff", found)
     return sniffed.select(
         "source_file",
         "file_extension",
