@@ -87,7 +87,7 @@ def _merge_across(
     owner = part_of[group_first]
     index = np.arange(len(groups))
     reach = index.copy()
-    for j in range(1, skip_window + 1):
+    for j in range(1, min(skip_window, len(groups) - 1) + 1):
         left = index[: len(groups) - j]
         near = owner[left] == owner[left + j]
         near &= _cosine(groups[left], groups[left + j]) >= limits[owner[left]]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from passagemill import options as opt
 from passagemill.functions.text import terms
-from passagemill.operators.embedding import embed_with_model
+from passagemill.operators.embedding import STATIC_BROADCAST_BYTES, embed_with_model
 from passagemill.session import materialize
 
 
@@ -133,6 +133,10 @@ def _ridge_step(shares: DataFrame, residual: DataFrame, ridge: float) -> DataFra
 
 
 def _residuals(shares: DataFrame, vectors: DataFrame, targets: DataFrame) -> DataFrame:
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("d")).first()
+    # Frequent tokens would gather in few tasks of a shuffled join.
+    if size["n"] * size["d"] * 8 <= STATIC_BROADCAST_BYTES:
+        vectors = F.broadcast(vectors)
     predicted = (
         shares.join(vectors, "token")
         .withColumn("__v", array_to_vector("vector"))

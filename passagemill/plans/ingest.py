@@ -17,8 +17,7 @@ from passagemill.operators.embedding import embed_hashed
 from passagemill.operators.projection import project_2d, viz_points
 from passagemill.session import materialize
 from passagemill.sources import store as st
-from passagemill.sources.documents import parse_errors, parse_files, parts_of
-from passagemill.sources.files import list_source_files
+from passagemill.sources.documents import parse_errors, parse_folder, parts_of
 from passagemill.sources.structured import PdfExtractor
 
 
@@ -87,7 +86,7 @@ def run_ingest(spark: SparkSession, root: str, out: str, options: IngestOptions
     """
     options = options or IngestOptions()
     st.refuse_existing(spark, out, options.overwrite)
-    parsed = materialize(parse_files(list_source_files(spark, root), options.pdf_extractor), "parsed")
+    parsed = materialize(parse_folder(spark, root, pdf_extractor=options.pdf_extractor), "parsed")
     parse_errors(parsed).write.mode("overwrite").json(f"{out}/parse_errors")
     parts = parts_of(parsed)
     if parts.isEmpty():

@@ -17,6 +17,11 @@ from passagemill.sources.structured import PdfExtractor, structured_reader
 # Parsers done by column functions alone.
 PLAIN = fl.TEXT_EXTENSIONS + fl.MARKDOWN_EXTENSIONS + fl.CODE_EXTENSIONS + [".html", ".xml"]
 
+# JSON-lines files above this are read in splits.
+SPLIT_BYTES = 256 << 20
+# What one binary value can hold.
+MAX_WHOLE_BYTES = 2_000_000_000
+
 
 def parse_files(files: DataFrame, pdf_extractor: PdfExtractor | None = None) -> DataFrame:
     """Every part and every parse error of ``files``, in one scan.
@@ -60,6 +65,74 @@ def parse_files(files: DataFrame, pdf_extractor: PdfExtractor | None = None) ->
     )
 
 
+def parse_long_jsonl(spark: SparkSession, root: str, min_bytes: int) -> DataFrame:
+    """Parts of ``.jsonl`` files above ``min_bytes``, read in splits.
+
+    Lines are numbered over the splits of their file, then parsed one by one, so
+    the size of a file does not matter.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]")
+        .option("lineSep", "\n")
+        .text(root)
+    )
+    # The metadata path is encoded; a plus sign in it is a plus sign.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    placed = lines.filter(F.col("_metadata.file_size") > min_bytes).select(
+        fl.relative_path(path, root).alias("source_file"),
+        F.col("_metadata.file_modification_time").alias("file_last_modified"),
+        F.col("_metadata.file_size").alias("file_size_bytes"),
+        F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__in_block"),
+        "value",
+    )
+    wanted = placed.filter(fl.wanted_files(F.col("source_file")))
+    order = [F.col("__block"), F.col("__in_block")]
+    numbered = distributed_row_number(wanted, ["source_file"], order, "__line").drop("__block", "__in_block")
+    reader = structured_reader()
+    rows = numbered.lateralJoin(
+        reader(F.lit(".jsonl").outer(), F.encode(fl.as_text(F.col("value")), "UTF-8").outer())
+    )
+    filled = rows.withColumns(
+        {
+            "line_number": F.col("__line"),
+            "part_order": F.col("__line") * 1_000_000 + F.col("part_order"),
+            "file_extension": F.lit(".jsonl"),
+            "detected_type": F.lit("jsonl"),
+            "detected_group": F.lit("code"),
+            "detection_score": F.lit(0.9),
+            "parsing_type_used": F.lit(".jsonl"),
+            "text": tx.clean_text(F.col("raw_text")),
+        }
+    )
+    return filled.drop("value", "__line", "raw_text")
+
+
+def parse_folder(
+    spark: SparkSession,
+    root: str,
+    *,
+    pdf_extractor: PdfExtractor | None = None,
+    split_bytes: int = SPLIT_BYTES,
+) -> DataFrame:
+    """All parts and errors of a folder: files whole, long JSON-lines files in
+    splits. A file too long for one row is an error, not a failed job."""
+    files = fl.list_source_files(spark, root)
+    extension = fl.extension_of(F.col("source_file"))
+    by_lines = (extension == ".jsonl") & (F.col("length") > split_bytes)
+    whole = parse_files(files.filter((F.col("length") <= MAX_WHOLE_BYTES) & ~by_lines), pdf_extractor)
+    too_long = files.filter((F.col("length") > MAX_WHOLE_BYTES) & ~by_lines).select(
+        "source_file",
+        extension.alias("parsing_type_used"),
+        F.lit(f"longer than {MAX_WHOLE_BYTES} bytes").alias("error"),
+    )
+    parsed = whole.unionByName(too_long, allowMissingColumns=True)
+    if files.filter(by_lines).select("source_file").isEmpty():
+        return parsed
+    return parsed.unionByName(parse_long_jsonl(spark, root, split_bytes), allowMissingColumns=True)
+
+
 def parse_errors(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("error").isNotNull()).select("source_file", "parsing_type_used", "error")
 
@@ -105,7 +178,7 @@ def read_documents(
     spark: SparkSession, root: str, *, pdf_extractor: PdfExtractor | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``(doc_parts, parse_errors)`` of a folder."""
-    parsed = parse_files(fl.list_source_files(spark, root), pdf_extractor)
+    parsed = parse_folder(spark, root, pdf_extractor=pdf_extractor)
     return parts_of(parsed), parse_errors(parsed)
 
 

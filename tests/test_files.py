@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from passagemill.plans.ingest import IngestOptions, run_ingest
 from passagemill.plans.answer import chat_requests, parse_answers, rag_batch
 from passagemill.sources import store as st
-from passagemill.sources.documents import read_documents
+from passagemill.sources.documents import parse_folder, parts_of, read_documents
 from passagemill.sources.files import list_source_files
 from passagemill.streaming.incremental import current_chunks, incremental_ingest, refresh_store
 
@@ -50,6 +50,25 @@ def test_parts(spark, folder):
     assert [r["source_file"] for r in errors.collect()] == ["bad.json"]
 
 
+def test_long_jsonl_in_splits(spark, folder):
+    with open(os.path.join(folder, "many+ lines.jsonl"), "w") as f:
+        f.writelines(f'{{"n": {i}, "t": "{"x" * (i % 50)}"}}\n' + ("\n" if i % 9 == 0 else "") for i in range(3000))
+    columns = ["source_file", "part_id", "line_number", "json_path", "text", "content_type", "file_size_bytes"]
+
+    def rows(**options):
+        parts = parts_of(parse_folder(spark, folder, **options)).filter(F.lower("source_file").endswith(".jsonl"))
+        return sorted(map(str, parts.select(*columns).collect()))
+
+    whole = rows()
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        split = rows(split_bytes=1)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(whole) > 5800 and split == whole
+
+
 def test_ingest_default(spark, folder, tmp_path):
     out = str(tmp_path / "store")
     assert run_ingest(spark, folder, out)
