@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from passagemill import options as opt
 from passagemill import schemas
 from passagemill.functions import text as tx
+from passagemill.operators.search import BROADCAST_RESULTS
 
 NO_SOURCES = "No sources were cited in the LLM context."
 LEGEND_HEAD = "\n--- Sources Referenced in LLM Context ---"
@@ -112,9 +113,19 @@ def resolve_citations(answers: DataFrame, citations: DataFrame) -> DataFrame:
     return joined.withColumn("is_dangling", F.col("__known").isNull()).drop("__known")
 
 
-def cited_full_text(resolved: DataFrame, chunks: DataFrame, shown: int = 500) -> DataFrame:
-    """Text of a cited source: from its hit, else from the store."""
-    stored = chunks.select("chunk_id", F.col("text").alias("__stored"))
+def cited_full_text(
+    resolved: DataFrame, chunks: DataFrame, shown: int = 500, *, row_bound: int | None = None
+) -> DataFrame:
+    """Text of a cited source: from its hit, else from the store.
+
+    With a small enough ``row_bound`` on the citations the ids that lack a text
+    go to the chunk scan, and the store is not shuffled.
+    """
+    lacking = resolved.filter(F.col("text_from_search_result").isNull() & F.col("chunk_id").isNotNull())
+    wanted = lacking.select("chunk_id").distinct()
+    if row_bound is not None and row_bound <= BROADCAST_RESULTS:
+        wanted = F.broadcast(wanted)
+    stored = chunks.join(wanted, "chunk_id", "left_semi").select("chunk_id", F.col("text").alias("__stored"))
     joined = resolved.join(stored, "chunk_id", "left")
     full = F.coalesce("text_from_search_result", "__stored", "text_preview")
     return joined.withColumn("full_text", full).withColumn(

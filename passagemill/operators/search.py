@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,8 +30,8 @@ BROADCAST_BYTES = 64 << 20
 BROADCAST_RESULTS = 2_000_000
 # Scores held at once by a task.
 BLOCK_SCORES = 4_000_000
-# Tasks beyond which the top k are merged in two steps.
-TWO_STEP_TASKS = 512
+# Groups of tasks whose results are merged before the last merge.
+MERGE_GROUPS = 64
 
 
 def search(
@@ -142,11 +142,11 @@ def _topk_broadcast(
             pa.field("score", pa.float64()),
         ]
     )
-    candidates = store.mapInArrow(scan, hit_schema)
-    if store.rdd.getNumPartitions() > TWO_STEP_TASKS:
-        salted = candidates.withColumn("__task", F.spark_partition_id() % 64)
-        candidates = top_per_query(salted, k, ["query_id", "__task"]).drop("__task", "rank")
-    return top_per_query(candidates, k)
+    # Every task gives up to k rows per query. Groups of tasks are merged first,
+    # so that no query's final merge grows with the number of tasks.
+    candidates = store.mapInArrow(scan, hit_schema).withColumn("__tasks", F.spark_partition_id() % MERGE_GROUPS)
+    merged = top_per_query(candidates, k, ["query_id", "__tasks"]).drop("__tasks", "rank")
+    return top_per_query(merged, k)
 
 
 def _arrow_type(df: DataFrame, name: str) -> pa.DataType:
@@ -454,6 +454,3 @@ def knn_graph(points: DataFrame, *, k: int = opt.PLOT_NEIGHBORS, metric: str = "
     queries = points.select(F.col("chunk_id").alias("query_id"), "vector")
     return search(queries, points, metric=metric, k=k, exclude_same_id=True)
 
-
-def rank_column(keys: list[str], order: list[Column]) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
