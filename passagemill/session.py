@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,15 +33,37 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return configure(spark)
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    """Settings and code that a given session needs."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    ship_code(spark, "passagemill")
     return spark
 
 
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship_code(spark: SparkSession, package: str) -> None:
+    """Send a package beside this one to the Python workers, once per session.
+
+    The archive is only built on the driver; Spark copies it to the executors.
+    """
+    context = spark.sparkContext
+    if (context.applicationId, package) in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="passagemill-code-")) / f"{package}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted((root / package).rglob("*.py")):
+            z.write(source, source.relative_to(root).as_posix())
+    context.addPyFile(str(archive))
+    _shipped.add((context.applicationId, package))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can write to: ``spark.checkpoint.dir``.
 
