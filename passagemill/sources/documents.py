@@ -19,6 +19,8 @@ PLAIN = fl.TEXT_EXTENSIONS + fl.MARKDOWN_EXTENSIONS + fl.CODE_EXTENSIONS + [".ht
 
 # JSON-lines files above this are read in splits.
 SPLIT_BYTES = 256 << 20
+# Repaired ids that may be sent to every task.
+BROADCAST_REPAIRS = 1_000_000
 # What one binary value can hold.
 MAX_WHOLE_BYTES = 2_000_000_000
 
@@ -166,6 +168,12 @@ def unique_part_ids(parts: DataFrame) -> DataFrame:
     )
     numbered = distributed_row_number(places, ["part_id"], [F.col("source_file"), F.col("part_order")], "__place")
     later = numbered.filter(F.col("__place") > 1)
+    repaired = later.count()
+    if repaired == 0:
+        return parts
+    if repaired <= BROADCAST_REPAIRS:
+        # Few enough to send along; the texts then need not be shuffled.
+        later = F.broadcast(later)
     joined = parts.join(later, ["part_id", "source_file", "part_order"], "left")
     fixed = F.when(
         F.col("__place").isNotNull(),
