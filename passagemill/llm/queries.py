@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import bpe, exact_dedup, minhash, packing, quality, secret_scan, sharding, token_files, warc
+from passagemill.llm import bpe, exact_dedup, minhash, packing, quality, secret_scan, sharding, suffix_dedup, token_files, warc
 from passagemill.llm.common import text_of, with_row_id
 from passagemill.session import configure, load_table
 
@@ -94,6 +94,12 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(documents(spark, folder))
+    return left.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 @query("op4_byte_bpe")
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     rank_file = public_tokenizers.path("byte_bpe_50k.tiktoken")
