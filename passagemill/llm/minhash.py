@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import salted, text_of, with_row_id
+from passagemill.llm.common import lookup, salted, text_of, with_row_id
 from passagemill.session import materialize
 
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -41,6 +41,7 @@ class MinHashOptions:
     hashes: int = 2  # in a sub-key
     seed: int = 7
     bucket_keys: int = 2_000_000
+    broadcast_nodes: int = 500_000
     salts: int = 16
 
 
@@ -85,8 +86,8 @@ def hash_functions(options: MinHashOptions) -> np.ndarray:
     return draw.integers(0, 2**63, (count, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def table_keys(sets: list[np.ndarray], functions: np.ndarray, options: MinHashOptions) -> np.ndarray:
-    """Table keys (documents x tables) of sets that are not empty."""
+def sub_keys(sets: list[np.ndarray], functions: np.ndarray, options: MinHashOptions) -> np.ndarray:
+    """Sub-keys (documents x both collections) of sets that are not empty."""
     m, k = options.sub_keys, options.hashes
     flat = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
@@ -96,44 +97,64 @@ def table_keys(sets: list[np.ndarray], functions: np.ndarray, options: MinHashOp
         least[:, i] = np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts)
     sub = np.zeros((len(sets), 2 * m), np.uint64)
     for i in range(k):
-        sub = mixed(sub * SPREAD + least[:, i :: k])
-    left, right = sub[:, :m], sub[:, m:]
+        sub = mixed(sub * SPREAD + least[:, i::k])
+    return sub
+
+
+def table_keys(sub: np.ndarray, m: int) -> np.ndarray:
+    """Table keys (documents x tables): each pair of a sub-key of one collection and one of the other."""
+    left, right = sub[:, :m], mixed(sub[:, m:])
     table = np.arange(m * m, dtype=np.uint64).reshape(1, m, m)
-    return mixed(left[:, :, None] * SPREAD + mixed(right)[:, None, :] + table).reshape(len(sets), m * m)
+    return mixed(left[:, :, None] * SPREAD + right[:, None, :] + table).reshape(len(sub), m * m)
 
 
-def sets_of(docs: DataFrame, options: MinHashOptions, id_col: str, text: str) -> DataFrame:
-    """Rows (__row, doc_id, n_shingles, digest, shingles), written; texts are not kept."""
-    words = options.words
+def sketches(docs: DataFrame, options: MinHashOptions, id_col: str, text: str) -> DataFrame:
+    """Rows (__row, doc_id, n_shingles, digest, sub_keys), written; neither texts nor sets are kept."""
+    words, functions = options.words, hash_functions(options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t, words) for t in batch.column(2).to_pylist()]
-            raw = [s.astype("<u8").tobytes() for s in found]
+            full = [s for s in found if len(s)]
+            keys = iter(sub_keys(full, functions, options).astype("<u8") if full else ())
             columns = [
                 batch.column(0),
                 batch.column(1),
                 pa.array([len(s) for s in found], pa.int64()),
-                pa.array([xxhash.xxh3_128_digest(r) if r else None for r in raw], pa.binary()),
-                pa.array(raw, pa.binary()),
+                pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], pa.binary()),
+                pa.array([next(keys).tobytes() if len(s) else None for s in found], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["__row", "doc_id", "n_shingles", "digest", "shingles"])
+            yield pa.RecordBatch.from_arrays(columns, ["__row", "doc_id", "n_shingles", "digest", "sub_keys"])
 
     rows = docs.select("__row", F.col(id_col).alias("doc_id"), text_of(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    schema = f"__row bigint, doc_id {kind}, n_shingles bigint, digest binary, shingles binary"
-    return materialize(rows.mapInArrow(run, schema), "shingle-sets")
+    schema = f"__row bigint, doc_id {kind}, n_shingles bigint, digest binary, sub_keys binary"
+    return materialize(rows.mapInArrow(run, schema), "sketches")
+
+
+def sets_of(docs: DataFrame, pairs: DataFrame, options: MinHashOptions, text: str) -> DataFrame:
+    """The full sets (node, shingles) of the documents in candidate pairs, written."""
+    words = options.words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t, words).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("__row")).distinct()
+    rows = lookup(docs.select("__row", text_of(text).alias("text")), nodes, ["__row"], "left_semi", options.broadcast_nodes, 1)
+    return materialize(rows.select("__row", "text").mapInArrow(run, "node bigint, shingles binary"), "shingle-sets")
 
 
 def candidates(classes: DataFrame, options: MinHashOptions) -> DataFrame:
     """Pairs (a, b, tables) of class numbers that share table keys, less than two per member, table and step.
 
-    ``classes`` has (node, n_shingles, shingles). Keys leave a task in one
+    ``classes`` has (node, n_shingles, sub_keys). Keys leave a task in one
     packed row per bucket. Members of one key in the same batch meet there and
     only their first goes on, so a key that a third of all documents share
     reaches its bucket once per batch.
     """
-    functions, m = hash_functions(options), options.sub_keys
+    m = options.sub_keys
     buckets = max(1, -(-classes.count() * m * m // options.bucket_keys))
     buckets = max(buckets, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -167,8 +188,8 @@ def candidates(classes: DataFrame, options: MinHashOptions) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sets = [np.frombuffer(r, "<u8") for r in batch.column("shingles").to_pylist()]
-            keys = table_keys(sets, functions, options).reshape(-1)
+            sub = np.frombuffer(b"".join(batch.column("sub_keys").to_pylist()), "<u8").reshape(-1, 2 * m)
+            keys = table_keys(sub, m).reshape(-1)
             nodes = np.repeat(batch.column("node").to_numpy(), m * m)
             sizes = np.repeat(batch.column("n_shingles").to_numpy(), m * m)
             both, times, firsts = pairs(keys, nodes, sizes)
@@ -191,7 +212,7 @@ def candidates(classes: DataFrame, options: MinHashOptions) -> DataFrame:
         out = links(both, times) if len(both) else links(np.empty((0, 2), np.int64), np.empty(0, np.int64))
         return pa.Table.from_batches([out]).select(["a", "b", "tables"])
 
-    sent = materialize(classes.select("node", "n_shingles", "shingles").mapInArrow(spread, schema), "table-keys")
+    sent = materialize(classes.select("node", "n_shingles", "sub_keys").mapInArrow(spread, schema), "table-keys")
     local = sent.filter("bucket IS NULL").select("a", "b", "tables")
     met = sent.filter("bucket IS NOT NULL").select("bucket", "members").groupBy("bucket").applyInArrow(
         meet, "a bigint, b bigint, tables bigint"
@@ -199,7 +220,7 @@ def candidates(classes: DataFrame, options: MinHashOptions) -> DataFrame:
     return local.union(met).groupBy("a", "b").agg(F.sum("tables").alias("tables"))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, options: MinHashOptions) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, options: MinHashOptions) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     percent = options.percent
 
@@ -214,8 +235,8 @@ def confirmed(pairs: DataFrame, classes: DataFrame, options: MinHashOptions) ->
                 keep.append(100 * same >= percent * (len(every) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = classes.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = classes.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return both.mapInArrow(run, "a bigint, b bigint")
 
@@ -247,19 +268,20 @@ def components(links: DataFrame, salts: int) -> DataFrame:
             return labels
 
 
-def linked(classes: DataFrame, options: MinHashOptions) -> DataFrame:
+def linked(docs: DataFrame, classes: DataFrame, options: MinHashOptions, text: str) -> DataFrame:
     """(node, label) of all classes in a component of two or more."""
     pairs = materialize(candidates(classes, options), "candidates")
+    sets = sets_of(docs, pairs, options, text)
     # First each node with the partner that it meets in most tables, among smaller nodes.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("tables", -F.col("a"))).alias("a")).select("a", "b")
-    first = materialize(confirmed(best, classes, options), "links-1")
+    first = materialize(confirmed(best, sets, options), "links-1")
     labels = components(first, options.salts)
     rest = salted(pairs.select("a", "b"), labels.select(F.col("node").alias("a"), F.col("label").alias("la")), ["a"], "left", options.salts)
     rest = salted(rest, labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), ["b"], "left", options.salts)
     same = F.coalesce(F.col("la"), F.col("a")) == F.coalesce(F.col("lb"), F.col("b"))
     open_pairs = rest.filter(~same).select("a", "b")
     tried = open_pairs.join(best, ["a", "b"], "left_anti")
-    second = materialize(confirmed(tried, classes, options), "links-2")
+    second = materialize(confirmed(tried, sets, options), "links-2")
     if second.isEmpty():
         return labels
     # Components of the first links are the nodes now.
@@ -285,22 +307,19 @@ def groups(docs: DataFrame, options: MinHashOptions | None = None, id_col: str =
     table. Texts of any length enter whole.
     """
     options = options or MinHashOptions()
-    sets = sets_of(docs, options, id_col, text)
-    full = sets.filter("digest IS NOT NULL")
+    rows = sketches(docs, options, id_col, text)
+    full = rows.filter("digest IS NOT NULL")
     # The row of its smallest document stands for a class.
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
-    classes = full.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes.withColumn("node", F.col("first.__row")), "classes")
-    firsts = full.select("__row", "n_shingles", "shingles").join(
-        classes.select(F.col("node").alias("__row")), "__row", "left_semi"
-    ).withColumnRenamed("__row", "node")
-    firsts = materialize(firsts, "class-sets")
-    labels = materialize(linked(firsts, options), "components")
+    classes = materialize(full.groupBy("digest").agg(F.min(order).alias("first")), "classes")
+    classes = classes.withColumn("node", F.col("first.__row"))
+    firsts = full.select(F.col("__row").alias("node"), "n_shingles", "sub_keys").join(classes.select("node"), "node", "left_semi")
+    labels = materialize(linked(docs, materialize(firsts, "class-sketches"), options, text), "components")
     # The smallest document over all classes of a component.
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("first").alias("least"))
     by_class = salted(named.select("digest", "label"), least, ["label"], "inner", options.salts).select("digest", "least")
-    told = salted(sets.drop("shingles"), by_class, ["digest"], "left", options.salts)
+    told = salted(rows.drop("sub_keys"), by_class, ["digest"], "left", options.salts)
     alone = F.col("least").isNull()
     return told.select(
         "__row",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from passagemill.llm import bpe, exact_dedup, minhash, packing, quality, secret_scan, sharding, suffix_dedup, token_files, warc
 from passagemill.llm.common import text_of, with_row_id
-from passagemill.session import configure, load_table
+from passagemill.session import configure, load_table, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,5 +216,5 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_minhash")
 def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
-    docs = with_row_id(documents(spark, folder).select("doc_id", "text"))
+    docs = materialize(with_row_id(documents(spark, folder).select("doc_id", "text")), "numbered")
     return minhash.groups(docs, minhash.MinHashOptions(words=2)).drop("__row")
