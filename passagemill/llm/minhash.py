@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from passagemill.llm.common import lookup, salted, text_of, with_row_id
 from passagemill.session import materialize
 
+SLICE = 1024  # documents worked on at a time
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -57,7 +58,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 500_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = found
         return found
@@ -113,7 +114,7 @@ def sketches(docs: DataFrame, options: MinHashOptions, id_col: str, text: str) -
     words, functions = options.words, hash_functions(options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces_of(batches, SLICE):
             found = [shingles(t, words) for t in batch.column(2).to_pylist()]
             full = [s for s in found if len(s)]
             keys = iter(sub_keys(full, functions, options).astype("<u8") if full else ())
@@ -146,6 +147,13 @@ def sets_of(docs: DataFrame, pairs: DataFrame, options: MinHashOptions, text: st
     return materialize(rows.select("__row", "text").mapInArrow(run, "node bigint, shingles binary"), "shingle-sets")
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of ``rows`` at most, to bound the memory of what is made of them."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def candidates(classes: DataFrame, options: MinHashOptions) -> DataFrame:
     """Pairs (a, b, tables) of class numbers that share table keys, less than two per member, table and step.
 
@@ -185,9 +193,7 @@ def candidates(classes: DataFrame, options: MinHashOptions) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, names)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in pieces_of(batches, SLICE):
             sub = np.frombuffer(b"".join(batch.column("sub_keys").to_pylist()), "<u8").reshape(-1, 2 * m)
             keys = table_keys(sub, m).reshape(-1)
             nodes = np.repeat(batch.column("node").to_numpy(), m * m)
