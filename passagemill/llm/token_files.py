@@ -67,18 +67,19 @@ def unpack_numbers(control: bytes, data: bytes, n: int) -> np.ndarray:
 def pack_block(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     """A block of documents; ids are little-endian unsigned 32-bit numbers."""
     every = np.frombuffer(b"".join(ids), "<u4")
-    known, place, counts = np.unique(every, return_inverse=True, return_counts=True)
-    by_rank = np.lexsort((known, -counts))
-    rank = np.empty(len(known), np.uint32)
-    rank[by_rank] = np.arange(len(known), dtype=np.uint32)
-    control, data = pack_numbers(rank[place])
+    counts = np.bincount(every)  # as long as the vocabulary
+    known = np.flatnonzero(counts)
+    by_rank = known[np.argsort(-counts[known], kind="stable")]
+    rank = np.zeros(len(counts), np.uint32)
+    rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+    control, data = pack_numbers(rank[every])
     return b"".join(
         [
             HEAD.pack(MAGIC, len(doc_ids), len(known), len(every), len(data)),
             np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(),
             bytes(d is None for d in doc_ids),
             np.array([len(x) // 4 for x in ids], "<u8").tobytes(),
-            known[by_rank].astype("<u4").tobytes(),
+            by_rank.astype("<u4").tobytes(),
             control,
             data,
         ]
