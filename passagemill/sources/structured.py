@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import json
 import posixpath
 import zipfile
@@ -104,7 +105,7 @@ def delimited_parts(content: bytes, separator: str) -> Parts:
     for name in header:
         copies = sum(n == name or n.startswith(f"{name}_duplicated_") for n in names)
         names.append(f"{name}_duplicated_{copies - 1}" if copies else name)
-    sample = [row for row, _ in zip(rows, range(INFERENCE_ROWS))]
+    sample = list(itertools.islice(rows, INFERENCE_ROWS))
     types = _cell_types()
     converters = []
     for i in range(len(names)):
