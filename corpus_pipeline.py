@@ -17,31 +17,57 @@ through all stages as an empty table.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagemill.llm import exact_dedup, minhash, packing, quality, secret_scan
-from passagemill.session import configure, load_table, materialize
+from passagemill.session import configure, delete_paths, load_table, materialize, recorded
+
+
+_left: list[str] = []
+
+
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """A stage that first deletes the intermediate tables of the stage before it.
+
+    The result of the stage before has been written and read again by then, so
+    nothing reads them any more; the disk holds those of one stage at a time.
+    """
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        configure(spark)
+        delete_paths(spark, _left)
+        _left.clear()
+        with recorded() as paths:
+            result = work(spark, docs, sf_dir)
+        _left.extend(paths)
+        return result
+
+    return run_stage
 
 
+@stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
     return quality.judge_quality(docs, columns=docs.columns).filter("kept").select(*docs.columns)
 
 
+@stage
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
     return exact_dedup.drop_copies(docs)
 
 
+@stage
 def keep_first_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
     return minhash.drop_near_copies(docs)
 
 
+@stage
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
     masked = secret_scan.redact(docs)
     if "n_chars" not in docs.columns:
         return masked
@@ -49,8 +75,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return masked.withColumn("n_chars", F.char_length("text").cast(kind)).select(*docs.columns)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    configure(spark)
     return packing.digests(docs, packing.PackOptions(public_tokenizers.path("word_bpe_49k.json")))
 
 
@@ -69,6 +95,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the rows of the last one."""
     docs = load_table(configure(spark), sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, work in STAGES:
+        docs = materialize(work(spark, docs, sf_dir), name.replace(" ", "-"))
+    delete_paths(spark, _left)
+    _left.clear()
     return docs

@@ -11,6 +11,7 @@ from passagemill.session import materialize
 
 # White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
+BROADCAST_ROWS = 500_000  # row numbers, about 16 MB
 WORDS = r"[^\x20\x09-\x0D]+"
 
 

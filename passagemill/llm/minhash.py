@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import lookup, salted, text_of, with_row_id
+from passagemill.llm.common import BROADCAST_ROWS, lookup, salted, text_of, with_row_id
 from passagemill.session import materialize
 
 SLICE = 1024  # documents worked on at a time
@@ -340,4 +340,4 @@ def drop_near_copies(docs: DataFrame, options: MinHashOptions | None = None, id_
     """``docs`` with one row of each component, see :func:`groups`."""
     numbered = materialize(with_row_id(docs), "numbered")
     dropped = groups(numbered, options, id_col, text).filter("NOT kept").select("__row")
-    return numbered.join(dropped, "__row", "left_anti").select(*docs.columns)
+    return lookup(numbered, dropped, ["__row"], "left_anti", BROADCAST_ROWS, 1).select(*docs.columns)
