@@ -30,21 +30,23 @@ def featurize_corpus(
     encoder_factory: Callable[[], Callable[[list[str]], np.ndarray]] | None,
     out_path: str,
     *,
-    max_means: int = opt.MAX_MEANS,
+    max_means: int | None = None,
     batch: int = 64,
     embed: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Teacher vectors per passage, averaged over its token vectors by the
-    encoder, up to ``max_means`` passages; passages already written are skipped.
+    encoder, of all passages or the first ``max_means`` by id; passages already
+    written are skipped.
 
     ``passages(passage_id, text)``; ``embed`` may replace the encoder.
     """
     spark = passages.sparkSession
     chosen = passages.select("passage_id", "text")
-    # The cap is the operator's own. Passages are taken by id, so that a
-    # resumed run picks the same ones; only ids are sorted to find the last.
-    last = chosen.select("passage_id").orderBy("passage_id").limit(max_means).agg(F.max("passage_id")).scalar()
-    chosen = chosen.filter(F.col("passage_id") <= last)
+    if max_means is not None:
+        # Passages are taken by id, so that a resumed run picks the same ones;
+        # only ids are sorted to find the last.
+        last = chosen.select("passage_id").orderBy("passage_id").limit(max_means).agg(F.max("passage_id")).scalar()
+        chosen = chosen.filter(F.col("passage_id") <= last)
     try:
         done = spark.read.parquet(out_path).select("passage_id")
         todo = chosen.join(done, "passage_id", "left_anti")
