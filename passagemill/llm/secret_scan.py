@@ -98,9 +98,9 @@ def matches(text: Column, no: int, kind: Kind) -> Column:
 
 
 def matched(docs: DataFrame, options: SecretOptions, text: str, *columns: Column) -> DataFrame:
-    """Matches of all kinds per row, written without the texts."""
+    """``columns`` and the matches of all kinds (``__matches``) per row, written."""
     every = F.array(*[matches(text_of(text), no, kind) for no, kind in enumerate(options.kinds)])
-    return materialize(docs.select("__row", *columns, every.alias("matches")), "matches")
+    return materialize(docs.select("__row", *columns, every.alias("__matches")), "matches")
 
 
 def spans(found: DataFrame, options: SecretOptions) -> DataFrame:
@@ -108,7 +108,7 @@ def spans(found: DataFrame, options: SecretOptions) -> DataFrame:
 
     Only matches are shuffled, once, by ``__row``.
     """
-    parts = found.select("__row", F.explode("matches").alias("m")).filter("m IS NOT NULL")
+    parts = found.select("__row", F.explode("__matches").alias("m")).filter("m IS NOT NULL")
     parts = parts.select("__row", F.posexplode("m").alias("at", "m")).select("__row", "at", "m.*")
     in_kind = Window.partitionBy("__row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("length")).over(in_kind)
@@ -142,9 +142,9 @@ def spans(found: DataFrame, options: SecretOptions) -> DataFrame:
 
 
 def scan(found: DataFrame, options: SecretOptions) -> DataFrame:
-    """Per ``__row`` with a span: ``found``, its spans (start, kind, end, since) in order."""
+    """Per ``__row`` with a span: ``__found``, its spans (start, kind, end, since) in order."""
     rows = spans(found, options)
-    return rows.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "since"))).alias("found"))
+    return rows.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "since"))).alias("__found"))
 
 
 def report(docs: DataFrame, options: SecretOptions | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,7 +161,7 @@ def report(docs: DataFrame, options: SecretOptions | None = None, id_col: str =
     names = F.array(*[F.lit(kind.name) for kind in options.kinds])
     told = lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,since:bigint>>")
-    every = F.coalesce(F.col("found"), none)
+    every = F.coalesce(F.col("__found"), none)
     base = F.filter(every, lambda s: s["kind"] < BASE)
     count = lambda no: F.size(F.filter(every, lambda s: s["kind"] == no)).cast("bigint")
     return rows.select("__row", "doc_id").join(found, "__row", "left").select(
@@ -177,13 +177,16 @@ def redact(docs: DataFrame, options: SecretOptions | None = None, text: str = "t
 
     Rows without a span stay as they are, null texts too.
     """
-    numbered = materialize(with_row_id(docs), "numbered")
     options = options or SecretOptions()
-    found = scan(matched(numbered, options, text), options)
-    fresh = F.filter(F.col("found"), lambda s: s["start"] >= s["since"])
+    rows = matched(with_row_id(docs), options, text, *[F.col(c) for c in docs.columns])
+    # Texts without any match are written on as they are; only the others meet their spans.
+    hit = F.exists("__matches", lambda of_kind: F.coalesce(F.exists(of_kind, lambda m: m["good"]), F.lit(False)))
+    found = scan(rows, options)
+    fresh = F.filter(F.col("__found"), lambda s: s["start"] >= s["since"])
     part = lambda s: F.concat(F.substring(F.col(text), s["since"] + 1, s["start"] - s["since"]), F.lit(mark))
-    last = F.array_max(F.transform(F.col("found"), lambda s: s["end"]))
+    last = F.array_max(F.transform(F.col("__found"), lambda s: s["end"]))
     rest = F.substring(F.col(text), last + 1, F.char_length(text))
     masked = F.concat(F.array_join(F.transform(fresh, part), ""), rest)
-    joined = numbered.join(found, "__row", "left")
-    return joined.withColumn(text, F.when(F.col("found").isNull(), F.col(text)).otherwise(masked)).select(*docs.columns)
+    joined = rows.filter(hit).drop("__matches").join(found, "__row", "left")
+    changed = joined.withColumn(text, F.when(F.col("__found").isNull(), F.col(text)).otherwise(masked))
+    return rows.filter(~hit).select(*docs.columns).union(changed.select(*docs.columns))
