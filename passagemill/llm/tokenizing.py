@@ -14,27 +14,58 @@ from array import array
 
 # Places where the parts of a text meet: one blank with no white space beside it.
 _MEETING = re.compile(r"(?<=\S)(?= \S)")
+# A word with the blank before it.
+_LATIN = re.compile("\x20?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+MARKS = ".,;:!?"
+# Byte-level vocabularies write bytes that do not print as the characters from 256 on.
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+
+
+def spelt(word: str) -> str:
+    """Its UTF-8 bytes, the blank included, in characters that stand for them."""
+    if word.isascii():
+        return word.replace(" ", BYTE_LETTERS[0x20])
+    return word.encode().decode("latin-1").translate(BYTE_LETTERS)
+
+
+def spelt_lower(word: str) -> str:
+    return spelt(word.strip(" ").lower())
 
 
 class OddSpace(Exception):
     """A part that begins or ends with white space."""
 
 
-class PartCache(dict):
-    """What each part of a text gives; forgets everything when full, which only costs time."""
+class Remembered(dict):
+    """Values by text. When full, it becomes the older half, and only what is asked for again comes back from there."""
 
-    def __init__(self, make, limit: int):
+    def __init__(self, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.limit, self.older = limit, {}
 
-    def __missing__(self, part: str):
-        if not part or part[0].isspace() or part[-1].isspace():
-            raise OddSpace
-        value = self.make(" " + part)
-        if len(part) < 200:
+    def keep(self, text: str, value) -> None:
+        if len(text) < 200:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
-            self[part] = value
+            self[text] = value
+
+
+class PartCache(Remembered):
+    """What each part of a text gives."""
+
+    def __init__(self, make, limit: int):
+        super().__init__(limit)
+        self.make = make
+
+    def __missing__(self, part: str):
+        value = self.older.get(part)
+        if value is None:
+            if not part or part[0].isspace() or part[-1].isspace():
+                raise OddSpace
+            value = self.make(" " + part)
+        self.keep(part, value)
         return value
 
     def of_text(self, text: str) -> list:
@@ -58,47 +89,64 @@ class TextEncoder:
     the strings of special tokens taken as ordinary text.
     """
 
-    def __init__(self, vocabulary: str, parts: int = 200_000, pieces: int = 700_000):
+    def __init__(self, vocabulary: str, parts: int = 200_000, pieces: int = 300_000):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(vocabulary)
         self.model, self.cut, self.normalizer = tokenizer.model, tokenizer.pre_tokenizer, tokenizer.normalizer
-        self.words: dict[str, bytes] = {}
-        self.limit = pieces
+        self.words = Remembered(pieces)
         self.parts = PartCache(self.part, parts)
         # With a normalizer white space is dropped; without, each line feed is a piece.
         self.line_feed = self.odd_part("\n") if self.normalizer is None else b""
+        # How the vocabulary writes words of Latin letters, if one of the two ways: one piece each.
+        probes = (" Aé", "Aé", " b", "\xdf")
+        self.spelling = next((way for way in (spelt, spelt_lower) if all(self.pieces(p) == [way(p)] for p in probes)), None)
 
     def piece(self, piece: str) -> bytes:
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
-    def odd_part(self, part: str) -> bytes:
-        """Any part: normalised and cut by the library."""
+    def pieces(self, part: str) -> list[str]:
+        """Any part normalised and cut by the library."""
         if self.normalizer is not None:
             part = self.normalizer.normalize_str(part)
-        return b"".join([self.piece(p) for p, _ in self.cut.pre_tokenize_str(part)])
+        return [p for p, _ in self.cut.pre_tokenize_str(part)]
+
+    def odd_part(self, part: str) -> bytes:
+        return b"".join(map(self.piece, self.pieces(part)))
+
+    def letters(self, word: str) -> bytes:
+        """Letters with a blank before them or none."""
+        if self.spelling is not None and (word.isascii() or _LATIN.fullmatch(word)):
+            return self.piece(self.spelling(word))
+        return self.odd_part(word)
 
     def word(self, word: str) -> bytes:
-        """A run of letters with a blank before it or none, or of punctuation: one piece, unless normalising breaks it."""
+        """A run of letters or of punctuation, remembered."""
         found = self.words.get(word)
         if found is None:
-            found = self.odd_part(word)
-            if len(word) < 200:
-                if len(self.words) >= self.limit:
-                    self.words.clear()
-                self.words[word] = found
+            found = self.words.older.get(word)
+            if found is None:
+                found = self.letters(word) if word.isalpha() else self.odd_part(word)
+            self.words.keep(word, found)
         return found
 
     def part(self, part: str) -> bytes:
         """A part; words with some punctuation behind them, one or more to a line each, are looked up word by word."""
+        core = part.rstrip(MARKS)
+        if core[:1] == " " and core[1:].isalpha():
+            # The word itself is a part like this one.
+            return self.letters(core) if len(core) == len(part) else self.parts[core[1:]] + self.word(part[len(core) :])
+        if "\n" not in part:
+            return self.odd_part(part)
         out = []
         for i, line in enumerate(part.split("\n")):
-            core = line.rstrip(".,;:!?")
-            if not (core[1:] if i == 0 and core[:1] == " " else core).isalpha():
+            core = line.rstrip(MARKS)
+            spaced = i == 0 and core[:1] == " "
+            if not (core[1:] if spaced else core).isalpha():
                 return self.odd_part(part)
             if i:
                 out.append(self.line_feed)
-            out.append(self.word(core))
+            out.append(self.parts[core[1:]] if spaced else self.word(core))
             if len(core) < len(line):
                 out.append(self.word(line[len(core) :]))
         return b"".join(out)
