@@ -11,6 +11,7 @@ import io
 import itertools
 import json
 import posixpath
+import re
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timedelta
@@ -157,6 +158,12 @@ def _targets(archive: zipfile.ZipFile, rels: str, base: str) -> dict[str, str]:
 DATE_FORMATS = {14, 15, 16, 17, 22}
 
 
+def shows_date(code: str) -> bool:
+    """Whether a number format of the workbook's own has a day, month or year; times alone stay numbers."""
+    plain = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", code).lower()
+    return bool(re.search("[dy]", plain)) or ("m" in plain and not re.search("[hs]", plain))
+
+
 def xlsx_parts(content: bytes) -> Parts:
     """Rows of every sheet; the first row names the columns."""
     archive = zipfile.ZipFile(io.BytesIO(content))
@@ -164,12 +171,14 @@ def xlsx_parts(content: bytes) -> Parts:
     shared: list[str] = []
     if "xl/sharedStrings.xml" in names:
         for item in _xml(archive, "xl/sharedStrings.xml"):
-            shared.append("".join(t.text or "" for t in item.iter() if _local(t.tag) == "t"))
+            # Without the phonetic runs.
+            runs = [run for run in item if _local(run.tag) != "rPh"]
+            shared.append("".join(t.text or "" for run in runs for t in run.iter() if _local(t.tag) == "t"))
     dated: list[bool] = []
     if "xl/styles.xml" in names:
-        for group in _xml(archive, "xl/styles.xml"):
-            if _local(group.tag) == "cellXfs":
-                dated = [int(x.get("numFmtId", "0")) in DATE_FORMATS for x in group]
+        groups = {_local(group.tag): group for group in _xml(archive, "xl/styles.xml")}
+        own = {int(x.get("numFmtId")) for x in groups.get("numFmts", ()) if shows_date(x.get("formatCode", ""))}
+        dated = [int(x.get("numFmtId", "0")) in DATE_FORMATS | own for x in groups.get("cellXfs", ())]
     targets = _targets(archive, "xl/_rels/workbook.xml.rels", "xl")
     for sheet in _xml(archive, "xl/workbook.xml").iter():
         if _local(sheet.tag) != "sheet":
@@ -224,18 +233,29 @@ def _cell_value(cell: ElementTree.Element, shared: list[str], dated: list[bool])
     return float(raw) if any(c in raw for c in ".eE") else int(raw)
 
 
+# Elements of a document body that hold paragraphs.
+PARAGRAPH_HOLDERS = {"tbl", "tr", "tc", "sdt", "sdtContent", "customXml", "ins"}
+
+
+def _paragraphs(node: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    for child in node:
+        if _local(child.tag) == "p":
+            yield child
+        elif _local(child.tag) in PARAGRAPH_HOLDERS:
+            yield from _paragraphs(child)
+
+
 def docx_parts(content: bytes) -> Parts:
-    """The filled paragraphs of the document body as one part."""
+    """The filled paragraphs of the document body, table cells included, as one part."""
     body = next(n for n in _xml(zipfile.ZipFile(io.BytesIO(content)), "word/document.xml") if _local(n.tag) == "body")
     marks = {"tab": "\t", "br": "\n", "cr": "\n"}
     texts = []
-    for paragraph in body:
-        if _local(paragraph.tag) == "p":
-            runs = (
-                (n.text or "") if _local(n.tag) == "t" else marks.get(_local(n.tag), "")
-                for n in paragraph.iter()
-            )
-            texts.append("".join(runs))
+    for paragraph in _paragraphs(body):
+        runs = (
+            (n.text or "") if _local(n.tag) == "t" else marks.get(_local(n.tag), "")
+            for n in paragraph.iter()
+        )
+        texts.append("".join(runs))
     yield {
         "raw_text": "\n".join(t for t in texts if t.strip()),
         "content_type": "docx_plain_text",

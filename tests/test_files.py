@@ -138,3 +138,21 @@ def test_refresh_replaces_changed_files(spark, folder, tmp_path):
     assert refresh_store(spark, folder, out, options) == 1
     got = current_chunks(spark, out).filter(F.col("source_file") == "sample.txt").select("text").collect()
     assert [r[0] for r in got] == ["changed"]
+
+
+def test_docx_tables_and_date_formats():
+    import io
+    import zipfile
+
+    from passagemill.sources.structured import docx_parts, shows_date
+
+    p = "<w:p><w:r><w:t>{}</w:t></w:r></w:p>".format
+    table = f"<w:tbl><w:tr><w:tc>{p('cell')}</w:tc><w:tc>{p('other')}</w:tc></w:tr></w:tbl>"
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        body = p("before") + table + p("after")
+        z.writestr("word/document.xml", f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>')
+    assert [x["raw_text"] for x in docx_parts(held.getvalue())] == ["before\ncell\nother\nafter"]
+    assert [shows_date(c) for c in ("yyyy-mm-dd", "mmm", "h:mm:ss", '0.0" days"', "[Red]0.00", "General")] == [
+        True, True, False, False, False, False,
+    ]
