@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import BROADCAST_ROWS, lookup, salted, text_of, with_row_id
+from passagemill.llm.common import BROADCAST_ROWS, broadcast_if_small, lookup, salted, text_of, with_row_id
 from passagemill.session import materialize
 
 SLICE = 1024  # documents worked on at a time
@@ -44,6 +44,7 @@ class MinHashOptions:
     bucket_keys: int = 2_000_000
     broadcast_nodes: int = 500_000
     salts: int = 16
+    partners: int = 64  # compared with one sent copy of a text
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -133,20 +134,6 @@ def sketches(docs: DataFrame, options: MinHashOptions, id_col: str, text: str) -
     return materialize(rows.mapInArrow(run, schema), "sketches")
 
 
-def sets_of(docs: DataFrame, pairs: DataFrame, options: MinHashOptions, text: str) -> DataFrame:
-    """The full sets (node, shingles) of the documents in candidate pairs, written."""
-    words = options.words
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(t, words).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
-
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("__row")).distinct()
-    rows = lookup(docs.select("__row", text_of(text).alias("text")), nodes, ["__row"], "left_semi", options.broadcast_nodes, 1)
-    return materialize(rows.select("__row", "text").mapInArrow(run, "node bigint, shingles binary"), "shingle-sets")
-
-
 def pieces_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Batches in pieces of ``rows`` at most, to bound the memory of what is made of them."""
     for batch in batches:
@@ -158,9 +145,10 @@ def candidates(classes: DataFrame, options: MinHashOptions) -> DataFrame:
     """Pairs (a, b, tables) of class numbers that share table keys, less than two per member, table and step.
 
     ``classes`` has (node, n_shingles, sub_keys). Keys leave a task in one
-    packed row per bucket. Members of one key in the same batch meet there and
-    only their first goes on, so a key that a third of all documents share
-    reaches its bucket once per batch.
+    packed row per bucket, shuffled once. Members of one key in the same batch
+    meet there and only their first goes on, so a key that a third of all
+    documents share reaches its bucket once per batch; the pairs found in the
+    batch travel along with some bucket.
     """
     m = options.sub_keys
     buckets = max(1, -(-classes.count() * m * m // options.bucket_keys))
@@ -182,25 +170,18 @@ def candidates(classes: DataFrame, options: MinHashOptions) -> DataFrame:
         both = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
         return np.unique(both, axis=0, return_counts=True) + (order[new],) if len(both) else (both, both[:, 0], order[new])
 
-    names = ["bucket", "members", "a", "b", "tables"]
-    schema = "bucket int, members binary, a bigint, b bigint, tables bigint"
-    member = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<i8")])
-
-    def links(both: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-        none = len(both)
-        columns = [pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary())]
-        columns += [pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64()), pa.array(times, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names)
+    schema = "bucket int, members binary, links binary"
+    member = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<u4")])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, SLICE):
             sub = np.frombuffer(b"".join(batch.column("sub_keys").to_pylist()), "<u8").reshape(-1, 2 * m)
+            if not len(sub):
+                continue
             keys = table_keys(sub, m).reshape(-1)
             nodes = np.repeat(batch.column("node").to_numpy(), m * m)
             sizes = np.repeat(batch.column("n_shingles").to_numpy(), m * m)
             both, times, firsts = pairs(keys, nodes, sizes)
-            if len(both):
-                yield links(both, times)
             packed = np.empty(len(firsts), member)
             packed["key"], packed["node"], packed["size"] = keys[firsts], nodes[firsts], sizes[firsts]
             where = (packed["key"] % np.uint64(buckets)).astype(np.int64)
@@ -209,42 +190,59 @@ def candidates(classes: DataFrame, options: MinHashOptions) -> DataFrame:
             cuts = np.searchsorted(where, np.arange(buckets + 1))
             full = np.flatnonzero(cuts[1:] > cuts[:-1])
             raw = [packed[cuts[i] : cuts[i + 1]].tobytes() for i in full]
-            none = [pa.nulls(len(full), pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(raw, pa.binary()), *none], names)
+            links = [b""] * len(full)
+            links[int(nodes[0]) % len(full)] = np.column_stack([both, times]).astype("<i8").tobytes()
+            columns = [pa.array(full, pa.int32()), pa.array(raw, pa.binary()), pa.array(links, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "members", "links"])
 
     def meet(table: pa.Table) -> pa.Table:
         every = np.frombuffer(b"".join(table["members"].to_pylist()), member)
-        both, times, _ = pairs(every["key"].copy(), every["node"].copy(), every["size"].copy())
-        out = links(both, times) if len(both) else links(np.empty((0, 2), np.int64), np.empty(0, np.int64))
-        return pa.Table.from_batches([out]).select(["a", "b", "tables"])
-
-    sent = materialize(classes.select("node", "n_shingles", "sub_keys").mapInArrow(spread, schema), "table-keys")
-    local = sent.filter("bucket IS NULL").select("a", "b", "tables")
-    met = sent.filter("bucket IS NOT NULL").select("bucket", "members").groupBy("bucket").applyInArrow(
-        meet, "a bigint, b bigint, tables bigint"
-    )
-    return local.union(met).groupBy("a", "b").agg(F.sum("tables").alias("tables"))
+        sizes = every["size"].astype(np.int64)
+        both, times, _ = pairs(every["key"].copy(), every["node"].copy(), sizes)
+        told = np.frombuffer(b"".join(table["links"].to_pylist()), "<i8").reshape(-1, 3)
+        every = np.concatenate([told, np.column_stack([both, times]).astype(np.int64)])
+        return pa.table([pa.array(every[:, i], pa.int64()) for i in range(3)], ["a", "b", "tables"])
+
+    sent = classes.select("node", "n_shingles", "sub_keys").mapInArrow(spread, schema)
+    met = sent.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, tables bigint")
+    return met.groupBy("a", "b").agg(F.sum("tables").alias("tables"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, options: MinHashOptions) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    percent = options.percent
+def confirmed(pairs: DataFrame, docs: DataFrame, options: MinHashOptions, text: str) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough, written.
+
+    Texts travel, as they take fewer bytes than their sets: that of ``a`` once
+    for each ``partners`` of its pairs, followed by those of the partners, so a
+    task holds one set at a time besides its batch.
+    """
+    words, percent = options.words, options.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.empty(0, np.uint64)
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                every = np.concatenate([x, y])
+            for b, t in zip(batch.column("b").to_pylist(), batch.column("text").to_pylist()):
+                found = shingles(t, words)
+                if b is None:
+                    first = found
+                    keep.append(False)
+                    continue
+                every = np.concatenate([first, found])
                 every.sort()
                 same = int((every[1:] == every[:-1]).sum())
                 keep.append(100 * same >= percent * (len(every) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a bigint, b bigint")
+    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > options.partners)
+    told = lookup(pairs.select("a", "b"), many, ["a"], "left", options.broadcast_nodes, options.salts)
+    part = F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / options.partners)), F.lit(0).cast("bigint"))
+    dealt = materialize(told.select("a", part.alias("part"), "b"), "dealt-pairs")
+    leads = dealt.select("a", "part").distinct().select("a", "part", F.lit(None).cast("bigint").alias("b"), F.col("a").alias("__row"))
+    wanted = leads.union(dealt.select("a", "part", "b", F.col("b").alias("__row")))
+    wanted, _ = broadcast_if_small(wanted, options.broadcast_nodes, "wanted-texts")
+    texts = docs.select("__row", text_of(text).alias("text")).join(wanted, "__row")
+    sorted_rows = texts.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return materialize(sorted_rows.select("a", "b", "text").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
 def components(links: DataFrame, salts: int) -> DataFrame:
@@ -277,17 +275,16 @@ def components(links: DataFrame, salts: int) -> DataFrame:
 def linked(docs: DataFrame, classes: DataFrame, options: MinHashOptions, text: str) -> DataFrame:
     """(node, label) of all classes in a component of two or more."""
     pairs = materialize(candidates(classes, options), "candidates")
-    sets = sets_of(docs, pairs, options, text)
     # First each node with the partner that it meets in most tables, among smaller nodes.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("tables", -F.col("a"))).alias("a")).select("a", "b")
-    first = materialize(confirmed(best, sets, options), "links-1")
+    first = confirmed(best, docs, options, text)
     labels = components(first, options.salts)
     rest = salted(pairs.select("a", "b"), labels.select(F.col("node").alias("a"), F.col("label").alias("la")), ["a"], "left", options.salts)
     rest = salted(rest, labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), ["b"], "left", options.salts)
     same = F.coalesce(F.col("la"), F.col("a")) == F.coalesce(F.col("lb"), F.col("b"))
     open_pairs = rest.filter(~same).select("a", "b")
     tried = open_pairs.join(best, ["a", "b"], "left_anti")
-    second = materialize(confirmed(tried, sets, options), "links-2")
+    second = confirmed(tried, docs, options, text)
     if second.isEmpty():
         return labels
     # Components of the first links are the nodes now.
