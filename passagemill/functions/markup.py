@@ -41,8 +41,18 @@ def without_html_tags(markup: Column) -> Column:
 
 
 def without_xml_tags(markup: Column) -> Column:
-    """All text nodes, CDATA included; references still encoded."""
-    return F.regexp_replace(F.regexp_replace(markup, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), XML_DROPPED, " ")
+    """All text nodes, CDATA included; references still encoded, and what CDATA holds is encoded too."""
+    # Each section, or a stretch without one, is a piece; only sections hold text that is no markup.
+    pieces = F.regexp_extract_all(markup, F.lit(r"(?s)(<!\[CDATA\[.*?\]\]>|(?:(?!<!\[CDATA\[.*?\]\]>).)++)"), F.lit(1))
+
+    def encoded(piece: Column) -> Column:
+        inner = F.regexp_extract(piece, r"(?s)\A<!\[CDATA\[(.*)\]\]>\z", 1)
+        for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            inner = F.replace(inner, F.lit(char), F.lit(entity))
+        return F.when(piece.rlike(r"(?s)\A<!\[CDATA\[.*\]\]>\z"), inner).otherwise(piece)
+
+    held = F.when(F.contains(markup, F.lit("<![CDATA[")), F.array_join(F.transform(pieces, encoded), "")).otherwise(markup)
+    return F.regexp_replace(held, XML_DROPPED, " ")
 
 
 def markup_text(stripped: Column) -> Column:

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from passagemill.functions.markup import markup_text, without_xml_tags
 from passagemill.functions import text as tx
 from passagemill.options import RAG_PROMPT, overlap_tokens, parse_threshold, strategy_options
 from passagemill.sources.structured import leaves
@@ -102,3 +103,12 @@ def test_options():
         strategy_options("nothing")
     with pytest.raises(ValueError):
         overlap_tokens(256, 256)
+
+
+def test_cdata_is_text_not_markup(spark):
+    long = "<r>" + "word " * 200_000 + "<![CDATA[a < b]]></r>"
+    given = ["<r>one<![CDATA[if x <b> &amp; y]]>two</r>", "<r>a &lt; b</r>", "<r><![CDATA[open</r>", None, long]
+    df = spark.createDataFrame(list(enumerate(given)), "n int, x string").withColumn("raw", without_xml_tags(F.col("x")))
+    got = [r.t for r in df.select("n", markup_text(F.col("raw")).alias("t")).orderBy("n").collect()]
+    assert got[:2] == ["oneif x <b> &amp; ytwo", "a < b"] and got[3] in (None, "")
+    assert got[4].endswith("word a < b") and got[4].count("word") == 200_000
