@@ -32,6 +32,8 @@ BROADCAST_RESULTS = 2_000_000
 BLOCK_SCORES = 4_000_000
 # Groups of tasks whose results are merged before the last merge.
 MERGE_GROUPS = 64
+# More than half of the last decimal that scores keep.
+ROUNDING = 1e-9
 
 
 def search(
@@ -383,14 +385,19 @@ def _pruned_neighbours(
         points = _unit(vec.matrix_of(vectors), metric)
         score = low.to_numpy(zero_copy_only=False).astype(float)
         if metric == "cosine":
-            bound = np.sqrt(np.maximum(2.0 - 2.0 * score, 0.0))
+            # Scores are rounded: a true score may be this much below the one it ties with.
+            bound = np.sqrt(np.maximum(2.0 - 2.0 * (score - ROUNDING), 0.0))
             bound[(points == 0).all(axis=1)] = np.inf
         else:
-            bound = -score
+            bound = -score + ROUNDING
         bound = np.where(np.isnan(bound), np.inf, bound)
         centres = shared.value[np.maximum(cells, 0)]
         gaps = _distances(points, centres) - radius[None, :]
-        keep = (gaps <= bound[:, None] + 1e-6) | (np.array(cells) == -1)[None, :]
+        own_norm, centre_norm = np.linalg.norm(points, axis=1)[:, None], np.linalg.norm(centres, axis=1)[None, :]
+        farthest, dim = centre_norm + radius[None, :], points.shape[1]
+        slack = _distance_error(own_norm, centre_norm, dim) + _distance_error(farthest, centre_norm, dim)
+        slack += 2.0 * _distance_error(own_norm, farthest, dim)
+        keep = (gaps <= bound[:, None] + slack) | (np.array(cells) == -1)[None, :]
         keep &= np.array(cells)[None, :] != own.to_numpy(zero_copy_only=False)[:, None]
         i, j = np.nonzero(keep)
         offsets = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(points)))]).astype(np.int32)
@@ -415,6 +422,12 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0.0))
 
 
+def _distance_error(a_norm: np.ndarray, b_norm: np.ndarray, dim: int) -> np.ndarray:
+    """What cancellation may add to or take from :func:`_distances` of vectors of these norms."""
+    squares = a_norm * a_norm + b_norm * b_norm
+    return np.sqrt(4.0 * (dim + 4) * np.finfo(float).eps * squares)
+
+
 # -- after the search --------------------------------------------------------
 
 

@@ -134,3 +134,16 @@ def test_hydrate_unknown_ids(spark):
         assert got["a"]["text"] == "text a" and got["a"]["hydration_error"] is None
         assert got["zz"]["text"] is None and got["zz"]["hydration_error"]
     assert get_chunk(chunks, "zz").count() == 0
+
+
+@pytest.mark.parametrize("metric, scale, spread", [("cosine", 1.0, 1e-6), ("euclidean", 6e5, 1.0)])
+def test_large_search_with_near_ties_and_large_norms(spark, metric, scale, spread):
+    rng = np.random.default_rng(5)
+    m = (scale + spread * rng.normal(size=(600, 8))).tolist()
+    store = spark.createDataFrame([(i, v) for i, v in enumerate(m)], "chunk_id bigint, vector array<double>")
+    queries = store.withColumnRenamed("chunk_id", "query_id").filter("query_id % 4 = 0")
+    both = [
+        [(r.query_id, r["rank"], r.chunk_id) for r in search(queries, store, metric=metric, k=5, strategy=s).collect()]
+        for s in ("broadcast", "partitioned")
+    ]
+    assert sorted(both[0]) == sorted(both[1])
