@@ -127,7 +127,7 @@ def _folder(spark, d) -> str:
 
 
 @check(
-    "run_ingest",
+    "run_pipeline",
     f"""SELECT source AS folder, count(*) > 0 AS filled, sum({f"len(regexp_extract_all({clean('text')}, '[^ ]+'))"})::BIGINT AS words
         FROM documents GROUP BY source""",
 )
