@@ -13,6 +13,12 @@ decides, and each is paired with the first and with the one before it: a key
 with n members gives less than 2 n candidates, and other tables pair them in
 other orders. Of the candidates the most promising are confirmed first, and
 pairs that these links have already joined are left out.
+
+These are all pairs of a key of up to ``WHOLE`` members. The members of a larger
+key that the links have not all joined then go through an exact similarity join:
+shingles are put in one order, rare ones first, so two similar sets share one of
+their first few shingles, and the places of that shingle and the sizes bound
+what they can have in common. All pairs left are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ from passagemill.llm.common import BROADCAST_ROWS, broadcast_if_small, lookup, s
 from passagemill.session import materialize
 
 SLICE = 1024  # documents worked on at a time
+WHOLE = 3  # members of a key that the first and the one before pair completely
+MORE = 1 << 31  # added to the size of a member that stands for a key's more than WHOLE members of a slice
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -45,6 +53,9 @@ class MinHashOptions:
     broadcast_nodes: int = 500_000
     salts: int = 16
     partners: int = 64  # compared with one sent copy of a text
+    order_docs: int = 20_000  # whose shingles are counted to put the rare ones first; any order is right
+    order_shingles: int = 500_000
+    token_rows: int = 4096  # of one shingle that meet in one task
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -141,24 +152,26 @@ def pieces_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Recor
             yield batch.slice(at, rows)
 
 
-def candidates(classes: DataFrame, options: MinHashOptions) -> DataFrame:
-    """Pairs (a, b, tables) of class numbers that share table keys, less than two per member, table and step.
+def candidates(classes: DataFrame, options: MinHashOptions) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, tables) of class numbers that share table keys, and (key, node) of keys that need more pairs.
 
     ``classes`` has (node, n_shingles, sub_keys). Keys leave a task in one
-    packed row per bucket, shuffled once. Members of one key in the same batch
-    meet there and only their first goes on, so a key that a third of all
-    documents share reaches its bucket once per batch; the pairs found in the
-    batch travel along with some bucket.
+    packed row per bucket, shuffled once. If more than ``WHOLE`` members of one
+    key are in the same batch, they meet there and only their first goes on, so
+    a key that a third of all documents share reaches its bucket once per batch;
+    the pairs found in the batch travel along with some bucket. Less than two
+    pairs per member, table and step: all pairs of keys with ``WHOLE`` members
+    at most, and the members of the others are told.
     """
     m = options.sub_keys
     buckets = max(1, -(-classes.count() * m * m // options.bucket_keys))
     buckets = max(buckets, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def pairs(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and previous member of each key for each member, and which members are first."""
+    def pairs(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (a, b, tables) of the first and previous member of each key for each member, and which members are first."""
         order = np.lexsort((mixed(nodes.astype(np.uint64) * SPREAD ^ keys), keys))
         k, n, s = keys[order], nodes[order], sizes[order]
-        new = np.concatenate([[True], k[1:] != k[:-1]])
+        new = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
         head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
         others = np.flatnonzero(~new)
         near = np.concatenate([head[others], others - 1])
@@ -168,7 +181,17 @@ def candidates(classes: DataFrame, options: MinHashOptions) -> DataFrame:
         good = (100 * small >= options.percent * large) & (n[others] != n[near])
         a, b = n[others[good]], n[near[good]]
         both = np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
-        return np.unique(both, axis=0, return_counts=True) + (order[new],) if len(both) else (both, both[:, 0], order[new])
+        both, times = np.unique(both, axis=0, return_counts=True) if len(both) else (both, both[:, 0])
+        return np.column_stack([both, times]).astype("<i8"), order[new]
+
+    def told(keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Members of keys as rows beside those of pairs, in no table."""
+        return np.column_stack([keys.view("<i8"), nodes, np.zeros(len(keys))]).astype("<i8") if len(keys) else np.empty((0, 3), "<i8")
+
+    def sums(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """For each row the sum of the weights of its key."""
+        _, place = np.unique(keys, return_inverse=True)
+        return np.bincount(place, weights)[place] if len(keys) else weights
 
     schema = "bucket int, members binary, links binary"
     member = np.dtype([("key", "<u8"), ("node", "<i8"), ("size", "<u4")])
@@ -181,31 +204,126 @@ def candidates(classes: DataFrame, options: MinHashOptions) -> DataFrame:
             keys = table_keys(sub, m).reshape(-1)
             nodes = np.repeat(batch.column("node").to_numpy(), m * m)
             sizes = np.repeat(batch.column("n_shingles").to_numpy(), m * m)
-            both, times, firsts = pairs(keys, nodes, sizes)
-            packed = np.empty(len(firsts), member)
-            packed["key"], packed["node"], packed["size"] = keys[firsts], nodes[firsts], sizes[firsts]
+            many = sums(keys, np.ones(len(keys))) > WHOLE
+            links, firsts = pairs(keys[many], nodes[many], sizes[many])
+            links = np.concatenate([links, told(keys[many], nodes[many])])
+            goes = np.concatenate([np.flatnonzero(~many), np.flatnonzero(many)[firsts]])
+            packed = np.empty(len(goes), member)
+            packed["key"], packed["node"], packed["size"] = keys[goes], nodes[goes], sizes[goes] + MORE * many[goes]
             where = (packed["key"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             packed, where = packed[order], where[order]
             cuts = np.searchsorted(where, np.arange(buckets + 1))
             full = np.flatnonzero(cuts[1:] > cuts[:-1])
             raw = [packed[cuts[i] : cuts[i + 1]].tobytes() for i in full]
-            links = [b""] * len(full)
-            links[int(nodes[0]) % len(full)] = np.column_stack([both, times]).astype("<i8").tobytes()
-            columns = [pa.array(full, pa.int32()), pa.array(raw, pa.binary()), pa.array(links, pa.binary())]
+            along = [b""] * len(full)
+            along[int(nodes[0]) % len(full)] = links.tobytes()
+            columns = [pa.array(full, pa.int32()), pa.array(raw, pa.binary()), pa.array(along, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["bucket", "members", "links"])
 
     def meet(table: pa.Table) -> pa.Table:
         every = np.frombuffer(b"".join(table["members"].to_pylist()), member)
-        sizes = every["size"].astype(np.int64)
-        both, times, _ = pairs(every["key"].copy(), every["node"].copy(), sizes)
-        told = np.frombuffer(b"".join(table["links"].to_pylist()), "<i8").reshape(-1, 3)
-        every = np.concatenate([told, np.column_stack([both, times]).astype(np.int64)])
+        keys, nodes, sizes = every["key"].copy(), every["node"].copy(), every["size"].astype(np.int64)
+        more = sizes >= MORE
+        large = sums(keys, np.where(more, WHOLE + 1, 1)) > WHOLE
+        links, _ = pairs(keys, nodes, sizes - MORE * more)
+        sent = np.frombuffer(b"".join(table["links"].to_pylist()), "<i8").reshape(-1, 3)
+        # Those that stand for others were told with them.
+        every = np.concatenate([sent, links, told(keys[large & ~more], nodes[large & ~more])])
         return pa.table([pa.array(every[:, i], pa.int64()) for i in range(3)], ["a", "b", "tables"])
 
     sent = classes.select("node", "n_shingles", "sub_keys").mapInArrow(spread, schema)
-    met = sent.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, tables bigint")
-    return met.groupBy("a", "b").agg(F.sum("tables").alias("tables"))
+    met = materialize(sent.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, tables bigint"), "met")
+    members = met.filter("tables = 0").select(F.col("a").alias("key"), F.col("b").alias("node"))
+    return met.filter("tables > 0").groupBy("a", "b").agg(F.sum("tables").alias("tables")), members
+
+
+def common_shingles(texts: DataFrame, options: MinHashOptions) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that some of the texts have often, sorted, and how often."""
+    words, step = options.words, max(1, texts.count() // options.order_docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, SLICE):
+            found = [shingles(t, words) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["shingle"])
+
+    some = texts.filter(F.pmod(F.xxhash64("node"), F.lit(step)) == 0).select("text")
+    counts = some.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.filter("n > 1").orderBy(F.desc("n"), "shingle").limit(options.order_shingles).toPandas()
+    order = np.argsort(found["shingle"].to_numpy().astype(np.int64).view(np.uint64))
+    return found["shingle"].to_numpy().astype(np.int64).view(np.uint64)[order], found["n"].to_numpy().astype(np.int64)[order]
+
+
+def all_pairs(texts: DataFrame, options: MinHashOptions) -> DataFrame:
+    """Every pair (a, b) that may be similar and has two labels, from a table (node, label, text).
+
+    Sets of n shingles at most as large as the other's share one of the first
+    ``n - need + 1`` in the common order, where ``need`` is what two sets of n
+    must share; the larger ones are looked up by those they need against the
+    smallest set that their size allows. Sizes in bands, so a set meets two.
+    """
+    words, percent = options.words, options.percent
+    common, often = common_shingles(texts, options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, SLICE):
+            heads, lengths = [np.empty(0, np.uint64)], []
+            counts = []
+            for t in batch.column("text").to_pylist():
+                found = shingles(t, words)
+                n = len(found)
+                place = np.minimum(np.searchsorted(common, found), max(len(common) - 1, 0))
+                times = np.where(common[place] == found, often[place], 0) if len(common) else np.zeros(n, np.int64)
+                heads.append(found[np.argsort(times, kind="stable")][: n - -(-percent * n // 100) + 1])
+                lengths.append(len(heads[-1]))
+                counts.append(n)
+            places = [np.arange(x) for x in lengths]
+            columns = [
+                pa.array(np.concatenate(heads).view(np.int64)),
+                pa.array(np.repeat(batch.column("node").to_numpy(), lengths)),
+                pa.array(np.repeat(batch.column("label").to_numpy(), lengths)),
+                pa.array(np.repeat(np.array(counts, np.int64), lengths)),
+                pa.array(np.concatenate(places) if places else np.empty(0, np.int64)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["shingle", "node", "label", "n", "place"])
+
+    schema = "shingle bigint, node bigint, label bigint, n bigint, place bigint"
+    heads = materialize(texts.select("node", "label", "text").mapInArrow(run, schema), "heads")
+    # Only shingles in the heads of two labels; the rows of a frequent one are dealt to several tasks.
+    shared = heads.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("l"), F.max("label").alias("h"))
+    shared = shared.filter("l < h").select("shingle", F.ceil(F.col("rows") / options.token_rows).cast("int").alias("salts"))
+    width = float(np.log(100 / min(percent, 99)))
+    rows = lookup(heads, shared, ["shingle"], "inner", options.broadcast_nodes, options.salts)
+    rows = materialize(rows.withColumn("band", F.floor(F.log("n") / F.lit(width) + F.lit(1e-9)).cast("int")), "shared-heads")
+    named = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("node", "label", "n", "place")]
+    small = rows.filter(F.expr(f"place <= n - ceil({2 * percent} * n / {100 + percent})")).select(
+        "shingle",
+        F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"),
+        F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"),
+        *named("s"),
+    )
+    large = rows.select("shingle", "band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *named("l"))
+    fits = F.expr(
+        f"""label_s <> label_l AND (n_s < n_l OR n_s = n_l AND node_s < node_l) AND 100 * n_s >= {percent} * n_l
+        AND {100 + percent} * least(n_s - place_s, n_l - place_l) >= {percent} * (n_s + n_l)"""
+    )
+    met = small.join(large, ["shingle", "band", "salt"]).filter(fits)
+    return met.select(F.least("node_s", "node_l").alias("a"), F.greatest("node_s", "node_l").alias("b")).distinct()
+
+
+def missed(members: DataFrame, labels: DataFrame, docs: DataFrame, options: MinHashOptions, text: str) -> DataFrame | None:
+    """Links (a, b) between members of keys that ``labels`` does not join, written; None if there are no such keys."""
+    told = salted(members, labels, ["node"], "left", options.salts).select("key", "node", F.coalesce("label", "node").alias("label"))
+    told = materialize(told, "labelled-members")
+    keys = told.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("key")
+    nodes = lookup(told, keys, ["key"], "left_semi", options.broadcast_nodes, options.salts).select("node", "label").distinct()
+    wanted = materialize(nodes, "open-nodes")
+    if wanted.isEmpty():
+        return None
+    numbered, _ = broadcast_if_small(wanted.select(F.col("node").alias("__row"), "label"), options.broadcast_nodes, "open-rows")
+    texts = docs.select("__row", text_of(text).alias("text")).join(numbered, "__row").withColumnRenamed("__row", "node")
+    texts = texts.select("node", "label", "text")
+    return confirmed(materialize(all_pairs(texts, options), "open-pairs"), docs, options, text)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, options: MinHashOptions, text: str) -> DataFrame:
@@ -272,9 +390,25 @@ def components(links: DataFrame, salts: int) -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame, links: DataFrame, options: MinHashOptions) -> DataFrame:
+    """Labels after some more links."""
+    # Components of the labels are the nodes now.
+    label = lambda c: F.coalesce(F.col(f"l{c}"), F.col(c))
+    named = links
+    for c in ("a", "b"):
+        named = salted(named, labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), [c], "left", options.salts)
+    merged = components(named.select(label("a").alias("a"), label("b").alias("b")).distinct(), options.salts)
+    known = labels.select("node", "label").union(
+        merged.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti")
+    )
+    renamed = salted(known, merged.select(F.col("node").alias("label"), F.col("label").alias("root")), ["label"], "left", options.salts)
+    return renamed.select("node", F.coalesce("root", "label").alias("label"))
+
+
 def linked(docs: DataFrame, classes: DataFrame, options: MinHashOptions, text: str) -> DataFrame:
     """(node, label) of all classes in a component of two or more."""
-    pairs = materialize(candidates(classes, options), "candidates")
+    pairs, members = candidates(classes, options)
+    pairs = materialize(pairs, "candidates")
     # First each node with the partner that it meets in most tables, among smaller nodes.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("tables", -F.col("a"))).alias("a")).select("a", "b")
     first = confirmed(best, docs, options, text)
@@ -285,19 +419,10 @@ def linked(docs: DataFrame, classes: DataFrame, options: MinHashOptions, text: s
     open_pairs = rest.filter(~same).select("a", "b")
     tried = open_pairs.join(best, ["a", "b"], "left_anti")
     second = confirmed(tried, docs, options, text)
-    if second.isEmpty():
-        return labels
-    # Components of the first links are the nodes now.
-    label = lambda c: F.coalesce(F.col(f"l{c}"), F.col(c))
-    named = second
-    for c in ("a", "b"):
-        named = salted(named, labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), [c], "left", options.salts)
-    merged = components(named.select(label("a").alias("a"), label("b").alias("b")).distinct(), options.salts)
-    known = labels.select("node", "label").union(
-        merged.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti")
-    )
-    renamed = salted(known, merged.select(F.col("node").alias("label"), F.col("label").alias("root")), ["label"], "left", options.salts)
-    return renamed.select("node", F.coalesce("root", "label").alias("label"))
+    if not second.isEmpty():
+        labels = materialize(joined(labels, second, options), "joined")
+    third = missed(members, labels, docs, options, text)
+    return labels if third is None or third.isEmpty() else joined(labels, third, options)
 
 
 def groups(docs: DataFrame, options: MinHashOptions | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -271,3 +271,26 @@ def test_pipeline(spark, tmp_path):
     plain = {1: clean[1], 2: clean[2], 3: clean[3], 4: clean[4], 5: texts[5], 8: masked}
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id: r.ids_crc32 for r in got} == {d: crc([*encode(t), 2]) for d, t in plain.items()}
+
+
+def test_near_copies_that_share_a_template(spark):
+    """A thousand texts near 0.75 with each other, so all share table keys, and 60 pairs of them just above 0.8."""
+    draw = np.random.default_rng(5)
+    word = lambda: "".join(draw.choice(list("abcdefghijklmnop"), 7))
+    template = [word() for _ in range(160)]
+    texts = [" ".join([*template, *(word() for _ in range(26))]) for _ in range(1000)]
+    for i in range(60):
+        texts.append(" ".join([*texts[i].split()[:-20], *(word() for _ in range(20))]))
+    sets = [set(zip(t.split(), t.split()[1:])) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            same = len(a & sets[j])
+            if 100 * same >= 80 * (len(a) + len(sets[j]) - same):
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    assert len(set(root)) == 1000
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = materialize(with_row_id(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3, "doc_id")), "numbered")
+    got = minhash.groups(df, minhash.MinHashOptions(words=2)).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
