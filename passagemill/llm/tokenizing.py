@@ -4,7 +4,8 @@ Both vocabularies cut a text before merging, and no cut-out piece reaches over
 a single blank between two other characters, nor does one join a word with punctuation
 or a line feed behind it. So a text is taken apart there; each different word
 is normalised, cut and merged by the library's own components once per worker
-and then remembered.
+and then remembered. A text that holds the string of an added token goes to the
+library whole.
 """
 
 from __future__ import annotations
@@ -85,14 +86,18 @@ class PartCache(Remembered):
 class TextEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
-    Gives what ``tokenizer.encode(text, add_special_tokens=False)`` gives, with
-    the strings of special tokens taken as ordinary text.
+    Gives what ``tokenizer.encode(text, add_special_tokens=False)`` gives, so
+    the string of an added token in a text is that token.
     """
 
     def __init__(self, vocabulary: str, parts: int = 200_000, pieces: int = 300_000):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer = tokenizer = Tokenizer.from_file(vocabulary)
+        added = tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        # Some are looked for in the normalised text.
+        self.normal = [tokenizer.normalizer.normalize_str(t.content) for t in added if t.normalized and tokenizer.normalizer is not None]
         self.model, self.cut, self.normalizer = tokenizer.model, tokenizer.pre_tokenizer, tokenizer.normalizer
         self.words = Remembered(pieces)
         self.parts = PartCache(self.part, parts)
@@ -151,7 +156,14 @@ class TextEncoder:
                 out.append(self.word(line[len(core) :]))
         return b"".join(out)
 
+    def holds_added(self, text: str) -> bool:
+        if any(map(text.__contains__, self.added)):
+            return True
+        return bool(self.normal) and any(map(self.normalizer.normalize_str(text).__contains__, self.normal))
+
     def encode(self, text: str) -> bytes:
+        if self.holds_added(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(self.parts.of_text(text))
 
 

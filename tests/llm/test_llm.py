@@ -294,3 +294,12 @@ def test_near_copies_that_share_a_template(spark):
     df = materialize(with_row_id(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3, "doc_id")), "numbered")
     got = minhash.groups(df, minhash.MinHashOptions(words=2)).collect()
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+
+
+@pytest.mark.parametrize("path", [BYTE_FILE, WORD_FILE])
+def test_strings_of_added_tokens(path):
+    from passagemill.llm.tokenizing import TextEncoder
+
+    tokenizer, own = Tokenizer.from_file(path), TextEncoder(path)
+    for t in ("one <|endoftext|> two", "<|startoftext|>A<|endoftext|>", "<|endoftext|>\n\n<|endoftext|> x", "<|ENDOFTEXT|> y", "<|endoftext| >", LINE):
+        assert own.encode(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
