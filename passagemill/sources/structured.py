@@ -95,7 +95,7 @@ def _cell_types() -> list[tuple[Callable[[str], bool], Callable[[str], Any]]]:
 
 def delimited_parts(content: bytes, separator: str) -> Parts:
     """Header and rows; each column takes the narrowest type that its first
-    rows fit, and later values that do not fit are null."""
+    rows fit, and later values that do not fit stay as they are written."""
     csv.field_size_limit(1 << 30)
     text = io.TextIOWrapper(io.BytesIO(content), encoding="utf-8-sig", errors="replace", newline="")
     rows = csv.reader(text, delimiter=separator)
@@ -115,7 +115,7 @@ def delimited_parts(content: bytes, separator: str) -> Parts:
         converters.append(fitting[0] if fitting else (lambda s: True, str))
     for index, row in enumerate(_chain(sample, rows)):
         values = [
-            None if s == "" or not fits(s) else convert(s) for s, (fits, convert) in zip(row, converters)
+            None if s == "" else convert(s) if fits(s) else s for s, (fits, convert) in zip(row, converters)
         ]
         yield {"raw_text": cells_text(names, values), "row_index": index}
 

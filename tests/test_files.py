@@ -156,3 +156,12 @@ def test_docx_tables_and_date_formats():
     assert [shows_date(c) for c in ("yyyy-mm-dd", "mmm", "h:mm:ss", '0.0" days"', "[Red]0.00", "General")] == [
         True, True, False, False, False, False,
     ]
+
+
+def test_later_cells_of_another_type_stay():
+    from passagemill.sources.structured import delimited_parts
+
+    content = "n,f\n" + "1,true\n" * 1000 + "12a,maybe\n7,false\n"
+    got = [p["raw_text"] for p in delimited_parts(content.encode(), ",")]
+    assert len(got) == 1002 and got[0] == "n: 1 | f: True"
+    assert got[1000:] == ["n: 12a | f: maybe", "n: 7 | f: False"]
