@@ -77,3 +77,28 @@ def prefix_sums(counts: DataFrame, order: str, value: str, out: str, width: int
         .join(starts, "__block")
         .select(*counts.columns, (F.col("__start") + F.col("__inside")).alias(out))
     )
+
+
+def hot_and_cold(table: DataFrame, n: str, least: int = 1000, most: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """A table of one row per key, in two parts by ``n``, the number of rows that will ask for each key.
+
+    The first part is broadcast: keys with more than ``least`` and more than a
+    ``most``-th of all rows, so at most ``most`` keys. No key of the second part
+    has more than that many rows, so a shuffle by key gives no task an unbounded
+    share. ``table`` is read three times and should be a written one.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    limit = max(least, total // most)
+    return F.broadcast(table.filter(F.col(n) > limit)), table.filter(F.col(n) <= limit)
+
+
+def matched(big: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of many rows with :func:`hot_and_cold` parts; only rows of cold keys are shuffled."""
+    hot, cold = hot_and_cold(table, n)
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return big.join(hot, key).unionByName(rest.join(cold.hint("merge"), key))
+
+
+def placed_beside(docs: DataFrame, columns: list[str] | None, made: list[str]) -> list[str]:
+    """The input columns that a result carries: those asked for, less the names that the operator makes itself."""
+    return [c for c in (docs.columns if columns is None else columns) if c not in made]

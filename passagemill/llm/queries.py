@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagemill.llm import bpe, exact_dedup, minhash, packing, quality, secret_scan, sharding, suffix_dedup, token_files, warc
-from passagemill.llm.common import text_of, with_row_id
+from passagemill.llm import bpe, exact_dedup, line_dedup, minhash, packing, periodic_runs, quality, secret_scan, sharding
+from passagemill.llm import suffix_dedup, token_alignment, token_files, warc
+from passagemill.llm.common import SPACES, bound, text_of, with_row_id
 from passagemill.session import configure, load_table, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +219,66 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = materialize(with_row_id(documents(spark, folder).select("doc_id", "text")), "numbered")
     return minhash.groups(docs, minhash.MinHashOptions(words=2)).drop("__row")
+
+
+def planted(doc_id: str, text: str) -> Column:
+    """A text, made periodic from some word on where the checksum of its id is divisible by ten; no id, no change."""
+    h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
+    g = F.expr(f"crc32(cast(cast({doc_id} AS string) AS binary)) div 10")
+
+    def periodic(words: Column) -> Column:
+        n = F.size(words)
+
+        def repeat(place: Column) -> Column:
+            a, p = place["a"], place["p"]
+            source = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)))
+            return F.array_join(F.transform(source, lambda i: F.get(words, i)), " ")
+
+        a = F.pmod(g, n).cast("int")
+        p = bound(a, lambda at: F.struct(at.alias("a"), (1 + F.floor((n - at) / (3 + F.pmod(g, F.lit(8))))).cast("int").alias("p")))
+        return F.when(n > 0, bound(p, repeat)).otherwise("")
+
+    words = F.filter(F.split(text_of(text), SPACES), lambda w: w != "")
+    return F.when(F.pmod(h, F.lit(10)) == 0, bound(words, periodic)).otherwise(text_of(text))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", planted("doc_id", "text").alias("text"))
+    told = periodic_runs.collapse_runs(docs, columns=["doc_id"])
+    shown = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return told.select(
+        "doc_id",
+        "n_runs",
+        *[F.col("best").getField(c).alias(c) for c in ("start", "length", "period")],
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(shown, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query(
+    "op12_line_dedup",
+    r"""
+    WITH lines AS (
+      SELECT doc_id, i, l, translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+      FROM (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+    shared AS (
+      SELECT k, min(doc_id) AS owner FROM lines WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (owner <> doc_id) AS n_dropped,
+           sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (owner IS NULL OR owner = doc_id), '')) AS kept_sha256
+    FROM lines LEFT JOIN shared USING (k) GROUP BY doc_id""",
+)
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = line_dedup.drop_repeated_lines(documents(spark, folder), columns=["doc_id"])
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    options = token_alignment.AlignOptions(
+        public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+    return token_alignment.align_tokens(documents(spark, folder), options, columns=["doc_id"])
