@@ -97,11 +97,11 @@ def cut(docs: DataFrame, options: PackOptions, id_col: str = "doc_id", text: str
     names = ["__row", "doc_id", "start", "length", "doc_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode_all = encoder(vocabulary).encode_all
         for batch in batches:
             which, starts, totals, pieces = [], [], [], []
-            for i, each in enumerate(batch.column(2).to_pylist()):
-                ids = encode(each) + end
+            for i, ids in enumerate(encode_all(batch.column(2).to_pylist())):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     which.append(i)

@@ -119,7 +119,7 @@ def write_token_files(
     end, vocabulary, limit = np.array([options.end_id], "<u4").tobytes(), options.vocabulary, options.block_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode_all = encoder(vocabulary).encode_all
         path, stream = fresh_file(folder, ".tokens")
         docs_written = ids_written = 0
         with stream:
@@ -132,8 +132,8 @@ def write_token_files(
                 waiting = 0
 
             for batch in batches:
-                for doc_id, each in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    found = encode(each) + end
+                for doc_id, found in zip(batch.column(0).to_pylist(), encode_all(batch.column(1).to_pylist())):
+                    found += end
                     doc_ids.append(doc_id)
                     ids.append(found)
                     waiting += len(found) // 4

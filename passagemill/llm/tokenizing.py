@@ -1,39 +1,31 @@
 """Fast exact encoding of whole texts with the tokenizers library.
 
 Both vocabularies cut a text before merging, and no cut-out piece reaches over
-a single blank between two other characters, nor does one join a word with punctuation
-or a line feed behind it. So a text is taken apart there; each different word
-is normalised, cut and merged by the library's own components once per worker
-and then remembered. A text that holds the string of an added token goes to the
-library whole.
+a single blank between two other characters. So the texts of a batch are taken
+apart there, the library encodes each different word of the batch once, many in
+one call, and the ids of a text are gathered from those of its words. Nothing
+is remembered from one batch to the next. A text that holds the string of an
+added token goes to the library whole.
 """
 
 from __future__ import annotations
 
+import os
 import re
-from array import array
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
 
 # Places where the parts of a text meet: one blank with no white space beside it.
 _MEETING = re.compile(r"(?<=\S)(?= \S)")
-# A word with the blank before it.
-_LATIN = re.compile("\x20?[A-Za-zÀ-ÖØ-öø-ÿ]+")
-MARKS = ".,;:!?"
+# White space other than blanks and line feeds.
+_RARE_SPACE = re.compile(r"[^\S \n]")
 # Byte-level vocabularies write bytes that do not print as the characters from 256 on.
 _HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
 BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
 
 
-def spelt(word: str) -> str:
-    """Its UTF-8 bytes, the blank included, in characters that stand for them."""
-    if word.isascii():
-        return word.replace(" ", BYTE_LETTERS[0x20])
-    return word.encode().decode("latin-1").translate(BYTE_LETTERS)
-
-
-def spelt_lower(word: str) -> str:
-    return spelt(word.strip(" ").lower())
-
-
 class OddSpace(Exception):
     """A part that begins or ends with white space."""
 
@@ -83,6 +75,18 @@ class PartCache(Remembered):
             return [self.make(part) for part in _MEETING.split(text)]
 
 
+def has_odd_space(text: str) -> bool:
+    """Whether a text has white space other than single blanks and line feeds between other characters."""
+    return (
+        "  " in text
+        or " \n" in text
+        or "\n " in text
+        or text[:1] in (" ", "\n")
+        or text[-1:] in (" ", "\n")
+        or _RARE_SPACE.search(text) is not None
+    )
+
+
 class TextEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
@@ -90,81 +94,108 @@ class TextEncoder:
     the string of an added token in a text is that token.
     """
 
-    def __init__(self, vocabulary: str, parts: int = 200_000, pieces: int = 300_000):
+    def __init__(self, vocabulary: str, chunk_chars: int = 1 << 10, slice_words: int = 200_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = tokenizer = Tokenizer.from_file(vocabulary)
         added = tokenizer.get_added_tokens_decoder().values()
         self.added = [t.content for t in added]
+        self.normalizer = tokenizer.normalizer
         # Some are looked for in the normalised text.
         self.normal = [tokenizer.normalizer.normalize_str(t.content) for t in added if t.normalized and tokenizer.normalizer is not None]
-        self.model, self.cut, self.normalizer = tokenizer.model, tokenizer.pre_tokenizer, tokenizer.normalizer
-        self.words = Remembered(pieces)
-        self.parts = PartCache(self.part, parts)
-        # With a normalizer white space is dropped; without, each line feed is a piece.
-        self.line_feed = self.odd_part("\n") if self.normalizer is None else b""
-        # How the vocabulary writes words of Latin letters, if one of the two ways: one piece each.
-        probes = (" Aé", "Aé", " b", "\xdf")
-        self.spelling = next((way for way in (spelt, spelt_lower) if all(self.pieces(p) == [way(p)] for p in probes)), None)
-
-    def piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
-
-    def pieces(self, part: str) -> list[str]:
-        """Any part normalised and cut by the library."""
-        if self.normalizer is not None:
-            part = self.normalizer.normalize_str(part)
-        return [p for p, _ in self.cut.pre_tokenize_str(part)]
-
-    def odd_part(self, part: str) -> bytes:
-        return b"".join(map(self.piece, self.pieces(part)))
-
-    def letters(self, word: str) -> bytes:
-        """Letters with a blank before them or none."""
-        if self.spelling is not None and (word.isascii() or _LATIN.fullmatch(word)):
-            return self.piece(self.spelling(word))
-        return self.odd_part(word)
-
-    def word(self, word: str) -> bytes:
-        """A run of letters or of punctuation, remembered."""
-        found = self.words.get(word)
-        if found is None:
-            found = self.words.older.get(word)
-            if found is None:
-                found = self.letters(word) if word.isalpha() else self.odd_part(word)
-            self.words.keep(word, found)
-        return found
-
-    def part(self, part: str) -> bytes:
-        """A part; words with some punctuation behind them, one or more to a line each, are looked up word by word."""
-        core = part.rstrip(MARKS)
-        if core[:1] == " " and core[1:].isalpha():
-            # The word itself is a part like this one.
-            return self.letters(core) if len(core) == len(part) else self.parts[core[1:]] + self.word(part[len(core) :])
-        if "\n" not in part:
-            return self.odd_part(part)
-        out = []
-        for i, line in enumerate(part.split("\n")):
-            core = line.rstrip(MARKS)
-            spaced = i == 0 and core[:1] == " "
-            if not (core[1:] if spaced else core).isalpha():
-                return self.odd_part(part)
-            if i:
-                out.append(self.line_feed)
-            out.append(self.parts[core[1:]] if spaced else self.word(core))
-            if len(core) < len(line):
-                out.append(self.word(line[len(core) :]))
-        return b"".join(out)
+        self.chunk_chars, self.slice_words = chunk_chars, slice_words
 
     def holds_added(self, text: str) -> bool:
         if any(map(text.__contains__, self.added)):
             return True
         return bool(self.normal) and any(map(self.normalizer.normalize_str(text).__contains__, self.normal))
 
+    def library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """A text cut at the blanks that words meet at; they are left out. A line feed marks the first word, which has no blank before it."""
+        if has_odd_space(text):
+            first, *rest = _MEETING.split(text)
+            return ["\n" + first, *(part[1:] for part in rest)]
+        words = text.split(" ")
+        words[0] = "\n" + words[0]
+        return words
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of different words, and where those of each word begin and how many they are."""
+        count, first = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        found: list[np.ndarray] = []
+        size = 0
+
+        def add(ids: np.ndarray) -> None:
+            nonlocal size
+            found.append(ids)
+            size += len(ids)
+
+        def together(chunk: list[int], joint: str) -> None:
+            """Words without white space around them, encoded as one text with ``joint`` before each."""
+            shown = [words[i].lstrip("\n") for i in chunk]
+            # A text does not begin with the line feed between first words.
+            text = joint.join(shown) if joint == "\n" else joint + joint.join(shown)
+            told = self.tokenizer.encode(text, add_special_tokens=False)
+            sizes = np.fromiter(map(len, shown), np.int64, len(shown)) + 1
+            begins = np.cumsum(sizes) - sizes
+            at = np.fromiter((x for x, _ in told.offsets), np.int64, len(told.ids))
+            ids = np.array(told.ids, "<u4")
+            owner = np.searchsorted(begins, at, "right") - 1
+            if joint == "\n":
+                # The line feeds themselves may be tokens.
+                own = at < begins[owner] + sizes[owner] - 1
+                ids, owner = ids[own], owner[own]
+            counts = np.bincount(owner, minlength=len(chunk))
+            count[chunk] = counts
+            first[chunk] = size + np.cumsum(counts) - counts
+            add(ids)
+
+        chunks: dict[str, list[int]] = {" ": [], "\n": []}
+        held = {" ": 0, "\n": 0}
+        for i, word in enumerate(words):
+            joint = "\n" if word[0] == "\n" else " "
+            begin = 1 if joint == "\n" else 0
+            if len(word) == begin or word[begin].isspace() or word[-1].isspace():
+                ids = self.library(word[1:] if begin else " " + word)
+                count[i], first[i] = len(ids), size
+                add(ids)
+                continue
+            chunks[joint].append(i)
+            held[joint] += len(word) + 1
+            if held[joint] >= self.chunk_chars:
+                together(chunks[joint], joint)
+                chunks[joint], held[joint] = [], 0
+        for joint, chunk in chunks.items():
+            if chunk:
+                together(chunk, joint)
+        return np.concatenate(found) if found else np.zeros(0, "<u4"), first, count
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        split = [None if self.holds_added(t) else self.words(t) if t else [] for t in texts]
+        number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(words for words in split if words)))}
+        ids, first, count = self.encode_words(list(number))
+        for text, words in zip(texts, split):
+            if words is None:
+                yield self.library(text).tobytes()
+                continue
+            parts = []
+            for begin in range(0, len(words), self.slice_words):
+                some = words[begin : begin + self.slice_words]
+                numbers = np.fromiter(map(number.__getitem__, some), np.int64, len(some))
+                n = count[numbers]
+                ends = np.cumsum(n)
+                at = np.arange(ends[-1]) + np.repeat(first[numbers] - (ends - n), n)
+                parts.append(ids[at].tobytes())
+            yield parts[0] if len(parts) == 1 else b"".join(parts)
+
     def encode(self, text: str) -> bytes:
-        if self.holds_added(text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return b"".join(self.parts.of_text(text))
+        return next(self.encode_all([text]))
 
 
 _encoders: dict[str, TextEncoder] = {}

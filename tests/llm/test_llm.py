@@ -303,3 +303,46 @@ def test_strings_of_added_tokens(path):
     tokenizer, own = Tokenizer.from_file(path), TextEncoder(path)
     for t in ("one <|endoftext|> two", "<|startoftext|>A<|endoftext|>", "<|endoftext|>\n\n<|endoftext|> x", "<|ENDOFTEXT|> y", "<|endoftext| >", LINE):
         assert own.encode(t) == np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@pytest.mark.parametrize("path", [BYTE_FILE, WORD_FILE])
+def test_texts_of_marks_and_punctuation(path):
+    """Words whose normal form ends in a mark, beside punctuation and white space of all kinds."""
+    from passagemill.llm.tokenizing import TextEncoder
+
+    tokenizer = Tokenizer.from_file(path)
+    draw = np.random.default_rng(6)
+    letters = [*"aAbé ßİ日\n\t.,'1٣🙂​TKſ!?;:\x1c\x85　क़़שׁ̈", *[" "] * 6]
+    letters += ["ing", " word", "  ", " ̈", ". ", "लड़,", "বড়.", "דשׁ,", "TÜRKİ,", "DAKİ.\n", "<|endoftext|>"]
+    texts = ["".join(draw.choice(letters, draw.integers(0, 50))) for _ in range(5000)]
+    for own in (TextEncoder(path), TextEncoder(path, chunk_chars=5, slice_words=3)):
+        got = list(own.encode_all(texts))
+        assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_packing_query(spark, rows, tmp_path):
+    """The registered query against the library: ids of each piece, windows filled from their start, none too long."""
+    from passagemill.llm import queries
+
+    encode = library(WORD_FILE)
+    long = [(900, "many words " * 6000), (901, "DAKİ.\nDAKİ, " * 50)]
+    given = [(r[0], r[1]) for r in rows if r[0] not in (None, 4)] + long
+    spark.createDataFrame(given, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    pieces, windows = defaultdict(list), defaultdict(list)
+    for r in queries.op6_packing(spark, str(tmp_path)).collect():
+        pieces[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+        windows[r.sequence_id].append((r.offset, r.length))
+    for doc_id, t in given:
+        ids = [*encode(t or ""), 2]
+        at = 0
+        for start, length, told, total in sorted(pieces.pop(doc_id)):
+            assert (start, total, told) == (at, len(ids), crc(ids[start : start + length]))
+            at += length
+        assert at == len(ids)
+    assert not pieces
+    for places in windows.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 4096
