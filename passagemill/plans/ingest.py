@@ -15,9 +15,10 @@ from passagemill.operators.chunking import BoundaryScorer, chunk_documents
 from passagemill.operators.classify import LabelScorer, classify_zero_shot, label_table, skip_reason, with_status
 from passagemill.operators.embedding import embed_hashed
 from passagemill.operators.projection import project_2d, viz_points
-from passagemill.session import materialize
+from passagemill.session import delete_paths, materialize, recorded
 from passagemill.sources import store as st
-from passagemill.sources.documents import parse_errors, parse_folder, parts_of
+from passagemill.sources.documents import parse_errors, parse_listed, parts_of
+from passagemill.sources.files import list_source_files
 from passagemill.sources.structured import PdfExtractor
 
 
@@ -82,18 +83,22 @@ def run_ingest(spark: SparkSession, root: str, out: str, options: IngestOptions
     """Parse, cut, label, embed and store a folder. False if nothing came out.
 
     Parsed parts are written once, since both chunks and errors come from them;
-    the rest is one pass into the store.
+    the rest is one pass into a new run of the store, which is committed with
+    the list of its files. What was written on the way is deleted again.
     """
     options = options or IngestOptions()
     st.refuse_existing(spark, out, options.overwrite)
-    parsed = materialize(parse_folder(spark, root, pdf_extractor=options.pdf_extractor), "parsed")
-    parse_errors(parsed).write.mode("overwrite").json(f"{out}/parse_errors")
-    parts = parts_of(parsed)
-    if parts.isEmpty():
-        return False
-    chunks = st.write_store(
-        chunks_of_parts(parts, options), manifest_of(options, root), out, overwrite=True
-    )
-    if options.prepare_viz_data:
-        st.write_viz_points(viz_points(project_2d(chunks)), f"{out}/viz_points")
-    return True
+    with recorded() as paths:
+        files = materialize(list_source_files(spark, root), "listing")
+        parsed = materialize(parse_listed(files, pdf_extractor=options.pdf_extractor), "parsed")
+        parts = parts_of(parsed)
+        filled = not parts.isEmpty()
+        if filled:
+            chunks = st.write_store(
+                chunks_of_parts(parts, options), manifest_of(options, root), out,
+                overwrite=True, files=files, errors=parse_errors(parsed),
+            )
+            if options.prepare_viz_data:
+                st.write_viz_points(viz_points(project_2d(chunks)), f"{out}/viz_points")
+    delete_paths(spark, paths)
+    return filled

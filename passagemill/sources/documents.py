@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,38 +12,35 @@ from passagemill import schemas
 from passagemill.functions import text as tx
 from passagemill.functions.markup import markup_text, without_html_tags, without_xml_tags
 from passagemill.functions.ranking import distributed_row_number
+from passagemill.session import materialize
 from passagemill.sources import files as fl
-from passagemill.sources.structured import PdfExtractor, structured_reader
+from passagemill.sources import splits
+from passagemill.sources.structured import PART_TYPES, PdfExtractor, structured_reader
+from passagemill.sources.walk import with_content
 
 # Parsers done by column functions alone.
 PLAIN = fl.TEXT_EXTENSIONS + fl.MARKDOWN_EXTENSIONS + fl.CODE_EXTENSIONS + [".html", ".xml"]
 
-# JSON-lines files above this are read in splits.
-SPLIT_BYTES = 256 << 20
+# Files above this are read in ranges or as streams.
+SPLIT_BYTES = 64 << 20
 # Repaired ids that may be sent to every task.
 BROADCAST_REPAIRS = 1_000_000
 # What one binary value can hold.
 MAX_WHOLE_BYTES = 2_000_000_000
+MARKUP = [".html", ".xml"]
+LINES = [".csv", ".tsv", ".jsonl"]
 
 
-def parse_files(files: DataFrame, pdf_extractor: PdfExtractor | None = None) -> DataFrame:
-    """Every part and every parse error of ``files``, in one scan.
-
-    Text, markup and code never leave the JVM; the other formats go through one
-    table function, which only receives the bytes it has to parse.
-    """
-    known = fl.file_metadata(files)
+def supported_files(known: DataFrame) -> DataFrame:
+    """Files that have a reader; adds ``__generic``, true for text of an unknown type."""
     parser = F.col("parsing_type_used")
     generic = (F.col("detected_group") == "text") & ~parser.isin(fl.KNOWN_EXTENSIONS)
-    supported = known.filter(parser.isin(fl.KNOWN_EXTENSIONS) | generic)
-    plain = parser.isin(PLAIN) | generic
-    split = supported.select(
-        *[c for c in supported.columns if c != "content"],
-        F.when(plain, fl.as_text(F.col("content"))).alias("__plain"),
-        F.when(~plain, F.col("content")).alias("__bytes"),
-    )
-    reader = structured_reader(pdf_extractor)
-    rows = split.lateralJoin(reader(parser.outer(), F.col("__bytes").outer())).drop("__bytes")
+    return known.withColumn("__generic", generic).filter(parser.isin(fl.KNOWN_EXTENSIONS) | F.col("__generic"))
+
+
+def with_text(rows: DataFrame) -> DataFrame:
+    """Parsed rows with their clean ``text``: from ``__plain``, a text as it is, or ``raw_text``, what a reader gave."""
+    parser = F.col("parsing_type_used")
     raw = F.coalesce("__plain", "raw_text")
     stripped = (
         F.when(parser.isin(".html", ".epub"), without_html_tags(raw))
@@ -61,54 +59,78 @@ def parse_files(files: DataFrame, pdf_extractor: PdfExtractor | None = None) ->
     )
     return (
         schemas.computed_once(rows.withColumns({"content_type": kind, "__stripped": stripped}), "text", text)
-        .withColumn("extraction_method", F.when(generic, F.lit("generic_text_fallback")))
+        .withColumn("extraction_method", F.when(F.col("__generic"), F.lit("generic_text_fallback")))
         .withColumn("sheet_name", tx.sanitize_id(F.col("sheet_name")))
-        .drop("__plain", "raw_text", "__stripped")
+        .drop("__plain", "raw_text", "__stripped", "__generic")
     )
 
 
-def parse_long_jsonl(spark: SparkSession, root: str, min_bytes: int) -> DataFrame:
-    """Parts of ``.jsonl`` files above ``min_bytes``, read in splits.
+def parse_files(files: DataFrame, pdf_extractor: PdfExtractor | None = None) -> DataFrame:
+    """Every part and every parse error of ``files``, which come with their ``content``, in one scan.
 
-    Lines are numbered over the splits of their file, then parsed one by one, so
-    the size of a file does not matter.
+    Text, markup and code are cleaned in the JVM; the other formats go through one
+    table function, which only receives the bytes it has to parse.
     """
-    lines = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]")
-        .option("lineSep", "\n")
-        .text(root)
-    )
-    # The metadata path is encoded; a plus sign in it is a plus sign.
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    placed = lines.filter(F.col("_metadata.file_size") > min_bytes).select(
-        fl.relative_path(path, root).alias("source_file"),
-        F.col("_metadata.file_modification_time").alias("file_last_modified"),
-        F.col("_metadata.file_size").alias("file_size_bytes"),
-        F.col("_metadata.file_block_start").alias("__block"),
-        F.monotonically_increasing_id().alias("__in_block"),
-        "value",
+    supported = supported_files(fl.file_metadata(files))
+    parser = F.col("parsing_type_used")
+    plain = parser.isin(PLAIN) | F.col("__generic")
+    split = supported.select(
+        *[c for c in supported.columns if c != "content"],
+        F.when(plain, fl.as_text(F.col("content"))).alias("__plain"),
+        F.when(~plain, F.col("content")).alias("__bytes"),
     )
-    wanted = placed.filter(fl.wanted_files(F.col("source_file")))
-    order = [F.col("__block"), F.col("__in_block")]
-    numbered = distributed_row_number(wanted, ["source_file"], order, "__line").drop("__block", "__in_block")
-    reader = structured_reader()
-    rows = numbered.lateralJoin(
-        reader(F.lit(".jsonl").outer(), F.encode(fl.as_text(F.col("value")), "UTF-8").outer())
+    reader = structured_reader(pdf_extractor)
+    return with_text(split.lateralJoin(reader(parser.outer(), F.col("__bytes").outer())).drop("__bytes"))
+
+
+def parse_long_files(
+    files: DataFrame, split_bytes: int = SPLIT_BYTES, pdf_extractor: PdfExtractor | None = None
+) -> DataFrame:
+    """The rows of :func:`parse_files` for files of any length, which are never held whole.
+
+    CSV, TSV, JSON lines and plain text are read by many tasks, a range each;
+    JSON, markup, workbooks, packages and Parquet by one task per file. Text
+    and markup above ``split_bytes`` become several parts, cut at white space.
+    """
+    known = materialize(
+        supported_files(fl.file_metadata(splits.heads_of(files, fl.SNIFFED_BYTES))).drop("content"), "long-files"
     )
-    filled = rows.withColumns(
-        {
-            "line_number": F.col("__line"),
-            "part_order": F.col("__line") * 1_000_000 + F.col("part_order"),
-            "file_extension": F.lit(".jsonl"),
-            "detected_type": F.lit("jsonl"),
-            "detected_group": F.lit("code"),
-            "detection_score": F.lit(0.9),
-            "parsing_type_used": F.lit(".jsonl"),
-            "text": tx.clean_text(F.col("raw_text")),
-        }
+    parser = F.col("parsing_type_used")
+    way = (
+        F.when(F.col("__generic") | (parser.isin(PLAIN) & ~parser.isin(MARKUP)), "text")
+        .when(parser.isin(MARKUP), "markup")
+        .when(parser.isin(LINES), "lines")
+        .otherwise("whole")
     )
-    return filled.drop("value", "__line", "raw_text")
+    readers = {
+        "text": lambda some: splits.text_pieces(some, split_bytes),
+        "markup": lambda some: splits.markup_piece_rows(some, split_bytes),
+        "lines": lambda some: splits.record_parts(some, split_bytes),
+        "whole": lambda some: splits.whole_file_parts(some, pdf_extractor, MAX_WHOLE_BYTES),
+    }
+    made = []
+    for name in sorted(r[0] for r in known.select(way.alias("way")).distinct().collect()):
+        rows = readers[name](known.filter(way == name)).drop("path", "length")
+        if "content" in rows.columns:
+            pieces = rows.withColumn("__plain", fl.as_text(F.col("content"))).drop("content")
+            rows = pieces.withColumns({f: F.lit(None).cast(t) for f, t in PART_TYPES.items() if f not in pieces.columns})
+        else:
+            rows = rows.withColumn("__plain", F.lit(None).cast("string"))
+        made.append(rows)
+    if not made:
+        return parse_files(files.limit(0).withColumn("content", F.lit(None).cast("binary")))
+    return with_text(functools.reduce(DataFrame.unionByName, made))
+
+
+def parse_listed(
+    files: DataFrame, *, pdf_extractor: PdfExtractor | None = None, split_bytes: int = SPLIT_BYTES
+) -> DataFrame:
+    """All parts and errors of listed files: short files whole, long ones in ranges or as streams."""
+    short = parse_files(with_content(files.filter(F.col("length") <= split_bytes)), pdf_extractor)
+    long = files.filter(F.col("length") > split_bytes)
+    if long.isEmpty():
+        return short
+    return short.unionByName(parse_long_files(long, split_bytes, pdf_extractor))
 
 
 def parse_folder(
@@ -118,21 +140,9 @@ def parse_folder(
     pdf_extractor: PdfExtractor | None = None,
     split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
-    """All parts and errors of a folder: files whole, long JSON-lines files in
-    splits. A file too long for one row is an error, not a failed job."""
-    files = fl.list_source_files(spark, root)
-    extension = fl.extension_of(F.col("source_file"))
-    by_lines = (extension == ".jsonl") & (F.col("length") > split_bytes)
-    whole = parse_files(files.filter((F.col("length") <= MAX_WHOLE_BYTES) & ~by_lines), pdf_extractor)
-    too_long = files.filter((F.col("length") > MAX_WHOLE_BYTES) & ~by_lines).select(
-        "source_file",
-        extension.alias("parsing_type_used"),
-        F.lit(f"longer than {MAX_WHOLE_BYTES} bytes").alias("error"),
-    )
-    parsed = whole.unionByName(too_long, allowMissingColumns=True)
-    if files.filter(by_lines).select("source_file").isEmpty():
-        return parsed
-    return parsed.unionByName(parse_long_jsonl(spark, root, split_bytes), allowMissingColumns=True)
+    """All parts and errors of a folder. The listing is written first, so all steps see the same files."""
+    files = materialize(fl.list_source_files(spark, root), "listing")
+    return parse_listed(files, pdf_extractor=pdf_extractor, split_bytes=split_bytes)
 
 
 def parse_errors(parsed: DataFrame) -> DataFrame:
@@ -175,11 +185,14 @@ def unique_part_ids(parts: DataFrame) -> DataFrame:
         # Few enough to send along; the texts then need not be shuffled.
         later = F.broadcast(later)
     joined = parts.join(later, ["part_id", "source_file", "part_order"], "left")
-    fixed = F.when(
-        F.col("__place").isNotNull(),
-        F.concat(F.col("part_id"), F.lit("_d"), (F.col("__place") - 1).cast("string")),
-    ).otherwise(F.col("part_id"))
-    return joined.withColumn("part_id", fixed).select(*parts.columns)
+    repaired_id = F.concat(F.col("part_id"), F.lit("_d"), (F.col("__place") - 1).cast("string"))
+    fixed = F.when(F.col("__place").isNotNull(), repaired_id).otherwise(F.col("part_id"))
+    unique = joined.withColumn("part_id", fixed).select(*parts.columns)
+    # A repaired id may be the own id of another part.
+    made = later.select(repaired_id.alias("part_id"))
+    if parts.select("part_id").join(made, "part_id", "left_semi").isEmpty():
+        return unique
+    return unique_part_ids(unique)
 
 
 def read_documents(

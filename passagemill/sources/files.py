@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill.schemas import computed_once
+from passagemill.sources.walk import walk
 
 FILE_SCHEMA = T.StructType(
     [
@@ -20,6 +21,7 @@ FILE_SCHEMA = T.StructType(
 )
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
+# The extensions of each group of readers.
 TEXT_EXTENSIONS = [".txt"]
 MARKDOWN_EXTENSIONS = [".md"]
 CODE_EXTENSIONS = [".py", ".js", ".java", ".c", ".cpp", ".cs", ".go", ".rb", ".php"]
@@ -55,13 +57,12 @@ def wanted_files(source_file: Column) -> Column:
 
 
 def list_source_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root``: ``(source_file, path, modificationTime, length, content)``.
+    """Files below ``root``: ``(source_file, path, modificationTime, length)``, empty ones too.
 
-    Content is only read if a later step selects it. Spark itself leaves out
-    files whose name starts with ``_``, and empty files.
+    The folder is walked in tasks, so names that begin with ``_`` are found as
+    well. :func:`passagemill.sources.walk.with_content` adds the bytes.
     """
-    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return with_source_file(scan, root)
+    return walk(spark, root).filter(wanted_files(F.col("source_file")))
 
 
 def with_source_file(scan: DataFrame, root: str) -> DataFrame:
@@ -88,11 +89,12 @@ def opening_of(head: Column) -> Column:
     return F.lower(F.regexp_replace(F.substring(head, 1, 256), "^\ufeff?\\s*", ""))
 
 
-def sniff(content: Column, extension: Column, head: Column, opening: Column) -> Column:
+def sniff(content: Column, extension: Column, head: Column, opening: Column, whole_json: Column | None = None) -> Column:
     """``struct<label, group, score>`` from a file's first bytes.
 
     Rules over magic numbers and openings; guesses at text formats are only
-    made for names without a known extension and for plain text.
+    made for names without a known extension and for plain text. Where
+    ``content`` is not the whole file, ``whole_json`` tells whether that is JSON.
     """
     first_bytes = F.hex(F.substring(content, 1, 8))
     unsure = ~extension.isin([e for e in KNOWN_EXTENSIONS if e != ".txt"])
@@ -117,7 +119,9 @@ def sniff(content: Column, extension: Column, head: Column, opening: Column) ->
         & (F.size(commas) >= 3)
         & (F.array_min(commas) == F.array_max(commas))
     )
-    is_json = opening.rlike(r"^[\[{]") & F.try_parse_json(as_text(content)).isNotNull()
+    is_json = opening.rlike(r"^[\[{]") & (
+        F.try_parse_json(as_text(content)).isNotNull() if whole_json is None else whole_json
+    )
     zipped = first_bytes.startswith("504B0304")
     return (
         F.when(first_bytes.startswith("255044462D"), guess("pdf", "document", 0.99))
@@ -157,7 +161,10 @@ def parser_for(extension: Column, label: Column, score: Column) -> Column:
 
 
 def file_metadata(files: DataFrame) -> DataFrame:
-    """Files with their base metadata; empty files are left out."""
+    """Files with their base metadata; empty files are left out.
+
+    Long files come with their first bytes as ``content`` and with ``whole_json``.
+    """
     extension = F.col("file_extension")
     opened = (
         files.filter(F.col("length") > 0)
@@ -165,7 +172,8 @@ def file_metadata(files: DataFrame) -> DataFrame:
         .withColumn("__head", head_of(F.col("content")))
         .withColumn("__opening", opening_of(F.col("__head")))
     )
-    found = sniff(F.col("content"), extension, F.col("__head"), F.col("__opening"))
+    whole_json = F.col("whole_json") if "whole_json" in files.columns else None
+    found = sniff(F.col("content"), extension, F.col("__head"), F.col("__opening"), whole_json)
     sniffed = computed_once(opened, "__sniff", found)
     return sniffed.select(
         "source_file",
@@ -177,4 +185,5 @@ def file_metadata(files: DataFrame) -> DataFrame:
         F.col("modificationTime").alias("file_last_modified"),
         F.col("length").alias("file_size_bytes"),
         "content",
+        *(["path", "length"] if whole_json is not None else []),
     )

@@ -15,10 +15,11 @@ import re
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timedelta
-from typing import Any
+from typing import Any, BinaryIO
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -28,7 +29,10 @@ PART_SCHEMA = (
     "sheet_name string, row_index bigint, line_number bigint, json_path string, epub_item_id string, "
     "epub_item_name string, epub_book_title string, error string"
 )
-FIELDS = [f.strip().split(" ")[0] for f in PART_SCHEMA.split(",")]
+PART_TYPES = dict(f.split() for f in PART_SCHEMA.split(","))
+FIELDS = list(PART_TYPES)
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+ARROW_PARTS = {name: _ARROW[kind] for name, kind in PART_TYPES.items()}
 INFERENCE_ROWS = 1000
 
 # Bytes of a PDF to the text of each page.
@@ -36,13 +40,21 @@ PdfExtractor = Callable[[bytes], Iterable[str]]
 Parts = Iterator[dict[str, Any]]
 
 
+class Pairs(list):
+    """The names and values of a JSON object, a repeated name each time."""
+
+
+def read_json(text: str) -> Any:
+    return json.loads(text, object_pairs_hook=Pairs)
+
+
 def leaves(value: Any) -> Iterator[tuple[str, str]]:
-    """(path, text) of the scalar leaves of a JSON value, in source order."""
+    """(path, text) of the scalar leaves of a JSON value of :func:`read_json`, in source order."""
     waiting = [("root", value)]
     while waiting:
         path, here = waiting.pop()
-        if isinstance(here, dict):
-            steps = [(str(k), v) for k, v in here.items()]
+        if isinstance(here, Pairs):
+            steps = here
         elif isinstance(here, list):
             steps = [(f"[{i}]", v) for i, v in enumerate(here)]
         else:
@@ -53,29 +65,56 @@ def leaves(value: Any) -> Iterator[tuple[str, str]]:
 
 
 def cells_text(names: list[str], values: Iterable[Any]) -> str:
-    """``name: value`` of the filled cells of a row."""
-    shown = ((n, str(v)) for n, v in zip(names, values) if v is not None)
+    """``name: value`` of the filled cells of a row; cells beyond the names are named by their place."""
+    shown = ((names[i] if i < len(names) else f"column_{i}", str(v)) for i, v in enumerate(values) if v is not None)
     return " | ".join(f"{n}: {v}" for n, v in shown if v.strip())
 
 
 def json_parts(content: bytes) -> Parts:
-    for path, text in leaves(json.loads(content.decode("utf-8", "replace"))):
+    for path, text in leaves(read_json(content.decode("utf-8", "replace"))):
         yield {"raw_text": text, "json_path": path, "content_type": "json_text_value"}
 
 
-def jsonl_parts(content: bytes) -> Parts:
-    text = io.TextIOWrapper(io.BytesIO(content), encoding="utf-8", errors="replace")
-    for number, line in enumerate(text, 1):
+_LINE_END = re.compile(rb"\r\n|\r|\n")
+
+
+def byte_lines(stream: BinaryIO, at: int = 0, block: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+    """Place and bytes of each line from ``at`` on, without its end."""
+    stream.seek(at)
+    held, more = b"", True
+    while more:
+        data = stream.read(max(block, len(held)))
+        more = bool(data)
+        held += data
+        # A carriage return at the end of the block may be half of a line end.
+        sure = len(held) - (1 if more and held.endswith(b"\r") else 0)
+        done = 0
+        for end in _LINE_END.finditer(held, 0, sure):
+            yield at + done, held[done : end.start()]
+            done = end.end()
+        at, held = at + done, held[done:]
+    if held:
+        yield at, held
+
+
+def jsonl_parts(stream: BinaryIO, first: int = 0, records: int | None = None, before: int = 0) -> Parts:
+    """Leaves of ``records`` lines (or all) from the place ``first`` on, with ``before`` lines ahead of it.
+
+    A part's order is the place of its line in the file, plus its number in the
+    line; a leaf takes a byte at least, so orders of two lines do not meet.
+    """
+    for number, (place, raw) in enumerate(itertools.islice(byte_lines(stream, first), records), before + 1):
+        line = raw.decode("utf-8", "replace")
         if not line.strip():
             continue
         try:
-            value = json.loads(line)
+            value = read_json(line)
         except ValueError:
-            yield {"raw_text": line, "line_number": number, "content_type": "jsonl_malformed_line_text"}
+            yield {"raw_text": line, "line_number": number, "content_type": "jsonl_malformed_line_text", "part_order": place}
             continue
-        for path, leaf in leaves(value):
+        for order, (path, leaf) in enumerate(leaves(value), place):
             yield {
-                "raw_text": leaf, "line_number": number, "json_path": path, "content_type": "jsonl_text_value",
+                "raw_text": leaf, "line_number": number, "json_path": path, "content_type": "jsonl_text_value", "part_order": order,
             }
 
 
@@ -93,43 +132,66 @@ def _cell_types() -> list[tuple[Callable[[str], bool], Callable[[str], Any]]]:
     return [(lambda s: s in flags, flags.get), (parses(int), int), (parses(float), float)]
 
 
-def delimited_parts(content: bytes, separator: str) -> Parts:
-    """Header and rows; each column takes the narrowest type that its first
-    rows fit, and later values that do not fit stay as they are written."""
+def delimited_parts(
+    stream: BinaryIO, separator: str, first: int = 0, records: int | None = None, before: int = 0
+) -> Parts:
+    """Rows of ``records`` records (or all) from the place ``first`` on, with ``before`` records ahead of it.
+
+    The first record of the file is the header. Each column takes the narrowest type that the
+    first rows of the file fit, and later values that do not fit stay as they are written.
+    """
     csv.field_size_limit(1 << 30)
-    text = io.TextIOWrapper(io.BytesIO(content), encoding="utf-8-sig", errors="replace", newline="")
-    rows = csv.reader(text, delimiter=separator)
-    header = next(rows, None)
-    if not header:
+
+    def rows_from(place: int) -> Iterator[list[str]]:
+        stream.seek(place)
+        # The stream stays open for the next reading.
+        held = io.BufferedReader(_Unclosed(stream), 1 << 18)
+        text = io.TextIOWrapper(held, encoding="utf-8-sig" if place == 0 else "utf-8", errors="replace", newline="")
+        return csv.reader(text, delimiter=separator)
+
+    head = list(itertools.islice(rows_from(0), INFERENCE_ROWS + 1))
+    if not head or not head[0]:
         return
     names: list[str] = []
-    for name in header:
+    for name in head[0]:
         copies = sum(n == name or n.startswith(f"{name}_duplicated_") for n in names)
         names.append(f"{name}_duplicated_{copies - 1}" if copies else name)
-    sample = list(itertools.islice(rows, INFERENCE_ROWS))
     types = _cell_types()
     converters = []
     for i in range(len(names)):
-        seen = [row[i] for row in sample if i < len(row) and row[i] != ""]
+        seen = [row[i] for row in head[1:] if i < len(row) and row[i] != ""]
         fitting = [t for t in types if seen and all(t[0](s) for s in seen)]
         converters.append(fitting[0] if fitting else (lambda s: True, str))
-    for index, row in enumerate(_chain(sample, rows)):
+    as_written = (lambda s: True, str)
+    for index, row in enumerate(itertools.islice(rows_from(first), records), before - 1):
+        if index < 0:
+            continue
         values = [
-            None if s == "" else convert(s) if fits(s) else s for s, (fits, convert) in zip(row, converters)
+            None if s == "" else convert(s) if fits(s) else s
+            for s, (fits, convert) in zip(row, itertools.chain(converters, itertools.repeat(as_written)))
         ]
-        yield {"raw_text": cells_text(names, values), "row_index": index}
+        yield {"raw_text": cells_text(names, values), "row_index": index, "part_order": index}
 
 
-def _chain(*parts: Iterable[Any]) -> Iterator[Any]:
-    for part in parts:
-        yield from part
+class _Unclosed(io.RawIOBase):
+    """A stream whose end of use does not close it."""
 
+    def __init__(self, stream: BinaryIO):
+        self.stream = stream
 
-def parquet_parts(content: bytes) -> Parts:
-    import pyarrow as pa
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, room) -> int:
+        data = self.stream.read(len(room))
+        room[: len(data)] = data
+        return len(data)
+
+
+def parquet_parts(stream: BinaryIO) -> Parts:
     import pyarrow.parquet as pq
 
-    table = pq.ParquetFile(pa.BufferReader(content))
+    table = pq.ParquetFile(stream)
     index = 0
     for batch in table.iter_batches(batch_size=4096):
         for row in zip(*[column.to_pylist() for column in batch.columns]):
@@ -164,9 +226,9 @@ def shows_date(code: str) -> bool:
     return bool(re.search("[dy]", plain)) or ("m" in plain and not re.search("[hs]", plain))
 
 
-def xlsx_parts(content: bytes) -> Parts:
+def xlsx_parts(stream: BinaryIO) -> Parts:
     """Rows of every sheet; the first row names the columns."""
-    archive = zipfile.ZipFile(io.BytesIO(content))
+    archive = zipfile.ZipFile(stream)
     names = set(archive.namelist())
     shared: list[str] = []
     if "xl/sharedStrings.xml" in names:
@@ -245,9 +307,9 @@ def _paragraphs(node: ElementTree.Element) -> Iterator[ElementTree.Element]:
             yield from _paragraphs(child)
 
 
-def docx_parts(content: bytes) -> Parts:
+def docx_parts(stream: BinaryIO) -> Parts:
     """The filled paragraphs of the document body, table cells included, as one part."""
-    body = next(n for n in _xml(zipfile.ZipFile(io.BytesIO(content)), "word/document.xml") if _local(n.tag) == "body")
+    body = next(n for n in _xml(zipfile.ZipFile(stream), "word/document.xml") if _local(n.tag) == "body")
     marks = {"tab": "\t", "br": "\n", "cr": "\n"}
     texts = []
     for paragraph in _paragraphs(body):
@@ -263,9 +325,9 @@ def docx_parts(content: bytes) -> Parts:
     }
 
 
-def epub_parts(content: bytes) -> Parts:
+def epub_parts(stream: BinaryIO) -> Parts:
     """One part per XHTML item of the package, with the book's title."""
-    archive = zipfile.ZipFile(io.BytesIO(content))
+    archive = zipfile.ZipFile(stream)
     package = next(
         n.get("full-path") for n in _xml(archive, "META-INF/container.xml").iter() if _local(n.tag) == "rootfile"
     )
@@ -293,18 +355,24 @@ def pdf_parts(content: bytes, extractor: PdfExtractor | None) -> Parts:
         yield {"raw_text": text, "page_number": number, "content_type": "pdf_page_text"}
 
 
+# Readers of a stream that can seek.
+STREAMED: dict[str, Callable[[BinaryIO], Parts]] = {
+    ".jsonl": jsonl_parts,
+    ".csv": lambda s: delimited_parts(s, ","),
+    ".tsv": lambda s: delimited_parts(s, "\t"),
+    ".parquet": parquet_parts,
+    ".xlsx": xlsx_parts,
+    ".docx": docx_parts,
+    ".epub": epub_parts,
+}
+
+
 def structured_reader(pdf_extractor: PdfExtractor | None = None):
     """Table function ``(parser key, bytes) -> parts``; a failure is a row with an error."""
     readers: dict[str, Callable[[bytes], Parts]] = {
         ".json": json_parts,
-        ".jsonl": jsonl_parts,
-        ".csv": lambda c: delimited_parts(c, ","),
-        ".tsv": lambda c: delimited_parts(c, "\t"),
-        ".parquet": parquet_parts,
-        ".xlsx": xlsx_parts,
-        ".docx": docx_parts,
-        ".epub": epub_parts,
         ".pdf": lambda c: pdf_parts(c, pdf_extractor),
+        **{key: (lambda c, read=read: read(io.BytesIO(c))) for key, read in STREAMED.items()},
     }
 
     class ReadStructured:
@@ -312,13 +380,13 @@ def structured_reader(pdf_extractor: PdfExtractor | None = None):
             if content is None or parser not in readers:
                 yield (0,) + (None,) * (len(FIELDS) - 1)
                 return
-            order = 0
+            order = -1
             try:
                 for part in readers[parser](bytes(content)):
-                    yield (order,) + tuple(part.get(name) for name in FIELDS[1:])
-                    order += 1
+                    order = part.setdefault("part_order", order + 1)
+                    yield tuple(part.get(name) for name in FIELDS)
             except Exception as e:  # noqa: BLE001 - kept as an error row
-                yield (order,) + (None,) * (len(FIELDS) - 2) + (f"{type(e).__name__}: {e}"[:500],)
+                yield (order + 1,) + (None,) * (len(FIELDS) - 2) + (f"{type(e).__name__}: {e}"[:500],)
 
     return udtf(ReadStructured, returnType=PART_SCHEMA)
 
@@ -332,7 +400,7 @@ def json_leaves(df: DataFrame, text: Column) -> DataFrame:
     class JsonLeaves:
         def eval(self, source: str):
             try:
-                value = json.loads(source)
+                value = read_json(source)
             except (TypeError, ValueError):
                 return
             for order, (path, leaf) in enumerate(leaves(value)):
