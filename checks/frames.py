@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from passagemill.operators.chunking import chunk_documents
 from passagemill.operators.embedding import embed_hashed
 from passagemill.operators.search import search
 from passagemill.plans.answer import retrieve
-from passagemill.session import configure, load_table, materialize, spread
+from passagemill.session import configure, load_table, materialize, new_path, spread
 from passagemill.sources.documents import parts_from_table
+from passagemill.sources.walk import qualified, store_of
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -77,5 +80,49 @@ def as_files(df: DataFrame, source_file: Column, content: Column) -> DataFrame:
     )
 
 
+def written_files(rows: DataFrame, root: str | None = None) -> str:
+    """Real files in the shared folder: (source_file, content), content null for a file to delete; returns the folder."""
+    spark = rows.sparkSession
+    root = qualified(spark, root or new_path(spark, "folder"))
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                store, path = store_of(f"{root}/{name}")
+                if content is None:
+                    if store.get_file_info(path).type == fs.FileType.File:
+                        store.delete_file(path)
+                    continue
+                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(path, compression=None) as stream:
+                    stream.write(content)
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+    rows.select("source_file", F.col("content").cast("binary")).mapInArrow(run, "files bigint").agg(F.sum("files")).collect()
+    return root
+
+
+def written_lines(lines: DataFrame, name: str, head: str = "", tail: str = "", root: str | None = None) -> str:
+    """One real file of all ``line`` values in ``place`` order, written by one task as a stream; returns the folder."""
+    spark = lines.sparkSession
+    root = qualified(spark, root or new_path(spark, "folder"))
+
+    def run(batches):
+        store, path = store_of(f"{root}/{name}")
+        store.create_dir(root_of(path), recursive=True)
+        n = 0
+        with store.open_output_stream(path, compression=None) as stream:
+            stream.write(head.encode())
+            for batch in batches:
+                stream.write("".join(batch.column(0).to_pylist()).encode())
+                n += batch.num_rows
+            stream.write(tail.encode())
+        yield pa.RecordBatch.from_pydict({"lines": pa.array([n], pa.int64())})
+
+    root_of = lambda path: path.rsplit("/", 1)[0]
+    lines.repartition(1).sortWithinPartitions("place").select("line").mapInArrow(run, "lines bigint").collect()
+    return root
+
+
 def rounded(c: str | Column, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)

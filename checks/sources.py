@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from checks import check
-from checks.frames import as_files, table
-from checks.twins import clean, html, twin
+from checks.frames import as_files, table, written_files, written_lines
+from checks.twins import clean, hash_of, html, twin, words
 from passagemill.sources import documents as doc
 from passagemill.sources import files as fl
+from passagemill.functions import text as tx
 
 _PARSED = ["source_file", "text"]
 
@@ -44,6 +45,7 @@ _SUFFIX = "['.txt', '.TMP', '.temp', '.DS_Store', '.md'][1 + doc_id % 5]"
         WHERE p = '' AND doc_id % 6 IN (0, 4, 5) AND doc_id % 5 IN (0, 4)""",
 )
 def list_source_files(spark, d):
+    """Real files, also in folders and of names that begin with an underscore."""
     n = F.col("doc_id")
     pick = lambda items, i: F.element_at(F.array(*[F.lit(x) for x in items]), (i + 1).cast("int"))
     name = F.concat(
@@ -53,10 +55,8 @@ def list_source_files(spark, d):
         n.cast("string"),
         pick([".txt", ".TMP", ".temp", ".DS_Store", ".md"], n % 5),
     )
-    files = as_files(table(spark, d, "documents"), name, F.encode("text", "UTF-8"))
-    return fl.with_source_file(files.drop("source_file"), "/data").select(
-        "source_file", F.col("length").alias("size")
-    )
+    files = table(spark, d, "documents").select(name.alias("source_file"), F.encode("text", "UTF-8").alias("content"))
+    return fl.list_source_files(spark, written_files(files)).select("source_file", F.col("length").alias("size"))
 
 
 @check(
@@ -388,3 +388,80 @@ def parse_errors(spark, d):
     pdf = as_files(nation, F.concat("n_name", F.lit(".pdf")), F.encode(F.lit("%PDF-1.4"), "UTF-8"))
     parsed = doc.parse_files(events.unionByName(broken).unionByName(pdf))
     return doc.parse_errors(parsed).select("source_file", "parsing_type_used")
+
+
+# One file of all rows, read in ranges of this many bytes.
+_RANGE = 256 << 10
+_LINEITEM = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag"]
+# Orders all rows but equal ones.
+_PLACE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"]
+_NOTE = "l_linestatus || chr(10) || ', \"' || l_partkey || '\"' || CASE WHEN l_orderkey % 3 = 0 THEN chr(13) || chr(10) ELSE '' END || l_suppkey"
+
+
+@check(
+    "read_csv_ranges",
+    f"""SELECT row_number() OVER (ORDER BY {', '.join(_PLACE)}) - 1 AS row_index,
+          {" || ' | ' || ".join(f"'{c}: ' || {c}" for c in _LINEITEM)} || ' | note: ' || {clean(_NOTE)} AS text FROM lineitem""",
+)
+def read_csv_ranges(spark, d):
+    """All line items in one file, with line feeds and separators inside quotes."""
+    note = F.expr(_NOTE.replace("chr(", "char("))
+    cells = [F.col(c).cast("string") for c in _LINEITEM] + [F.concat(F.lit('"'), F.replace(note, F.lit('"'), F.lit('""')), F.lit('"'))]
+    lines = table(spark, d, "lineitem").select(
+        F.struct(*_PLACE).alias("place"), F.concat(F.concat_ws(",", *cells), F.lit("\n")).alias("line")
+    )
+    root = written_lines(lines, "_all items.csv", head=",".join([*_LINEITEM, "note"]) + "\n")
+    return doc.parts_of(doc.parse_folder(spark, root, split_bytes=_RANGE), unique=False).select("row_index", "text")
+
+
+_END = "[chr(10), chr(13), chr(13) || chr(10), chr(10) || ' ' || chr(10)][1 + turn % 4]"
+
+
+@check(
+    "read_jsonl_ranges",
+    f"""WITH lines AS (
+          SELECT *, (row_number() OVER w + sum(CASE WHEN turn % 4 = 3 THEN 1 ELSE 0 END) OVER w - CASE WHEN turn % 4 = 3 THEN 1 ELSE 0 END)::BIGINT AS line_number
+          FROM conversations WINDOW w AS (ORDER BY conv_id, turn))
+        SELECT * FROM (
+          SELECT line_number, 'role' AS json_path, role AS text FROM lines WHERE turn % 5 <> 4
+          UNION ALL SELECT line_number, 'said.[0].text', {clean('text')} FROM lines WHERE turn % 5 <> 4
+          UNION ALL SELECT line_number, NULL, '{{broken ' || role FROM lines WHERE turn % 5 = 4) WHERE text <> ''""",
+)
+def read_jsonl_ranges(spark, d):
+    """All turns in one file, with line ends of every kind, blank and broken lines."""
+    whole = F.to_json(F.struct("role", F.array(F.struct("text")).alias("said")))
+    line = F.when(F.col("turn") % 5 == 4, F.concat(F.lit("{broken "), "role")).otherwise(whole)
+    end = F.element_at(F.array(F.lit("\n"), F.lit("\r"), F.lit("\r\n"), F.lit("\n \n")), (F.col("turn") % 4 + 1).cast("int"))
+    lines = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("place"), F.concat(line, end).alias("line"))
+    parts = doc.parts_of(doc.parse_folder(spark, written_lines(lines, "talks.jsonl"), split_bytes=_RANGE), unique=False)
+    return parts.select("line_number", "json_path", "text")
+
+
+def _word_sums(text: str) -> str:
+    return f"""SELECT count(*) AS n_words, sum({hash_of('w')})::BIGINT AS word_sum FROM (SELECT unnest({words(clean(text))}) AS w"""
+
+
+@check(
+    "extract_long_documents",
+    f"""SELECT 'all.txt' AS source_file, * FROM ({_word_sums('text')} FROM documents))
+        UNION ALL SELECT 'all.xml', * FROM ({_word_sums("c_name || ' a < b ' || c_mktsegment")} FROM customer))
+        UNION ALL SELECT 'all.json', * FROM ({_word_sums("o_orderkey || ' ' || o_orderstatus || ' ' || o_orderpriority")} FROM orders))""",
+)
+def extract_long_documents(spark, d):
+    """A text, an XML and a JSON file of whole tables, never held whole: every word of them, once."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("place"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("line"))
+    root = written_lines(docs, "all.txt")
+    customer = F.concat(
+        F.lit('<customer at="1 > 0"> <!-- <no> no --> <name>'), "c_name", F.lit("</name> <![CDATA[ a < b ]]> <segment>"), "c_mktsegment",
+        F.lit("</segment> </customer>\n"),
+    )
+    xml = table(spark, d, "customer").select(F.col("c_custkey").alias("place"), customer.alias("line"))
+    written_lines(xml, "all.xml", head="<?xml version='1.0'?>\n<all>", tail="</all>", root=root)
+    order = F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.array(F.struct(F.array("o_orderstatus").alias("s"), F.struct("o_orderpriority").alias("p"))).alias("more")))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("place"), F.concat(order, F.lit(",\n")).alias("line"))
+    written_lines(orders, "all.json", head="[", tail="null]", root=root)
+    parts = doc.parts_of(doc.parse_folder(spark, root, split_bytes=_RANGE), unique=False)
+    told = parts.select("source_file", F.explode(F.regexp_extract_all("text", F.lit(tx.WORD), F.lit(0))).alias("w"))
+    return told.groupBy("source_file").agg(
+        F.count(F.lit(1)).alias("n_words"), F.sum(F.conv(F.left(F.md5("w"), F.lit(8)), 16, 10).cast("bigint")).alias("word_sum")
+    )

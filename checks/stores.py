@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from checks import check
 from checks.classification import labels
-from checks.frames import document_parts, points, store, table, token_chunks
+from checks.frames import document_parts, points, store, table, token_chunks, written_files
 from checks.sources import _document_files
-from checks.twins import clean, topk, twin
+from checks.twins import clean, topk, twin, words
 from passagemill import schemas
 from passagemill.operators.classify import classify_zero_shot
 from passagemill.operators.embedding import embed_hashed, validate_dimensions
@@ -17,7 +17,7 @@ from passagemill.operators.search import search
 from passagemill.plans.ingest import IngestOptions, run_ingest
 from passagemill.session import new_path
 from passagemill.sources import store as st
-from passagemill.streaming.incremental import current_chunks, incremental_ingest
+from passagemill.streaming.incremental import current_chunks, incremental_ingest, refresh_store
 
 _CHUNKS = twin("SELECT chunk_id, text, source_file FROM chunks")
 
@@ -163,6 +163,38 @@ def incremental(spark, d):
     return _words_per_folder(current_chunks(spark, out))
 
 
+_VERSIONS = f"""
+  SELECT source_file, st // 256 AS chunk_order, array_to_string(ws[st + 1:st + 256], ' ') AS text
+  FROM (SELECT *, unnest(range(0, len(ws), 256)) AS st FROM (
+    SELECT source_file, {words('t')} AS ws FROM (
+      SELECT doc_id || '.txt' AS source_file, {clean("text || CASE WHEN doc_id % 4 = 1 THEN ' and a changed end' ELSE '' END")} AS t
+      FROM documents WHERE doc_id % 4 <> 2
+      UNION ALL SELECT '_late/' || doc_id || '.txt', {clean('text')} FROM documents WHERE doc_id % 8 = 3
+      UNION ALL SELECT 'later/' || doc_id || '.txt', {clean('text')} FROM documents WHERE doc_id % 8 = 5)))"""
+
+
+@check("store_versions", f"SELECT source_file, chunk_order::INTEGER AS chunk_order, text FROM ({_VERSIONS})")
+def store_versions(spark, d):
+    """Stream, changed, new and deleted files by refresh, then the stream again, in one store; its newest version."""
+    docs = table(spark, d, "documents")
+    n, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    name = F.concat(n.cast("string"), F.lit(".txt"))
+    file = lambda rows, name, content: rows.select(name.alias("source_file"), F.encode(content, "UTF-8").alias("content"))
+    root = written_files(file(docs.filter(n % 4 != 0), name, text))
+    out, state, options = new_path(spark, "versions"), new_path(spark, "stream-state"), IngestOptions(strategy="token")
+    incremental_ingest(spark, root, out, state, options).awaitTermination()
+    changed = F.when(n % 4 == 1, F.concat(text, F.lit(" and a changed end"))).when(n % 4 == 0, text)
+    written_files(file(docs.filter(n % 4 != 3), name, changed), root)
+    written_files(file(docs.filter(n % 8 == 3), F.concat(F.lit("_late/"), name), text), root)
+    refresh_store(spark, root, out, options)
+    written_files(file(docs.filter(n % 8 == 5), F.concat(F.lit("later/"), name), text), root)
+    incremental_ingest(spark, root, out, state, options).awaitTermination()
+    if refresh_store(spark, root, out, options) != -1:
+        raise RuntimeError("the store was in line with the folder already")
+    chunks, _ = st.load_store(spark, out)
+    return chunks.select("source_file", "chunk_order", "text")
+
+
 @check(
     "unique_part_ids",
     """SELECT conv_id, turn, 'conv_' || conv_id || CASE WHEN turn > 0 THEN '_d' || turn ELSE '' END AS part_id
