@@ -9,7 +9,7 @@ from checks.frames import found, document_parts, table, token_chunks
 from checks.twins import clean, sanitize, tokens, twin
 from passagemill import options as opt
 from passagemill.functions import text as tx
-from passagemill.operators.chunking import FAILURE, PIECES, enrich, with_fallback
+from passagemill.operators.chunking import FAILURE, PIECES, chunk_documents, enrich, with_fallback
 from passagemill.sources.documents import drop_blank_parts, parts_from_table, table_row_parts
 from passagemill.sources.structured import json_leaves
 
@@ -250,7 +250,7 @@ def chunk_fallback(spark, d):
         PIECES,
         F.when(kind == 0, F.array(F.lit(" "))).when(kind == 3, F.array(F.lit(""), F.col("text"))),
     ).withColumn(FAILURE, F.when(kind == 1, F.lit("no_chunker")).when(kind == 2, F.lit("raised")))
-    return enrich(with_fallback(cut, "token"), "token").select(
+    return enrich(with_fallback(cut, "token", start_only=True), "token").select(
         "chunk_id",
         "text",
         F.col("chunking_error").isNotNull().alias("has_error"),
@@ -258,6 +258,18 @@ def chunk_fallback(spark, d):
     )
 
 
+@check(
+    "chunk_fallback_whole",
+    twin(f"SELECT part_id, {tokens('text')} AS n_words, ({tokens('text')} + 255) // 256 AS n_chunks FROM parts"),
+)
+def chunk_fallback_whole(spark, d):
+    """Without a boundary model every word of every part is kept, in windows."""
+    chunks = chunk_documents(document_parts(spark, d), "boundary")
+    return chunks.groupBy("part_id").agg(
+        F.sum(tx.count_tokens(F.col("text"))).alias("n_words"), F.count(F.lit(1)).alias("n_chunks")
+    )
+
+
 @check(
     "similarity_metric",
     twin(

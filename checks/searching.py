@@ -93,6 +93,37 @@ def search_euclidean(spark, d):
     )
 
 
+_RANKED = """SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INTEGER AS rank,
+               chunk_id, score FROM ({})"""
+
+
+@check(
+    "search_threshold_ranges",
+    twin(_RANKED.format("SELECT * FROM gaps WHERE score >= -1.2"), _PAIRS,
+         "gaps AS (SELECT query_id, chunk_id, round(-list_distance(x, y), 9) AS score FROM pairs)"),
+)
+def search_threshold_ranges(spark, d):
+    """A threshold over two large sides: only cells that come near enough are met."""
+    store = points(spark, d)
+    queries = store.select(F.col("chunk_id").alias("query_id"), "vector")
+    return _shown(search(queries, store, metric="euclidean", threshold=-1.2, exclude_same_id=True, strategy="partitioned"))
+
+
+@check(
+    "search_inner_product_cells",
+    twin(
+        _HITS.format("top"), _PAIRS,
+        "dots AS (SELECT query_id, chunk_id, round(list_dot_product(x, y), 9) AS score FROM pairs)",
+        f"top AS ({topk('dots', 10)})",
+    ),
+)
+def search_inner_product_cells(spark, d):
+    """Inner products over two large sides, as distances with one more coordinate."""
+    store = points(spark, d)
+    queries = store.select(F.col("chunk_id").alias("query_id"), "vector")
+    return _shown(search(queries, store, metric="inner_product", k=10, exclude_same_id=True, strategy="partitioned"))
+
+
 @check(
     "hydrate_hits",
     twin(

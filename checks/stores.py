@@ -51,11 +51,13 @@ def write_supporting_data(spark, d):
          true AS classification_enabled, count(DISTINCT text)::VARCHAR AS label_count FROM benchmark""",
 )
 def write_manifest(spark, d):
-    names = [r["text"] for r in table(spark, d, "benchmark").select("text").distinct().collect()]
+    names = table(spark, d, "benchmark").select("text").distinct()
+    first = [r["text"] for r in names.orderBy("text").limit(st.LABEL_PREVIEW).collect()]
     width = validate_dimensions(store(spark, d))
     path = new_path(spark, "manifest")
     manifest = st.build_manifest(
-        model="hashed", dimension=width, metric="COSINE", chunker="token", classifier="hashed", labels=names
+        model="hashed", dimension=width, metric="COSINE", chunker="token", classifier="hashed", labels=first,
+        label_count=names.count(),
     )
     st.write_manifest(spark, manifest, path)
     saved = spark.read.schema(st.MANIFEST_SCHEMA).json(f"{path}/manifest")

@@ -158,14 +158,20 @@ def add_pieces(
     return parts.withColumn(PIECES, pieces).withColumn(FAILURE, F.lit(None).cast("string"))
 
 
-def with_fallback(cut: DataFrame, strategy: str) -> DataFrame:
-    """Drop blank pieces; a part left without any becomes one chunk of its start.
+def with_fallback(cut: DataFrame, strategy: str, *, start_only: bool = False) -> DataFrame:
+    """Drop blank pieces; a part left without any is cut into windows of words.
 
-    The chunk keeps ``chunk_size * 5`` characters of the strategy's default
-    size. Its id tells a missing chunker and missing output apart.
+    The windows have the strategy's default size and hold the whole part. With
+    ``start_only`` one chunk of the part's first ``chunk_size * 5`` characters is kept
+    instead and the rest left out.
     """
     default_size = getattr(opt.STRATEGIES[strategy](), "chunk_size", 256)
-    head = F.substring(F.col("text"), 1, default_size * opt.FALLBACK_CHARS_PER_TOKEN)
+    text = F.col("text")
+    if start_only:
+        head = F.substring(text, 1, default_size * opt.FALLBACK_CHARS_PER_TOKEN)
+        instead = F.when(~tx.is_blank(head), F.array(head)).otherwise(F.array().cast("array<string>"))
+    else:
+        instead = sen.token_windows(text, default_size, 0)
     kept = F.filter(F.coalesce(F.col(PIECES), F.array().cast("array<string>")), lambda p: ~tx.is_blank(p))
     return (
         cut.withColumn(PIECES, kept)
@@ -173,12 +179,7 @@ def with_fallback(cut: DataFrame, strategy: str) -> DataFrame:
             FAILURE,
             F.when(F.size(PIECES) == 0, F.coalesce(F.col(FAILURE), F.lit("no_output"))),
         )
-        .withColumn(
-            PIECES,
-            F.when(F.col(FAILURE).isNull(), F.col(PIECES))
-            .when(~tx.is_blank(head), F.array(head))
-            .otherwise(F.array().cast("array<string>")),
-        )
+        .withColumn(PIECES, F.when(F.col(FAILURE).isNull(), F.col(PIECES)).otherwise(instead))
     )
 
 
@@ -191,15 +192,17 @@ def enrich(cut: DataFrame, strategy: str) -> DataFrame:
         *[F.col(c) for c in cut.columns if c not in (PIECES, "text")],
         F.posexplode_outer(PIECES).alias("chunk_order", "text"),
     ).filter(F.col("chunk_order").isNotNull())
+    # The first chunk of such a part tells what happened.
+    first = F.col("chunk_order") == 0
     suffix = (
-        F.when(failure == "no_chunker", F.lit("_init_fail"))
-        .when(failure == "no_output", F.lit("_full_content_fallback"))
+        F.when(first & (failure == "no_chunker"), F.lit("_init_fail"))
+        .when(first & (failure == "no_output"), F.lit("_full_content_fallback"))
         .otherwise(F.lit(""))
     )
     error = (
-        F.when(failure == "no_chunker", F.lit(f"no chunker for strategy '{strategy}'; kept the start of the part"))
-        .when(failure == "raised", F.lit(f"strategy '{strategy}' failed; kept the start of the part"))
-        .when(failure == "no_output", F.lit("strategy gave no chunks; kept the start of the part"))
+        F.when(failure == "no_chunker", F.lit(f"no chunker for strategy '{strategy}'; cut into windows of words"))
+        .when(failure == "raised", F.lit(f"strategy '{strategy}' failed; cut into windows of words"))
+        .when(failure == "no_output", F.lit("strategy gave no chunks; cut into windows of words"))
     )
     marks = {
         name: schemas.optional(cut, name, dtype)
@@ -213,7 +216,7 @@ def enrich(cut: DataFrame, strategy: str) -> DataFrame:
             tx.display_source_name(F.col("source_file"), **marks, chunk_order=F.col("chunk_order")),
         )
         .withColumn("chunking_error", error)
-        .withColumn("chunking_notes", F.when(failure == "no_output", F.lit("start of the whole content")))
+        .withColumn("chunking_notes", F.when(first & (failure == "no_output"), F.lit("windows of the whole content")))
         .drop(FAILURE)
     )
 

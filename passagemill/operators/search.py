@@ -4,19 +4,26 @@ Two ways, chosen by the checked size of the query side:
 
 * broadcast: queries that fit go to every task, which scores its share of the
   store block by block and keeps a running top k. The store is not shuffled.
-* partitioned: for more queries both sides are cut into cells around pivots.
-  A query first searches its own cell and then only the cells that can still
-  hold something better; the bound is exact. Hot cells are split into blocks.
+* partitioned: for more queries both sides are cut into cells around pivots,
+  as many as the root of the store. For the top k a query first searches its
+  own cell and then only the cells that can still hold something better; for a
+  threshold it visits the cells that come near enough. The bounds are exact.
+  Hot cells are split into blocks.
+
+Inner products have no triangle inequality. With one more coordinate, which
+fills every stored vector up to the largest norm and is zero for queries, the
+greatest inner product becomes the least distance, and the same bounds hold.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,20 +56,24 @@ def search(
     """Hits ``(query_id, rank, chunk_id, score, distance)``.
 
     ``queries(query_id, vector)``, ``store(chunk_id, vector)``. A ``threshold``
-    replaces ``k``: every item scoring at least that much is a hit.
+    replaces ``k``: every item scoring at least that much is a hit. Queries that
+    do not fit into the limits of a broadcast are always searched partitioned.
     """
-    opt.check_search(k, threshold)
     metric = vec.check_metric(metric)
+    if k < 1 or (threshold is not None and metric == "cosine" and not -1 <= threshold <= 1):
+        raise ValueError("k must be positive, and a threshold of cosines within -1..1")
     queries = queries.select("query_id", "vector")
     store = store.select("chunk_id", "vector")
-    if strategy == "auto":
+    if strategy != "partitioned":
         size = queries.agg(
             F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dim")
         ).first()
-        fits = size["n"] * size["dim"] * 8 <= BROADCAST_BYTES and size["n"] * k <= BROADCAST_RESULTS
+        results = size["n"] * (k if threshold is None else 1)
+        fits = size["n"] * size["dim"] * 8 <= BROADCAST_BYTES and results <= BROADCAST_RESULTS
         strategy = "broadcast" if fits else "partitioned"
     if threshold is not None:
-        scored = _score_all(queries, store, metric, threshold, exclude_same_id, strategy)
+        way = _score_all if strategy == "broadcast" else range_join
+        scored = way(queries, store, metric, threshold, exclude_same_id)
         order = [F.col("score").desc(), F.col("chunk_id")]
         hits = distributed_row_number(scored, ["query_id"], order, "rank")
     elif strategy == "broadcast":
@@ -172,46 +183,63 @@ def _hits_batch(query_ids: np.ndarray, rows: pd.DataFrame, schema: pa.Schema) ->
 
 
 def _score_all(
-    queries: DataFrame, store: DataFrame, metric: str, threshold: float, exclude_same_id: bool, strategy: str
+    queries: DataFrame, store: DataFrame, metric: str, threshold: float, exclude_same_id: bool
 ) -> DataFrame:
-    """Every pair scoring at least ``threshold``."""
-    if strategy == "broadcast":
-        table = queries.toArrow()
-        ids = table.column("query_id").to_pandas().to_numpy(dtype=object)
-        if len(ids) == 0:
-            return store.sparkSession.createDataFrame([], _hit_schema(queries, store))
-        matrix = vec.matrix_of(table.column("vector").combine_chunks())
-        shared = store.sparkSession.sparkContext.broadcast((ids, matrix))
-        schema = pa.schema(
-            [
-                table.schema.field("query_id"),
-                pa.field("chunk_id", _arrow_type(store, "chunk_id")),
-                pa.field("score", pa.float64()),
-            ]
-        )
+    """Every pair scoring at least ``threshold``; the queries go to every task."""
+    table = queries.toArrow()
+    ids = table.column("query_id").to_pandas().to_numpy(dtype=object)
+    if len(ids) == 0:
+        return store.sparkSession.createDataFrame([], _hit_schema(queries, store))
+    matrix = vec.matrix_of(table.column("vector").combine_chunks())
+    shared = store.sparkSession.sparkContext.broadcast((ids, matrix))
+    schema = pa.schema(
+        [
+            table.schema.field("query_id"),
+            pa.field("chunk_id", _arrow_type(store, "chunk_id")),
+            pa.field("score", pa.float64()),
+        ]
+    )
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_ids, wanted = shared.value
-            step = max(1, BLOCK_SCORES // len(wanted))
-            for batch in batches:
-                chunk_ids = batch.column("chunk_id").to_pandas().to_numpy()
-                vectors = vec.matrix_of(batch.column("vector"))
-                for at in range(0, len(chunk_ids), step):
-                    here = chunk_ids[at : at + step]
-                    scores = vec.score_block(metric, wanted, vectors[at : at + step])
-                    q, s = np.nonzero(scores >= threshold)
-                    found = pd.DataFrame({"chunk_id": here[s], "score": scores[q, s]})
-                    yield _hits_batch(query_ids[q], found, schema)
-
-        scored = store.mapInArrow(scan, _hit_schema(queries, store))
-    else:
-        scored = _blocked_pairs(
-            queries.select(F.col("query_id").alias("q"), "vector", F.lit(0).alias("cell")),
-            store.select(F.col("chunk_id").alias("s"), "vector", F.lit(0).alias("cell")),
-            metric,
-            None,
-            threshold,
-        ).select(F.col("q").alias("query_id"), F.col("s").alias("chunk_id"), "score")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, wanted = shared.value
+        step = max(1, BLOCK_SCORES // len(wanted))
+        for batch in batches:
+            chunk_ids = batch.column("chunk_id").to_pandas().to_numpy()
+            vectors = vec.matrix_of(batch.column("vector"))
+            for at in range(0, len(chunk_ids), step):
+                here = chunk_ids[at : at + step]
+                scores = vec.score_block(metric, wanted, vectors[at : at + step])
+                q, s = np.nonzero(scores >= threshold)
+                found = pd.DataFrame({"chunk_id": here[s], "score": scores[q, s]})
+                yield _hits_batch(query_ids[q], found, schema)
+
+    scored = store.mapInArrow(scan, _hit_schema(queries, store))
+    return scored.filter(F.col("query_id") != F.col("chunk_id")) if exclude_same_id else scored
+
+
+def range_join(
+    queries: DataFrame,
+    store: DataFrame,
+    metric: str,
+    threshold: float,
+    exclude_same_id: bool = False,
+    *,
+    pivots: int | None = None,
+    block_rows: int = 4096,
+) -> DataFrame:
+    """Every pair ``(query_id, chunk_id, score)`` from ``threshold`` up, when both sides are large.
+
+    A query meets the rows of a cell only if the cell's pivot is no farther
+    away than the cell's radius and the distance that the threshold allows.
+    """
+    space = Space.of(store, "chunk_id", metric, pivots)
+    if space is None:
+        return store.sparkSession.createDataFrame([], _hit_schema(queries, store))
+    rows = space.placed(store.select(F.col("chunk_id").alias("s"), "vector"), stored=True, label="cells")
+    asked = queries.select(F.col("query_id").alias("q"), "vector", F.lit(None).cast("int").alias("cell"))
+    visits = materialize(space.visits(asked, rows, F.lit(float(threshold))), "visits")
+    near = _blocked_pairs(visits, rows.drop("gap"), metric, None, threshold, block_rows)
+    scored = near.select(F.col("q").alias("query_id"), F.col("s").alias("chunk_id"), "score")
     return scored.filter(F.col("query_id") != F.col("chunk_id")) if exclude_same_id else scored
 
 
@@ -297,7 +325,7 @@ def knn_join(
     k: int,
     exclude_same_id: bool = False,
     *,
-    pivots: int = 256,
+    pivots: int | None = None,
     block_rows: int = 4096,
 ) -> DataFrame:
     """Exact k nearest neighbours when both sides are large.
@@ -308,18 +336,10 @@ def knn_join(
     want = k + 1 if exclude_same_id else k
     items = materialize(_distinct_vectors(store, "chunk_id", want), "items")
     asked = materialize(_distinct_vectors(queries, "query_id", 1).select(F.col("rep").alias("q"), "vector"), "asked")
-    chosen = items.orderBy(F.xxhash64("rep")).limit(pivots).select("vector").toArrow()
-    if chosen.num_rows == 0:
+    space = Space.of(items, "rep", metric, pivots)
+    if space is None:
         return top_per_query(store.sparkSession.createDataFrame([], _hit_schema(queries, store)), k)
-    if metric == "inner_product":
-        # No triangle inequality to prune with: one cell, in blocks.
-        cells = asked.select("q", "vector", F.lit(0).alias("cell"))
-        rows = items.select(F.col("rep").alias("s"), "vector", F.lit(0).alias("cell"))
-        near = _blocked_pairs(cells, rows, metric, want, block_rows=block_rows)
-    else:
-        near = _pruned_neighbours(
-            asked, items, metric, want, vec.matrix_of(chosen.column("vector").combine_chunks()), block_rows
-        )
+    near = _pruned_neighbours(asked, items, metric, want, space, block_rows)
     best = top_per_query(
         near.select(F.col("q").alias("query_id"), F.col("s").alias("chunk_id"), "score"), want
     ).drop("rank")
@@ -343,31 +363,11 @@ def knn_join(
 
 
 def _pruned_neighbours(
-    asked: DataFrame, items: DataFrame, metric: str, want: int, pivots: np.ndarray, block_rows: int
+    asked: DataFrame, items: DataFrame, metric: str, want: int, space: Space, block_rows: int
 ) -> DataFrame:
     """Candidate neighbours ``(q, s, score)`` that surely hold the best ``want``."""
-    shared = asked.sparkSession.sparkContext.broadcast(_unit(pivots, metric))
-
-    @F.arrow_udf("struct<cell int, gap double>")
-    def nearest(vectors: pa.Array) -> pa.Array:
-        points = _unit(vec.matrix_of(vectors), metric)
-        gaps = _distances(points, shared.value)
-        cell = gaps.argmin(axis=1)
-        gap = gaps[np.arange(len(points)), cell]
-        if metric == "cosine":
-            # A zero vector has no direction: a cell of its own, never pruned.
-            cell = np.where((points == 0).all(axis=1), -1, cell)
-        return pa.StructArray.from_arrays([pa.array(cell, pa.int32()), pa.array(gap)], ["cell", "gap"])
-
-    rows = materialize(
-        items.withColumn("__at", nearest("vector")).select(
-            F.col("rep").alias("s"), "vector", "__at.cell", "__at.gap"
-        ),
-        "cells",
-    )
-    placed = materialize(asked.withColumn("__at", nearest("vector")).select("q", "vector", "__at.cell"), "placed")
-    # One row per pivot.
-    reach = {r["cell"]: r["radius"] for r in rows.groupBy("cell").agg(F.max("gap").alias("radius")).collect()}
+    rows = space.placed(items.select(F.col("rep").alias("s"), "vector"), stored=True, label="cells")
+    placed = space.placed(asked, stored=False, label="placed").drop("gap")
     first = materialize(
         _blocked_pairs(placed, rows.drop("gap"), metric, want, block_rows=block_rows), "own-cell"
     )
@@ -377,37 +377,113 @@ def _pruned_neighbours(
         .agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
         .filter(F.col("n") == want)
     )
-    cells = sorted(reach)
-    radius = np.array([reach[c] for c in cells])
-
-    @F.arrow_udf("array<int>")
-    def others(vectors: pa.Array, own: pa.Array, low: pa.Array) -> pa.Array:
-        points = _unit(vec.matrix_of(vectors), metric)
-        score = low.to_numpy(zero_copy_only=False).astype(float)
-        if metric == "cosine":
+    second = materialize(space.visits(placed.join(kth, "q", "left"), rows, F.col("low")), "visits")
+    return first.unionByName(_blocked_pairs(second, rows.drop("gap"), metric, want, block_rows=block_rows))
+
+
+class Space:
+    """Cells around pivots, in a space where a higher score is a smaller distance.
+
+    Cosine: unit vectors. Inner product: stored vectors filled up to the
+    largest norm by one more coordinate. Euclidean: the vectors themselves.
+    """
+
+    def __init__(self, spark, metric: str, pivots: np.ndarray, limit: float):
+        self.metric, self.limit = metric, limit
+        self.shared = spark.sparkContext.broadcast(self.points(pivots, True))
+
+    @classmethod
+    def of(cls, items: DataFrame, key: str, metric: str, pivots: int | None) -> Space | None:
+        """Pivots are items drawn by a hash of their ids: as many as the root of their number, within the limit of a broadcast."""
+        square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+        n, norm, dim = items.agg(F.count(F.lit(1)), F.max(F.sqrt(square)), F.max(F.size("vector"))).first()
+        if n == 0:
+            return None
+        if pivots is None:
+            pivots = min(max(16, math.isqrt(n)), max(16, BROADCAST_BYTES // (8 * (dim + 1))))
+        chosen = items.orderBy(F.xxhash64(key), key).limit(pivots).select("vector").toArrow()
+        return cls(items.sparkSession, metric, vec.matrix_of(chosen.column("vector").combine_chunks()), norm * (1 + 1e-9))
+
+    def points(self, vectors: np.ndarray, stored: bool) -> np.ndarray:
+        if self.metric != "inner_product":
+            return _unit(vectors, self.metric)
+        rest = np.zeros(len(vectors))
+        if stored:
+            rest = np.sqrt(np.maximum(self.limit**2 - (vectors * vectors).sum(axis=1), 0.0))
+        return np.hstack([vectors, rest[:, None]])
+
+    def placed(self, df: DataFrame, *, stored: bool, label: str) -> DataFrame:
+        """Rows with their ``cell`` and ``gap``, the distance to its pivot; written."""
+        shared, points_of, metric = self.shared, self._points_function(), self.metric
+
+        @F.arrow_udf("struct<cell int, gap double>")
+        def nearest(vectors: pa.Array) -> pa.Array:
+            points = points_of(vec.matrix_of(vectors), stored)
+            cell, gap = np.empty(len(points), np.int64), np.empty(len(points))
+            step = max(1, BLOCK_SCORES // len(shared.value))
+            for at in range(0, len(points), step):
+                gaps = _distances(points[at : at + step], shared.value)
+                cell[at : at + step] = gaps.argmin(axis=1)
+                gap[at : at + step] = gaps.min(axis=1)
+            if metric == "cosine":
+                # A zero vector has no direction: a cell of its own, never pruned.
+                cell = np.where((points == 0).all(axis=1), -1, cell)
+            return pa.StructArray.from_arrays([pa.array(cell, pa.int32()), pa.array(gap)], ["cell", "gap"])
+
+        return materialize(df.withColumn("__at", nearest("vector")).select(*df.columns, "__at.cell", "__at.gap"), label)
+
+    def _points_function(self):
+        """:meth:`points` without the handle of the session."""
+        bare = object.__new__(Space)
+        bare.metric, bare.limit = self.metric, self.limit
+        return bare.points
+
+    def visits(self, asked: DataFrame, rows: DataFrame, low: Column) -> DataFrame:
+        """A row ``(q, vector, cell)`` for each cell, but the own one, that may hold a score of ``low`` or more.
+
+        No ``low`` means every cell.
+        """
+        # One row per pivot.
+        reach = {r["cell"]: r["radius"] for r in rows.groupBy("cell").agg(F.max("gap").alias("radius")).collect()}
+        cells = sorted(reach)
+        radius = np.array([reach[c] for c in cells])
+        shared, points_of, metric, limit = self.shared, self._points_function(), self.metric, self.limit
+
+        def reached(points: np.ndarray, score: np.ndarray, own: np.ndarray) -> np.ndarray:
             # Scores are rounded: a true score may be this much below the one it ties with.
-            bound = np.sqrt(np.maximum(2.0 - 2.0 * (score - ROUNDING), 0.0))
-            bound[(points == 0).all(axis=1)] = np.inf
-        else:
-            bound = -score + ROUNDING
-        bound = np.where(np.isnan(bound), np.inf, bound)
-        centres = shared.value[np.maximum(cells, 0)]
-        gaps = _distances(points, centres) - radius[None, :]
-        own_norm, centre_norm = np.linalg.norm(points, axis=1)[:, None], np.linalg.norm(centres, axis=1)[None, :]
-        farthest, dim = centre_norm + radius[None, :], points.shape[1]
-        slack = _distance_error(own_norm, centre_norm, dim) + _distance_error(farthest, centre_norm, dim)
-        slack += 2.0 * _distance_error(own_norm, farthest, dim)
-        keep = (gaps <= bound[:, None] + slack) | (np.array(cells) == -1)[None, :]
-        keep &= np.array(cells)[None, :] != own.to_numpy(zero_copy_only=False)[:, None]
-        i, j = np.nonzero(keep)
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(points)))]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array(cells, dtype=np.int32)[j]))
+            least = score - ROUNDING
+            if metric == "cosine":
+                bound = np.sqrt(np.maximum(2.0 - 2.0 * least, 0.0))
+                bound[(points == 0).all(axis=1)] = np.inf
+            elif metric == "inner_product":
+                bound = np.sqrt(np.maximum((points * points).sum(axis=1) + limit**2 - 2.0 * least, 0.0))
+            else:
+                bound = -least
+            bound = np.where(np.isnan(bound), np.inf, bound)
+            centres = shared.value[np.maximum(cells, 0)]
+            gaps = _distances(points, centres) - radius[None, :]
+            own_norm, centre_norm = np.linalg.norm(points, axis=1)[:, None], np.linalg.norm(centres, axis=1)[None, :]
+            farthest, dim = centre_norm + radius[None, :], points.shape[1]
+            slack = _distance_error(own_norm, centre_norm, dim) + _distance_error(farthest, centre_norm, dim)
+            slack += 2.0 * _distance_error(own_norm, farthest, dim)
+            keep = (gaps <= bound[:, None] + slack) | (np.array(cells) == -1)[None, :]
+            return keep & (np.array(cells)[None, :] != own[:, None])
+
+        @F.arrow_udf("array<int>")
+        def others(vectors: pa.Array, own: pa.Array, lows: pa.Array) -> pa.Array:
+            points = points_of(vec.matrix_of(vectors), False)
+            score = lows.to_numpy(zero_copy_only=False).astype(float)
+            own = own.fill_null(-2).to_numpy(zero_copy_only=False)
+            step = max(1, BLOCK_SCORES // len(cells))
+            keep = [
+                reached(points[at : at + step], score[at : at + step], own[at : at + step])
+                for at in range(0, len(points), step)
+            ]
+            i, j = np.nonzero(np.concatenate(keep) if keep else np.zeros((0, len(cells)), bool))
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(points)))]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array(cells, dtype=np.int32)[j]))
 
-    second = placed.join(kth, "q", "left").select(
-        "q", "vector", F.explode(others("vector", "cell", "low")).alias("cell")
-    )
-    second = materialize(second, "visits")
-    return first.unionByName(_blocked_pairs(second, rows.drop("gap"), metric, want, block_rows=block_rows))
+        return asked.select("q", "vector", F.explode(others("vector", "cell", low)).alias("cell"))
 
 
 def _unit(points: np.ndarray, metric: str) -> np.ndarray:

@@ -54,13 +54,15 @@ def build_manifest(
     source: str = "",
     classifier: str | None = None,
     labels: list[str] | None = None,
+    label_count: int | None = None,
     config: dict[str, Any] | None = None,
 ) -> dict[str, Any]:
-    """Run metadata; a label list is only previewed."""
+    """Run metadata; a label list is only previewed, so its first ones and their number will do."""
     summary = {k: str(v) for k, v in (config or {}).items() if k not in ("candidate_labels", "config_file")}
     if labels:
-        summary["candidate_labels_count"] = str(len(labels))
-        preview = labels[:LABEL_PREVIEW] + (["..."] if len(labels) > LABEL_PREVIEW else [])
+        count = len(labels) if label_count is None else label_count
+        summary["candidate_labels_count"] = str(count)
+        preview = labels[:LABEL_PREVIEW] + (["..."] if count > LABEL_PREVIEW else [])
         summary["candidate_labels_preview"] = json.dumps(preview)
     return {
         "embedding_model": model,

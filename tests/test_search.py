@@ -9,7 +9,7 @@ from passagemill.functions import vectors as vec
 from passagemill.functions.ranking import distributed_row_number
 from passagemill.operators import embedding as emb
 from passagemill.operators.context import pack_context
-from passagemill.operators.search import get_chunk, hydrate_hits, knn_join, search
+from passagemill.operators.search import Space, get_chunk, hydrate_hits, knn_join, range_join, search
 
 
 def _vectors(n=240, dim=6, seed=3):
@@ -147,3 +147,60 @@ def test_large_search_with_near_ties_and_large_norms(spark, metric, scale, sprea
         for s in ("broadcast", "partitioned")
     ]
     assert sorted(both[0]) == sorted(both[1])
+
+
+def _clusters(n, dim=8, seed=11):
+    rng = np.random.default_rng(seed)
+    centres = 20 * rng.normal(size=(30, dim))
+    m = centres[rng.integers(0, 30, n)] + 0.2 * rng.normal(size=(n, dim))
+    m[: n // 3] = m[0]  # a third of the rows is one vector
+    m[n // 3 : n // 3 + 4] = 0
+    return [(int(i), [float(x) for x in row]) for i, row in enumerate(m)]
+
+
+def _pairs_scored(space, asked, rows, threshold):
+    sizes = rows.groupBy("cell").count()
+    return space.visits(asked, rows, F.lit(threshold)).join(sizes, "cell").agg(F.sum("count")).first()[0]
+
+
+@pytest.mark.parametrize("metric, threshold", [("cosine", 0.95), ("cosine", -0.2), ("euclidean", -1.5), ("inner_product", 2500.0)])
+def test_range_join(spark, metric, threshold):
+    """All pairs above a threshold, with few more pairs scored than found."""
+    rows = _clusters(600)
+    store = spark.createDataFrame(rows, "chunk_id bigint, vector array<double>").repartition(4)
+    queries = store.select(F.col("chunk_id").alias("query_id"), "vector")
+    m = np.array([r[1] for r in rows])
+    scores = vec.score_block(metric, m, m)
+    plain = {(int(i), int(j)): scores[i, j] for i, j in zip(*np.nonzero(scores >= threshold))}
+    for same in (False, True):
+        got = range_join(queries, store, metric, threshold, same, block_rows=50).collect()
+        want = {k: v for k, v in plain.items() if not (same and k[0] == k[1])}
+        assert len(got) == len(want) and {(r.query_id, r.chunk_id) for r in got} == want.keys()
+        assert all(abs(r.score - want[(r.query_id, r.chunk_id)]) < 2e-9 * max(1, abs(r.score)) for r in got)
+    space = Space.of(store, "chunk_id", metric, None)
+    placed = space.placed(store.select(F.col("chunk_id").alias("s"), "vector"), stored=True, label="cells")
+    asked = queries.select(F.col("query_id").alias("q"), "vector", F.lit(None).cast("int").alias("cell"))
+    scored = _pairs_scored(space, asked, placed, threshold)
+    assert len(plain) <= scored
+    if threshold != -0.2:
+        assert scored < 0.6 * 600 * 600
+
+
+def test_inner_products_are_pruned(spark):
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(2).normal(size=(800, 4)) * np.linspace(0.01, 1, 800)[:, None] ** 3)]
+    store = spark.createDataFrame(rows, "chunk_id bigint, vector array<double>")
+    queries = store.filter("chunk_id % 10 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+    hits = knn_join(queries, store, "inner_product", 5, block_rows=64)
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], round(r["score"] + 0.0, 6)))
+    every = _brute(rows, "inner_product", 5, True)
+    assert got == {q: v for q, v in every.items() if q % 10 == 0}
+    space = Space.of(store, "chunk_id", "inner_product", None)
+    assert len(space.shared.value) == 28 and space.shared.value.shape[1] == 5
+    placed = space.placed(store.select(F.col("chunk_id").alias("s"), "vector"), stored=True, label="cells")
+    low = spark.createDataFrame([(q, v[-1][1]) for q, v in got.items()], "q bigint, low double")
+    asked = queries.select(F.col("query_id").alias("q"), "vector", F.lit(None).cast("int").alias("cell")).join(low, "q")
+    sizes = placed.groupBy("cell").count()
+    scored = space.visits(asked, placed, F.col("low")).join(sizes, "cell").agg(F.sum("count")).first()[0]
+    assert scored < 0.7 * 80 * 800

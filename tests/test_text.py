@@ -97,7 +97,7 @@ def test_leaves():
 
 def test_options():
     assert parse_threshold("Smart") == "auto" and parse_threshold("50") == 50.0
-    assert strategy_options("sdpm", target_chunk_size=99, similarity_threshold="0.4").chunk_size == 99
+    assert strategy_options("sdpm", chunk_size=99, threshold="0.4").chunk_size == 99
     assert overlap_tokens(0.25, 256) == 64 and overlap_tokens(10, 256) == 10
     with pytest.raises(ValueError):
         strategy_options("nothing")
