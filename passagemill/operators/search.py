@@ -385,7 +385,7 @@ class Space:
     """Cells around pivots, in a space where a higher score is a smaller distance.
 
     Cosine: unit vectors. Inner product: stored vectors filled up to the
-    largest norm by one more coordinate. Euclidean: the vectors themselves.
+    largest norm by one more coordinate, and queries of that length. Euclidean: the vectors themselves.
     """
 
     def __init__(self, spark, metric: str, pivots: np.ndarray, limit: float):
@@ -407,9 +407,10 @@ class Space:
     def points(self, vectors: np.ndarray, stored: bool) -> np.ndarray:
         if self.metric != "inner_product":
             return _unit(vectors, self.metric)
-        rest = np.zeros(len(vectors))
-        if stored:
-            rest = np.sqrt(np.maximum(self.limit**2 - (vectors * vectors).sum(axis=1), 0.0))
+        if not stored:
+            # The length of a query does not change the order of its scores.
+            return np.hstack([_unit(vectors, "cosine") * self.limit, np.zeros((len(vectors), 1))])
+        rest = np.sqrt(np.maximum(self.limit**2 - (vectors * vectors).sum(axis=1), 0.0))
         return np.hstack([vectors, rest[:, None]])
 
     def placed(self, df: DataFrame, *, stored: bool, label: str) -> DataFrame:
@@ -449,14 +450,17 @@ class Space:
         radius = np.array([reach[c] for c in cells])
         shared, points_of, metric, limit = self.shared, self._points_function(), self.metric, self.limit
 
-        def reached(points: np.ndarray, score: np.ndarray, own: np.ndarray) -> np.ndarray:
+        def reached(vectors: np.ndarray, score: np.ndarray, own: np.ndarray) -> np.ndarray:
+            points = points_of(vectors, False)
             # Scores are rounded: a true score may be this much below the one it ties with.
             least = score - ROUNDING
             if metric == "cosine":
                 bound = np.sqrt(np.maximum(2.0 - 2.0 * least, 0.0))
                 bound[(points == 0).all(axis=1)] = np.inf
             elif metric == "inner_product":
-                bound = np.sqrt(np.maximum((points * points).sum(axis=1) + limit**2 - 2.0 * least, 0.0))
+                norm = np.linalg.norm(vectors, axis=1)
+                scaled = np.divide(least * limit, norm, out=np.zeros_like(norm), where=norm > 0)
+                bound = np.where(norm > 0, np.sqrt(np.maximum(2.0 * limit**2 - 2.0 * scaled, 0.0)), np.inf)
             else:
                 bound = -least
             bound = np.where(np.isnan(bound), np.inf, bound)
@@ -471,16 +475,16 @@ class Space:
 
         @F.arrow_udf("array<int>")
         def others(vectors: pa.Array, own: pa.Array, lows: pa.Array) -> pa.Array:
-            points = points_of(vec.matrix_of(vectors), False)
+            given = vec.matrix_of(vectors)
             score = lows.to_numpy(zero_copy_only=False).astype(float)
             own = own.fill_null(-2).to_numpy(zero_copy_only=False)
             step = max(1, BLOCK_SCORES // len(cells))
             keep = [
-                reached(points[at : at + step], score[at : at + step], own[at : at + step])
-                for at in range(0, len(points), step)
+                reached(given[at : at + step], score[at : at + step], own[at : at + step])
+                for at in range(0, len(given), step)
             ]
             i, j = np.nonzero(np.concatenate(keep) if keep else np.zeros((0, len(cells)), bool))
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(points)))]).astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(given)))]).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array(cells, dtype=np.int32)[j]))
 
         return asked.select("q", "vector", F.explode(others("vector", "cell", low)).alias("cell"))
