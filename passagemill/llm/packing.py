@@ -9,6 +9,7 @@ remaining capacities finds.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -97,10 +98,11 @@ def cut(docs: DataFrame, options: PackOptions, id_col: str = "doc_id", text: str
     names = ["__row", "doc_id", "start", "length", "doc_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all = encoder(vocabulary).encode_all
-        for batch in batches:
+        given, texts = itertools.tee(batches)
+        encoded = encoder(vocabulary).encode_batches(b.column(2) for b in texts)
+        for batch, found in zip(given, encoded):
             which, starts, totals, pieces = [], [], [], []
-            for i, ids in enumerate(encode_all(batch.column(2).to_pylist())):
+            for i, ids in enumerate(found):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, window):

@@ -15,6 +15,7 @@ Block, all numbers little-endian:
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -119,7 +120,7 @@ def write_token_files(
     end, vocabulary, limit = np.array([options.end_id], "<u4").tobytes(), options.vocabulary, options.block_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all = encoder(vocabulary).encode_all
+        encode_batches = encoder(vocabulary).encode_batches
         path, stream = fresh_file(folder, ".tokens")
         docs_written = ids_written = 0
         with stream:
@@ -131,8 +132,9 @@ def write_token_files(
                 doc_ids.clear(), ids.clear()
                 waiting = 0
 
-            for batch in batches:
-                for doc_id, found in zip(batch.column(0).to_pylist(), encode_all(batch.column(1).to_pylist())):
+            given, texts = itertools.tee(batches)
+            for batch, encoded in zip(given, encode_batches(b.column(1) for b in texts)):
+                for doc_id, found in zip(batch.column(0).to_pylist(), encoded):
                     found += end
                     doc_ids.append(doc_id)
                     ids.append(found)

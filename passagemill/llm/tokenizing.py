@@ -3,24 +3,24 @@
 Both vocabularies cut a text before merging, and no cut-out piece reaches over
 a single blank between two other characters. So the texts of a batch are taken
 apart there, the library encodes each different word of the batch once, many in
-one call, and the ids of a text are gathered from those of its words. Nothing
-is remembered from one batch to the next. A text that holds the string of an
-added token goes to the library whole.
+one call, and the ids of a text are gathered from those of its words. The words
+of a batch are known to the next one of the task, and to no later one. A text that holds the
+string of an added token goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Places where the parts of a text meet: one blank with no white space beside it.
 _MEETING = re.compile(r"(?<=\S)(?= \S)")
-# White space other than blanks and line feeds.
-_RARE_SPACE = re.compile(r"[^\S \n]")
 # Byte-level vocabularies write bytes that do not print as the characters from 256 on.
 _HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
 BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
@@ -75,16 +75,26 @@ class PartCache(Remembered):
             return [self.make(part) for part in _MEETING.split(text)]
 
 
-def has_odd_space(text: str) -> bool:
-    """Whether a text has white space other than single blanks and line feeds between other characters."""
-    return (
-        "  " in text
-        or " \n" in text
-        or "\n " in text
-        or text[:1] in (" ", "\n")
-        or text[-1:] in (" ", "\n")
-        or _RARE_SPACE.search(text) is not None
-    )
+# White space other than single blanks and line feeds between other characters, for Arrow's regular expressions.
+ODD_SPACE = (
+    r"  | \n|\n |^[ \n]|[ \n]\z|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+
+
+class Encoded:
+    """Words and where their ids are; kept from one batch to the next, so it is as large as a batch."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids = np.zeros(0, "<u4")
+        self.first = self.count = np.zeros(0, np.int64)
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a list of words, one after the other, and where those of each end."""
+        count = self.count[words]
+        ends = np.cumsum(count)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[words] - (ends - count), count)
+        return self.ids[at], ends
 
 
 class TextEncoder:
@@ -106,23 +116,25 @@ class TextEncoder:
         self.normal = [tokenizer.normalizer.normalize_str(t.content) for t in added if t.normalized and tokenizer.normalizer is not None]
         self.chunk_chars, self.slice_words = chunk_chars, slice_words
 
-    def holds_added(self, text: str) -> bool:
-        if any(map(text.__contains__, self.added)):
-            return True
-        return bool(self.normal) and any(map(self.normalizer.normalize_str(text).__contains__, self.normal))
+    def holding_added(self, texts: pa.Array) -> np.ndarray:
+        """Which texts hold the string of an added token."""
+        found = np.zeros(len(texts), bool)
+        for token in self.added:
+            found |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if self.normal:
+            for i in np.flatnonzero(~found).tolist():
+                text = self.normalizer.normalize_str(texts[i].as_py())
+                found[i] = any(map(text.__contains__, self.normal))
+        return found
 
     def library(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     @staticmethod
     def words(text: str) -> list[str]:
-        """A text cut at the blanks that words meet at; they are left out. A line feed marks the first word, which has no blank before it."""
-        if has_odd_space(text):
-            first, *rest = _MEETING.split(text)
-            return ["\n" + first, *(part[1:] for part in rest)]
-        words = text.split(" ")
-        words[0] = "\n" + words[0]
-        return words
+        """A text with odd white space, cut at the blanks that words meet at; they are left out. A line feed marks the first word, which has no blank before it."""
+        first, *rest = _MEETING.split(text)
+        return ["\n" + first, *(part[1:] for part in rest)]
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of different words, and where those of each word begin and how many they are."""
@@ -175,24 +187,78 @@ class TextEncoder:
                 together(chunk, joint)
         return np.concatenate(found) if found else np.zeros(0, "<u4"), first, count
 
+    def encode_new(self, words: list[str], last: Encoded) -> Encoded:
+        """The ids of different words; those of the last batch are taken from there."""
+        now = Encoded()
+        now.number = {w: i for i, w in enumerate(words)}
+        before = np.fromiter((last.number.get(w, -1) for w in words), np.int64, len(words))
+        old, new = np.flatnonzero(before >= 0), np.flatnonzero(before < 0)
+        kept, _ = last.of(before[old])
+        ids, first, count = self.encode_words([words[i] for i in new.tolist()])
+        now.ids = np.concatenate([kept, ids])
+        now.count, now.first = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        now.count[old], now.count[new] = last.count[before[old]], count
+        now.first[old] = np.cumsum(now.count[old]) - now.count[old]
+        now.first[new] = len(kept) + first
+        return now
+
+    def encode_batches(self, batches: Iterable[pa.Array]) -> Iterator[Iterator[bytes]]:
+        """For each batch of texts the ids of each text, in order."""
+        last = Encoded()
+        for texts in batches:
+            whole = self.holding_added(texts)
+            odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False) & ~whole
+            plain = ~(whole | odd) & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
+            split = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+            offsets = split.offsets.to_numpy()
+            coded = split.values.dictionary_encode()
+            firsts = split.values.take(pa.array(offsets[:-1])).dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            # A text's first word has no blank before it.
+            numbers = coded.indices.to_numpy().astype(np.int64)
+            numbers[offsets[:-1]] = len(words) + firsts.indices.to_numpy()
+            words += ["\n" + w for w in firsts.dictionary.to_pylist()]
+            parts = {i: self.words(texts[i].as_py()) for i in np.flatnonzero(odd).tolist()}
+            if parts:
+                words = list(dict.fromkeys(chain(words, *parts.values())))
+            last = self.encode_new(words, last)
+            yield self._texts(texts, whole, parts, plain, numbers, offsets, last)
+
+    def _texts(self, texts, whole, parts, plain, numbers, offsets, known: Encoded) -> Iterator[bytes]:
+        ready = self._plain(numbers, offsets, known)
+        for i in range(len(texts)):
+            if plain[i]:
+                yield next(ready)
+            elif whole[i]:
+                yield self.library(texts[i].as_py()).tobytes()
+            elif i in parts:
+                yield b"".join(self._gathered(np.fromiter(map(known.number.__getitem__, parts[i]), np.int64, len(parts[i])), known))
+            else:
+                yield b""
+
+    def _gathered(self, numbers: np.ndarray, known: Encoded) -> Iterator[bytes]:
+        for at in range(0, len(numbers), self.slice_words):
+            yield known.of(numbers[at : at + self.slice_words])[0].tobytes()
+
+    def _plain(self, numbers: np.ndarray, offsets: np.ndarray, known: Encoded) -> Iterator[bytes]:
+        """Ids of texts of numbered words, gathered for as many texts at once as the slice holds."""
+        i, n = 0, len(offsets) - 1
+        while i < n:
+            j = int(np.searchsorted(offsets, offsets[i] + self.slice_words, "right")) - 1
+            if j <= i:
+                yield b"".join(self._gathered(numbers[offsets[i] : offsets[i + 1]], known))
+                i += 1
+                continue
+            ids, ends = known.of(numbers[offsets[i] : offsets[j]])
+            raw = ids.tobytes()
+            stops = (4 * ends[offsets[i + 1 : j + 1] - offsets[i] - 1]).tolist()
+            for begin, stop in zip([0, *stops], stops):
+                yield raw[begin:stop]
+            i = j
+
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, in order."""
-        split = [None if self.holds_added(t) else self.words(t) if t else [] for t in texts]
-        number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(words for words in split if words)))}
-        ids, first, count = self.encode_words(list(number))
-        for text, words in zip(texts, split):
-            if words is None:
-                yield self.library(text).tobytes()
-                continue
-            parts = []
-            for begin in range(0, len(words), self.slice_words):
-                some = words[begin : begin + self.slice_words]
-                numbers = np.fromiter(map(number.__getitem__, some), np.int64, len(some))
-                n = count[numbers]
-                ends = np.cumsum(n)
-                at = np.arange(ends[-1]) + np.repeat(first[numbers] - (ends - n), n)
-                parts.append(ids[at].tobytes())
-            yield parts[0] if len(parts) == 1 else b"".join(parts)
+        return next(self.encode_batches([pa.array(texts, pa.string())]))
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -316,8 +317,11 @@ def test_texts_of_marks_and_punctuation(path):
     letters += ["ing", " word", "  ", " ̈", ". ", "लड़,", "বড়.", "דשׁ,", "TÜRKİ,", "DAKİ.\n", "<|endoftext|>"]
     texts = ["".join(draw.choice(letters, draw.integers(0, 50))) for _ in range(5000)]
     for own in (TextEncoder(path), TextEncoder(path, chunk_chars=5, slice_words=3)):
-        got = list(own.encode_all(texts))
-        assert got == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        plain = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert list(own.encode_all(texts)) == plain
+        # Words of a batch that the next one knows.
+        batches = [pa.array(texts[i : i + 700], pa.string()) for i in range(0, len(texts), 700)]
+        assert [ids for batch in own.encode_batches(batches) for ids in batch] == plain
 
 
 def test_packing_query(spark, rows, tmp_path):
