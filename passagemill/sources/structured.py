@@ -49,12 +49,12 @@ def read_json(text: str) -> Any:
 
 
 def leaves(value: Any) -> Iterator[tuple[str, str]]:
-    """(path, text) of the scalar leaves of a JSON value of :func:`read_json`, in source order."""
+    """(path, text) of the scalar leaves of a JSON value, in source order."""
     waiting = [("root", value)]
     while waiting:
         path, here = waiting.pop()
-        if isinstance(here, Pairs):
-            steps = here
+        if isinstance(here, (dict, Pairs)):
+            steps = list(here.items()) if isinstance(here, dict) else here
         elif isinstance(here, list):
             steps = [(f"[{i}]", v) for i, v in enumerate(here)]
         else:
