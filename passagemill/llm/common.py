@@ -59,6 +59,23 @@ def salted(big: DataFrame, small: DataFrame, keys: list[str], how: str, salts: i
     return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")
 
 
+def sized(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
+    """The result of a shuffle in as many tasks as its rows ask for, and no fewer than the cluster runs at a time.
+
+    ``rows`` is a count or an upper bound of one. Shuffles keep their number of
+    partitions; a task reads several small ones and writes one file for them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(cores, -(-rows // per_task)))
+
+
+def beside(big: DataFrame, table: DataFrame, keys: list[str], how: str, max_rows: int, salts: int = 16) -> DataFrame:
+    """The join of :func:`lookup` for a table that has been written already."""
+    if table.limit(max_rows + 1).count() <= max_rows:
+        return big.join(F.broadcast(table), keys, how)
+    return salted(big, table, keys, how, salts)
+
+
 def prefix_sums(counts: DataFrame, order: str, value: str, out: str, width: int = 1000) -> DataFrame:
     """Sum of ``value`` over all rows with a smaller ``order`` (a gapless long from 0).
 

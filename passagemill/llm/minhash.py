@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import BROADCAST_ROWS, broadcast_if_small, lookup, salted, text_of, with_row_id
+from passagemill.llm.common import BROADCAST_ROWS, beside, broadcast_if_small, lookup, sized, text_of, with_row_id
 from passagemill.session import materialize
 
 SLICE = 1024  # documents worked on at a time
@@ -56,6 +56,8 @@ class MinHashOptions:
     order_docs: int = 20_000  # whose shingles are counted to put the rare ones first; any order is right
     order_shingles: int = 500_000
     token_rows: int = 4096  # of one shingle that meet in one task
+    text_rows: int = 4096  # texts that a task compares, on average
+    forest_nodes: int = 1_000_000  # joined in one task before the joins are sent on
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -164,7 +166,8 @@ def candidates(classes: DataFrame, options: MinHashOptions) -> tuple[DataFrame,
     at most, and the members of the others are told.
     """
     m = options.sub_keys
-    buckets = max(1, -(-classes.count() * m * m // options.bucket_keys))
+    keys_in_all = classes.count() * m * m
+    buckets = max(1, -(-keys_in_all // options.bucket_keys))
     buckets = max(buckets, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def pairs(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,9 +236,11 @@ def candidates(classes: DataFrame, options: MinHashOptions) -> tuple[DataFrame,
         return pa.table([pa.array(every[:, i], pa.int64()) for i in range(3)], ["a", "b", "tables"])
 
     sent = classes.select("node", "n_shingles", "sub_keys").mapInArrow(spread, schema)
-    met = materialize(sent.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, tables bigint"), "met")
+    met = sent.groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, tables bigint")
+    met = materialize(sized(met, keys_in_all, options.bucket_keys), "met")
     members = met.filter("tables = 0").select(F.col("a").alias("key"), F.col("b").alias("node"))
-    return met.filter("tables > 0").groupBy("a", "b").agg(F.sum("tables").alias("tables")), members
+    pairs = met.filter("tables > 0").groupBy("a", "b").agg(F.sum("tables").alias("tables"))
+    return sized(pairs, met.count()), members
 
 
 def common_shingles(texts: DataFrame, options: MinHashOptions) -> tuple[np.ndarray, np.ndarray]:
@@ -291,7 +296,7 @@ def all_pairs(texts: DataFrame, options: MinHashOptions) -> DataFrame:
     heads = materialize(texts.select("node", "label", "text").mapInArrow(run, schema), "heads")
     # Only shingles in the heads of two labels; the rows of a frequent one are dealt to several tasks.
     shared = heads.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"), F.min("label").alias("l"), F.max("label").alias("h"))
-    shared = shared.filter("l < h").select("shingle", F.ceil(F.col("rows") / options.token_rows).cast("int").alias("salts"))
+    shared = sized(shared, heads.count()).filter("l < h").select("shingle", F.ceil(F.col("rows") / options.token_rows).cast("int").alias("salts"))
     width = float(np.log(100 / min(percent, 99)))
     rows = lookup(heads, shared, ["shingle"], "inner", options.broadcast_nodes, options.salts)
     rows = materialize(rows.withColumn("band", F.floor(F.log("n") / F.lit(width) + F.lit(1e-9)).cast("int")), "shared-heads")
@@ -313,21 +318,22 @@ def all_pairs(texts: DataFrame, options: MinHashOptions) -> DataFrame:
 
 def missed(members: DataFrame, labels: DataFrame, docs: DataFrame, options: MinHashOptions, text: str) -> DataFrame | None:
     """Links (a, b) between members of keys that ``labels`` does not join, written; None if there are no such keys."""
-    told = salted(members, labels, ["node"], "left", options.salts).select("key", "node", F.coalesce("label", "node").alias("label"))
+    told = beside(members, labels, ["node"], "left", options.broadcast_nodes, options.salts).select("key", "node", F.coalesce("label", "node").alias("label"))
     told = materialize(told, "labelled-members")
+    n = told.count()
     keys = told.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("key")
-    nodes = lookup(told, keys, ["key"], "left_semi", options.broadcast_nodes, options.salts).select("node", "label").distinct()
-    wanted = materialize(nodes, "open-nodes")
+    nodes = lookup(told, sized(keys, n), ["key"], "left_semi", options.broadcast_nodes, options.salts).select("node", "label")
+    wanted = materialize(sized(nodes.distinct(), n), "open-nodes")
     if wanted.isEmpty():
         return None
     numbered, _ = broadcast_if_small(wanted.select(F.col("node").alias("__row"), "label"), options.broadcast_nodes, "open-rows")
     texts = docs.select("__row", text_of(text).alias("text")).join(numbered, "__row").withColumnRenamed("__row", "node")
     texts = texts.select("node", "label", "text")
-    return confirmed(materialize(all_pairs(texts, options), "open-pairs"), docs, options, text)
+    return confirmed(all_pairs(texts, options), docs, options, text)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, options: MinHashOptions, text: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough, written.
+    """The different pairs (a, b) whose full sets are similar enough, written.
 
     Texts travel, as they take fewer bytes than their sets: that of ``a`` once
     for each ``partners`` of its pairs, followed by those of the partners, so a
@@ -351,38 +357,74 @@ def confirmed(pairs: DataFrame, docs: DataFrame, options: MinHashOptions, text:
                 keep.append(100 * same >= percent * (len(every) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    n_pairs = pairs.count()
     many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > options.partners)
-    told = lookup(pairs.select("a", "b"), many, ["a"], "left", options.broadcast_nodes, options.salts)
+    told = lookup(pairs, sized(many, n_pairs), ["a"], "left", options.broadcast_nodes, options.salts)
     part = F.coalesce(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / options.partners)), F.lit(0).cast("bigint"))
     dealt = materialize(told.select("a", part.alias("part"), "b"), "dealt-pairs")
-    leads = dealt.select("a", "part").distinct().select("a", "part", F.lit(None).cast("bigint").alias("b"), F.col("a").alias("__row"))
+    leads = sized(dealt.select("a", "part").distinct(), n_pairs).select("a", "part", F.lit(None).cast("bigint").alias("b"), F.col("a").alias("__row"))
     wanted = leads.union(dealt.select("a", "part", "b", F.col("b").alias("__row")))
     wanted, _ = broadcast_if_small(wanted, options.broadcast_nodes, "wanted-texts")
     texts = docs.select("__row", text_of(text).alias("text")).join(wanted, "__row")
     sorted_rows = texts.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    sorted_rows = sized(sorted_rows, 2 * n_pairs, options.text_rows)  # whole parts one after the other
     return materialize(sorted_rows.select("a", "b", "text").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
-def components(links: DataFrame, salts: int) -> DataFrame:
+def forest(links: DataFrame, options: MinHashOptions) -> DataFrame:
+    """Links (a, b) that join the same nodes as ``links``: in each task every node with the smallest it is joined to there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def root(node: int) -> int:
+            at = above.setdefault(node, node)
+            while at != above[at]:
+                above[at] = at = above[above[at]]
+            above[node] = at
+            return at
+
+        def stars() -> pa.RecordBatch:
+            told = [(root(node), node) for node in above]
+            both = np.array([x for x in told if x[0] != x[1]], np.int64).reshape(-1, 2)
+            above.clear()
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                low, high = sorted((root(a), root(b)))
+                above[high] = low
+            if len(above) >= options.forest_nodes:
+                yield stars()
+        yield stars()
+
+    return links.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+
+
+def components(links: DataFrame, options: MinHashOptions) -> DataFrame:
     """(node, label): the smallest node of its component, for every node with a link.
 
-    Each round takes the smallest label of the neighbours and then the label
-    of that label, so the rounds grow with the logarithm of a component's
-    width. Every round is written; minima are taken map-side first.
+    Links of one task are joined there first. Each round then takes the
+    smallest label of the neighbours and the label of that label, so the rounds
+    grow with the logarithm of a component's width. Every round is written;
+    minima are taken map-side first.
     """
-    both = materialize(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("n")).select(
-        "node", F.least("node", "n").alias("label")
-    ), "labels")
+    limit, salts = options.broadcast_nodes, options.salts
+    joins = materialize(forest(links, options), "forest")
+    both = joins.union(joins.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    n = 2 * joins.count()
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("n"))
+    labels = materialize(sized(labels, n).select("node", F.least("node", "n").alias("label")), "labels")
     while True:
-        told = salted(both.select("a", F.col("b").alias("node")), labels, ["node"], "inner", salts)
-        least = told.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        moved = labels.join(least, "node").select(
+        told = beside(both.select("a", F.col("b").alias("node")), labels, ["node"], "inner", limit, salts)
+        least = sized(told.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near")), n)
+        moved = beside(least, labels, ["node"], "inner", limit, 1).select(
             "node", F.col("label").alias("old"), F.least("label", "near").alias("label")
         )
         moved = materialize(moved, "moved")
         roots = moved.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        jumped = salted(moved, roots, ["label"], "inner", salts)
+        jumped = beside(moved, roots, ["label"], "inner", limit, salts)
         after = materialize(jumped.select("node", "old", F.col("root").alias("label")), "labels")
         still = after.filter("old <> label").isEmpty()
         labels = after.select("node", "label")
@@ -396,12 +438,14 @@ def joined(labels: DataFrame, links: DataFrame, options: MinHashOptions) -> Data
     label = lambda c: F.coalesce(F.col(f"l{c}"), F.col(c))
     named = links
     for c in ("a", "b"):
-        named = salted(named, labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")), [c], "left", options.salts)
-    merged = components(named.select(label("a").alias("a"), label("b").alias("b")).distinct(), options.salts)
+        table = labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+        named = beside(named, table, [c], "left", options.broadcast_nodes, options.salts)
+    merged = components(named.select(label("a").alias("a"), label("b").alias("b")), options)
     known = labels.select("node", "label").union(
         merged.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti")
     )
-    renamed = salted(known, merged.select(F.col("node").alias("label"), F.col("label").alias("root")), ["label"], "left", options.salts)
+    roots = merged.select(F.col("node").alias("label"), F.col("label").alias("root"))
+    renamed = beside(known, roots, ["label"], "left", options.broadcast_nodes, options.salts)
     return renamed.select("node", F.coalesce("root", "label").alias("label"))
 
 
@@ -411,14 +455,15 @@ def linked(docs: DataFrame, classes: DataFrame, options: MinHashOptions, text: s
     pairs = materialize(pairs, "candidates")
     # First each node with the partner that it meets in most tables, among smaller nodes.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("tables", -F.col("a"))).alias("a")).select("a", "b")
+    best = materialize(sized(best, classes.count()), "best-pairs")
     first = confirmed(best, docs, options, text)
-    labels = components(first, options.salts)
-    rest = salted(pairs.select("a", "b"), labels.select(F.col("node").alias("a"), F.col("label").alias("la")), ["a"], "left", options.salts)
-    rest = salted(rest, labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), ["b"], "left", options.salts)
+    labels = components(first, options)
+    rest = pairs.select("a", "b")
+    for c in ("a", "b"):
+        table = labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+        rest = beside(rest, table, [c], "left", options.broadcast_nodes, options.salts)
     same = F.coalesce(F.col("la"), F.col("a")) == F.coalesce(F.col("lb"), F.col("b"))
-    open_pairs = rest.filter(~same).select("a", "b")
-    tried = open_pairs.join(best, ["a", "b"], "left_anti")
-    second = confirmed(tried, docs, options, text)
+    second = confirmed(rest.filter(~same).select("a", "b").join(best, ["a", "b"], "left_anti"), docs, options, text)
     if not second.isEmpty():
         labels = materialize(joined(labels, second, options), "joined")
     third = missed(members, labels, docs, options, text)
@@ -439,15 +484,18 @@ def groups(docs: DataFrame, options: MinHashOptions | None = None, id_col: str =
     full = rows.filter("digest IS NOT NULL")
     # The row of its smallest document stands for a class.
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
-    classes = materialize(full.groupBy("digest").agg(F.min(order).alias("first")), "classes")
-    classes = classes.withColumn("node", F.col("first.__row"))
+    classes = full.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(sized(classes, rows.count()), "classes").withColumn("node", F.col("first.__row"))
     firsts = full.select(F.col("__row").alias("node"), "n_shingles", "sub_keys").join(classes.select("node"), "node", "left_semi")
     labels = materialize(linked(docs, materialize(firsts, "class-sketches"), options, text), "components")
     # The smallest document over all classes of a component.
-    named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("first").alias("least"))
-    by_class = salted(named.select("digest", "label"), least, ["label"], "inner", options.salts).select("digest", "least")
-    told = salted(rows.drop("sub_keys"), by_class, ["digest"], "left", options.salts)
+    limit, salts = options.broadcast_nodes, options.salts
+    named = beside(classes, labels, ["node"], "left", limit, 1)
+    least = named.filter("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("least"))
+    least = materialize(sized(least, labels.count()), "least")
+    by_class = beside(named.filter("label IS NOT NULL OR copies > 1"), least, ["label"], "left", limit, salts)
+    by_class = by_class.select("digest", F.coalesce("least", "first").alias("least"))
+    told = lookup(rows.drop("sub_keys"), by_class, ["digest"], "left", limit, salts)
     alone = F.col("least").isNull()
     return told.select(
         "__row",
