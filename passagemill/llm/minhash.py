@@ -9,13 +9,13 @@ each link is confirmed on the full sets.
 
 Equal sets are merged first, so copies enter the tables once. Inside a table
 the members of a key are put in an order that a hash of table and document
-decides, and each is paired with the first and with the one before it: a key
-with n members gives less than 2 n candidates, and other tables pair them in
-other orders. Of the candidates the most promising are confirmed first, and
+decides, and each is paired with the first, in keys of up to ``WHOLE`` members
+also with the one before it: a key with n members gives n candidates at most,
+and other tables pair them in other orders. Of the candidates the most promising are confirmed first, and
 pairs that these links have already joined are left out.
 
-These are all pairs of a key of up to ``WHOLE`` members. The members of a larger
-key that the links have not all joined then go through an exact similarity join:
+These are all pairs of a key of up to ``WHOLE`` members. Of a larger key they are
+only a start: its members, if the links have not joined them all, then go through an exact similarity join:
 shingles are put in one order, rare ones first, so two similar sets share one of
 their first few shingles, and the places of that shingle and the sizes bound
 what they can have in common. All pairs left are confirmed on the full sets.
@@ -163,22 +163,26 @@ def candidates(classes: DataFrame, options: MinHashOptions) -> tuple[DataFrame,
     a key that a third of all documents share reaches its bucket once per batch;
     the pairs found in the batch travel along with some bucket. Less than two
     pairs per member, table and step: all pairs of keys with ``WHOLE`` members
-    at most, and the members of the others are told.
+    at most, one per member of the others, whose members are told.
     """
     m = options.sub_keys
     keys_in_all = classes.count() * m * m
     buckets = max(1, -(-keys_in_all // options.bucket_keys))
     buckets = max(buckets, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    def pairs(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows (a, b, tables) of the first and previous member of each key for each member, and which members are first."""
+    def pairs(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, few: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (a, b, tables) of each key's first member and each other, and which members are first.
+
+        Members of keys that ``few`` says have ``WHOLE`` at most are paired with the one before them, too.
+        """
         order = np.lexsort((mixed(nodes.astype(np.uint64) * SPREAD ^ keys), keys))
         k, n, s = keys[order], nodes[order], sizes[order]
         new = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
         head = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
         others = np.flatnonzero(~new)
-        near = np.concatenate([head[others], others - 1])
-        others = np.concatenate([others, others])
+        after = others[few[order][others]]
+        near = np.concatenate([head[others], after - 1])
+        others = np.concatenate([others, after])
         # A pair of sets whose sizes alone rule the similarity out is no candidate.
         small, large = np.minimum(s[others], s[near]), np.maximum(s[others], s[near])
         good = (100 * small >= options.percent * large) & (n[others] != n[near])
@@ -208,7 +212,7 @@ def candidates(classes: DataFrame, options: MinHashOptions) -> tuple[DataFrame,
             nodes = np.repeat(batch.column("node").to_numpy(), m * m)
             sizes = np.repeat(batch.column("n_shingles").to_numpy(), m * m)
             many = sums(keys, np.ones(len(keys))) > WHOLE
-            links, firsts = pairs(keys[many], nodes[many], sizes[many])
+            links, firsts = pairs(keys[many], nodes[many], sizes[many], np.zeros(int(many.sum()), bool))
             links = np.concatenate([links, told(keys[many], nodes[many])])
             goes = np.concatenate([np.flatnonzero(~many), np.flatnonzero(many)[firsts]])
             packed = np.empty(len(goes), member)
@@ -229,7 +233,7 @@ def candidates(classes: DataFrame, options: MinHashOptions) -> tuple[DataFrame,
         keys, nodes, sizes = every["key"].copy(), every["node"].copy(), every["size"].astype(np.int64)
         more = sizes >= MORE
         large = sums(keys, np.where(more, WHOLE + 1, 1)) > WHOLE
-        links, _ = pairs(keys, nodes, sizes - MORE * more)
+        links, _ = pairs(keys, nodes, sizes - MORE * more, ~large)
         sent = np.frombuffer(b"".join(table["links"].to_pylist()), "<i8").reshape(-1, 3)
         # Those that stand for others were told with them.
         every = np.concatenate([sent, links, told(keys[large & ~more], nodes[large & ~more])])
