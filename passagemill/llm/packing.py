@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from passagemill.llm.common import text_of, with_row_id
 from passagemill.llm.tokenizing import encoder
-from passagemill.session import materialize, new_path
+from passagemill.session import new_path
+
+PIECE = ["doc_id", "start", "length", "doc_tokens", "offset"]
 
 
 @dataclass(frozen=True)
@@ -128,55 +130,70 @@ def cut(docs: DataFrame, options: PackOptions, id_col: str = "doc_id", text: str
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
-def plan(pieces: DataFrame, options: PackOptions) -> DataFrame:
-    """Place (__row, start, sequence_id, offset) of each piece; only lengths are shuffled.
+def build(pieces: DataFrame, options: PackOptions) -> DataFrame:
+    """The sequences, written: sequence_id, ids padded to the window, length, and the pieces in them in order.
 
     A group has about ``group_pieces`` pieces at any size of the input, since
-    they are dealt by a hash of their place, not of anything they share.
+    they are dealt by a hash of their place, not of anything they share; its ids
+    take some 32 MB at most. The ids of all pieces are shuffled once.
     """
-    window = options.window
+    window, pad = options.window, np.array([options.pad_id], "<u4").tobytes()
     groups = max(1, -(-pieces.count() // options.group_pieces))
+    kind = dict(pieces.dtypes)["doc_id"]
 
     def run(table: pa.Table) -> pa.Table:
         length = table["length"].to_numpy()
-        row, start = table["__row"].to_numpy(), table["start"].to_numpy()
-        order = np.lexsort((start, row, -length))
+        order = np.lexsort((table["start"].to_numpy(), table["__row"].to_numpy(), -length))
         numbers, offsets = best_fit(length[order], window)
+        inside = np.lexsort((offsets, numbers))
+        order, numbers, offsets = order[inside], numbers[inside], offsets[inside]
+        heads = np.flatnonzero(np.diff(numbers, prepend=-1))
+        ends = np.append(heads[1:], len(order))
+        table = table.take(pa.array(order))
+        ids = table["ids"].to_pylist()
+        held = pa.StructArray.from_arrays([*(table[c].combine_chunks() for c in PIECE[:-1]), pa.array(offsets)], PIECE)
+        sums = np.add.reduceat(length[order], heads)
         group = table["__group"][0].as_py()
         return pa.table(
-            {"__row": row[order], "start": start[order], "sequence_id": numbers * groups + group, "offset": offsets}
+            {
+                "sequence_id": numbers[heads] * groups + group,
+                "ids": [b"".join(ids[a:b]) + pad * (window - n) for a, b, n in zip(heads.tolist(), ends.tolist(), sums.tolist())],
+                "length": sums,
+                "pieces": pa.ListArray.from_arrays(pa.array(np.append(heads, len(order)), pa.int32()), held),
+            }
         )
 
-    dealt = pieces.select(
-        "__row", "start", "length", F.pmod(F.xxhash64("__row", "start"), F.lit(groups)).cast("bigint").alias("__group")
-    )
-    return dealt.groupBy("__group").applyInArrow(run, "__row bigint, start bigint, sequence_id bigint, offset bigint")
+    group = F.pmod(F.xxhash64("__row", "start"), F.lit(groups)).cast("bigint").alias("__group")
+    piece = f"doc_id: {kind}, start: bigint, length: bigint, doc_tokens: bigint, offset: bigint"
+    schema = f"sequence_id bigint, ids binary, length bigint, pieces array<struct<{piece}>>"
+    built = pieces.select("*", group).groupBy("__group").applyInArrow(run, schema)
+    path = new_path(pieces.sparkSession, "sequences")
+    built.write.option("compression", "zstd").parquet(path)
+    return pieces.sparkSession.read.schema(schema).parquet(path)
 
 
-def pack(docs: DataFrame, options: PackOptions, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: its place in its document and in its sequence, and its ids.
+def write_sequences(docs: DataFrame, options: PackOptions, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The packed sequences of all documents: sequence_id, ids padded to the window, length of the real ones, pieces.
 
     A null or empty text is just the end id. Repeated rows and null ids are
     packed row by row; an empty table gives an empty table. No piece is longer
-    than a window, however long the text.
+    than a window, however long the text. Other columns of ``docs`` are not read.
     """
-    pieces = cut(docs, options, id_col, text)
-    places = materialize(plan(pieces, options), "places")
-    return pieces.join(places, ["__row", "start"]).drop("__row")
-
-
-def digests(docs: DataFrame, options: PackOptions, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """:func:`pack` with a checksum of the ids in place of the ids, which then need no shuffle."""
-    pieces = cut(docs, options, id_col, text)
-    places = plan(pieces, options)
-    light = pieces.select("__row", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return light.join(places, ["__row", "start"]).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    return build(cut(docs, options, id_col, text), options)
+
+
+def pack(docs: DataFrame, options: PackOptions, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per piece, read from :func:`write_sequences`: its places, its ids and their checksum."""
+    written = write_sequences(docs, options, id_col, text)
+    held = written.select("sequence_id", F.col("ids").alias("__ids"), F.explode("pieces").alias("p"))
+    own = F.substring("__ids", (F.col("p.offset") * 4 + 1).cast("int"), (F.col("p.length") * 4).cast("int"))
+    return held.select("p.*", "sequence_id", own.alias("ids")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "ids"
     )
 
 
 def sequences(packed: DataFrame, options: PackOptions) -> DataFrame:
-    """The sequences themselves: ids padded to the window, and how many are real."""
+    """The sequences of :func:`pack` rows that were filtered or changed since: ids padded to the window, how many are real."""
     window, pad = options.window, np.array([options.pad_id], "<u4").tobytes()
 
     @F.pandas_udf("binary")

@@ -126,7 +126,7 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_packing")
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     options = packing.PackOptions(public_tokenizers.path("word_bpe_49k.json"))
-    return packing.digests(documents(spark, folder), options)
+    return packing.pack(documents(spark, folder), options).drop("ids")
 
 
 @query(
