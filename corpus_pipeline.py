@@ -77,7 +77,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.digests(docs, packing.PackOptions(public_tokenizers.path("word_bpe_49k.json")))
+    return packing.pack(docs, packing.PackOptions(public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [
