@@ -140,8 +140,7 @@ class Runs:
 
 def gram_hashes(buf: np.ndarray, gram: int, seed: int) -> np.ndarray:
     """A 64-bit hash of the ``gram`` bytes from each place."""
-    table = np.random.default_rng(seed).integers(0, 2**63, 256, dtype=np.uint64)
-    whole, done, part, size, left = None, 0, table[buf], 1, gram
+    whole, done, part, size, left = None, 0, byte_values(seed)[buf], 1, gram
     while left:
         if left & 1:
             if whole is None:
@@ -155,10 +154,26 @@ def gram_hashes(buf: np.ndarray, gram: int, seed: int) -> np.ndarray:
             n = len(buf) - 2 * size + 1
             part = part[:n] * np.uint64(pow(int(SPREAD), size, 2**64)) + part[size : size + n]
             size *= 2
+    return mixed(whole)
+
+
+def mixed(whole: np.ndarray) -> np.ndarray:
     whole = (whole ^ (whole >> np.uint64(29))) * MIX
     return whole ^ (whole >> np.uint64(32))
 
 
+def byte_values(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 2**63, 256, dtype=np.uint64)
+
+
+def hashes_at(buf: np.ndarray, places: np.ndarray, options: SuffixOptions) -> np.ndarray:
+    """:func:`gram_hashes` at some places only."""
+    values, whole = byte_values(options.seed), np.zeros(len(places), np.uint64)
+    for t in range(options.gram):
+        whole = whole * SPREAD + values[buf[places + t]]
+    return mixed(whole)
+
+
 def runs_of(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, options: SuffixOptions) -> Runs:
     """Runs of all strings that lie inside one document, worked out in slices."""
     width, gram = options.width, options.gram
@@ -193,14 +208,37 @@ def runs_of(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, options: S
     if not out:
         none = np.empty(0, np.int64)
         return Runs(none, none, none, none.astype(np.uint64), none, none)
-    first, last, place, h, doc = (np.concatenate(x) for x in zip(*out))
+    return with_stretches(*(np.concatenate(x) for x in zip(*out)), options)
+
+
+def with_stretches(
+    first: np.ndarray, last: np.ndarray, place: np.ndarray, h: np.ndarray, doc: np.ndarray, options: SuffixOptions
+) -> Runs:
     cut = (h % np.uint64(options.stretch)) == 0
     cut[:1] = True
     cut[1:] |= (doc[1:] != doc[:-1]) | (first[1:] != last[:-1] + 1)
     return Runs(first, last, place, h, doc, np.cumsum(cut) - 1)
 
 
-RECORD = np.dtype([("doc", "<i8"), ("n", "u1"), ("text", "V57")])
+def packed_runs(runs: Runs) -> bytes:
+    """The number of strings of each run, then how far behind its start the minimizer lies."""
+    return np.concatenate([runs.last - runs.first + 1, runs.place - runs.first]).astype("<u4").tobytes()
+
+
+def unpacked_runs(packed: bytes, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, options: SuffixOptions) -> Runs:
+    """The runs again: those of a document follow each other from its first byte to its last string."""
+    count, behind = np.frombuffer(packed, "<u4").astype(np.int64).reshape(2, -1)
+    strings = np.maximum(lengths - options.width + 1, 0)
+    before = np.cumsum(strings) - strings
+    at = np.cumsum(count) - count
+    doc = np.searchsorted(before + strings, at, side="right")
+    first = starts[doc] + at - before[doc]
+    return with_stretches(first, first + count - 1, first + behind, hashes_at(buf, first + behind, options), doc, options)
+
+
+def record_of(options: SuffixOptions) -> np.dtype:
+    """A group of strings: the smallest id that has it, how many strings, and their text."""
+    return np.dtype([("doc", "<i8"), ("n", "<u4"), ("text", f"V{options.width + options.group - 1}")])
 
 
 class Block:
@@ -214,11 +252,12 @@ class Block:
         self.raw = pa.decompress(row["data"], size, codec="zstd", asbytes=True) if size else b""
         self.buf = np.frombuffer(self.raw, np.uint8)
         self.starts = np.cumsum(self.lengths) - self.lengths
+        self.known_runs = pa.decompress(row["runs"], row["runs_size"], codec="zstd", asbytes=True) if row["runs_size"] else b""
         self.answers = {(a["step"], a["bucket"]): a["bits"] for a in row.get("answers") or []}
 
     def answer(self, step: int, bucket: np.ndarray) -> np.ndarray:
         """Bits for entries in the order asked; ``bucket`` is that of each entry."""
-        bits = np.zeros((len(bucket), 8 if step == 3 else 1), bool)
+        bits = np.zeros((len(bucket), self.options.group if step == 3 else 1), bool)
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         for (asked, b), given in self.answers.items():
@@ -236,7 +275,7 @@ class Block:
 
     def runs(self) -> Runs:
         if not hasattr(self, "_runs"):
-            self._runs = runs_of(self.buf, self.starts, self.lengths, self.options)
+            self._runs = unpacked_runs(self.known_runs, self.buf, self.starts, self.lengths, self.options)
         return self._runs
 
     def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -294,7 +333,7 @@ class Block:
                 j = (place - first) // size
                 end = min(last, place - j * size)
                 text = raw[first : end + width]
-                at = known.setdefault(text + bytes([place - first]), len(known))
+                at = known.setdefault(text + (place - first).to_bytes(4, "little"), len(known))
                 if at == len(docs):
                     docs.append(owner)
                     a = place - j * size
@@ -303,12 +342,13 @@ class Block:
                     docs[at] = owner
                 found.append((at, first, end - first + 1, owner))
                 first = end + 1
-        records = np.zeros(len(docs), RECORD)
+        record = record_of(self.options)
+        records = np.zeros(len(docs), record)
         records["doc"] = docs
-        texts = [key[:-1] for key in known]
+        texts = [key[:-4] for key in known]
         records["n"] = [len(t) - width + 1 for t in texts]
         padded = b"".join(t.ljust(width + size - 1, b"\0") for t in texts)
-        records["text"] = np.frombuffer(padded, "V57") if texts else np.empty(0, "V57")
+        records["text"] = np.frombuffer(padded, record["text"])
         bucket = (np.array(middles, np.uint64) % np.uint64(self.buckets)).astype(np.int64)
         return records, bucket, np.array(found, np.int64).reshape(-1, 4)
 
@@ -365,7 +405,8 @@ class Block:
 
 def answers(step: int, questions: list[bytes], options: SuffixOptions) -> list[np.ndarray]:
     """Bits for the entries of each question that a bucket got."""
-    sizes = [24, 6, RECORD.itemsize]
+    record = record_of(options)
+    sizes = [24, 6, record.itemsize]
     counts = [len(q) // sizes[step - 1] for q in questions]
     every = b"".join(questions)
     if step == 1:
@@ -382,7 +423,7 @@ def answers(step: int, questions: list[bytes], options: SuffixOptions) -> list[n
         _, which, times = np.unique(wide.reshape(-1).view("<u8"), return_inverse=True, return_counts=True)
         bits = times[which] > 1
     else:
-        e = np.frombuffer(every, RECORD)
+        e = np.frombuffer(every, record)
         text = np.ascontiguousarray(e["text"]).view(np.uint8).reshape(len(e), -1)
         windows = np.lib.stride_tricks.sliding_window_view(text, options.width, axis=1)
         there = np.arange(options.group) < e["n"][:, None]
@@ -401,7 +442,11 @@ def answers(step: int, questions: list[bytes], options: SuffixOptions) -> list[n
 
 
 def blocks_of(docs: DataFrame, options: SuffixOptions, id_col: str, text: str) -> DataFrame:
-    """Rows (block, ids, nulls, lengths, data) of whole documents, written; a long document is a block of its own."""
+    """Rows (block, ids, nulls, lengths, data, runs, runs_size) of whole documents, written.
+
+    A long document is a block of its own. The runs are worked out here and kept
+    beside the texts, since each later step needs them.
+    """
     limit = options.block_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,12 +456,16 @@ def blocks_of(docs: DataFrame, options: SuffixOptions, id_col: str, text: str) -
         def block() -> pa.RecordBatch:
             nonlocal number
             data = b"".join(t for _, t in waiting)
+            lengths = np.array([len(t) for _, t in waiting], "<i8")
+            runs = packed_runs(runs_of(np.frombuffer(data, np.uint8), np.cumsum(lengths) - lengths, lengths, options))
             row = {
                 "block": [number],
                 "ids": [np.array([LAST if d is None else d for d, _ in waiting], "<i8").tobytes()],
                 "nulls": [bytes(d is None for d, _ in waiting)],
-                "lengths": [np.array([len(t) for _, t in waiting], "<i8").tobytes()],
+                "lengths": [lengths.tobytes()],
                 "data": [pa.compress(data, codec="zstd", asbytes=True) if data else b""],
+                "runs": [pa.compress(runs, codec="zstd", asbytes=True) if runs else b""],
+                "runs_size": [len(runs)],
             }
             number += 1
             waiting.clear()
@@ -435,9 +484,8 @@ def blocks_of(docs: DataFrame, options: SuffixOptions, id_col: str, text: str) -
             yield block()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
-    return materialize(
-        rows.mapInArrow(run, "block bigint, ids binary, nulls binary, lengths binary, data binary"), "text-blocks"
-    )
+    schema = "block bigint, ids binary, nulls binary, lengths binary, data binary, runs binary, runs_size bigint"
+    return materialize(rows.mapInArrow(run, schema), "text-blocks")
 
 
 def with_answers(blocks: DataFrame, given: DataFrame | None) -> DataFrame:

@@ -114,6 +114,24 @@ def test_suffixes(docs, rows, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("options", [{"width": 30, "gram": 9, "group": 5}, {"width": 71, "gram": 50, "group": 3}])
+def test_suffixes_of_any_width(spark, options):
+    draw = np.random.default_rng(8)
+    words = ["".join(draw.choice(list("abcd"), 5)) for _ in range(12)]
+    given = [(i, " ".join(draw.choice(words, draw.integers(0, 60)))) for i in range(60)]
+    given += [(60 + i, given[i][1][:150] + " x") for i in range(20)]
+    width, seen, plain = options["width"], {}, {}
+    for doc_id, t in given:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - width + 1):
+            if seen.setdefault(t[i : i + width], doc_id) < doc_id:
+                gone[i : i + width] = True
+        plain[doc_id] = (int(gone.sum()), "".join(c for c, g in zip(t, gone) if not g).encode())
+    table = spark.createDataFrame(given, "doc_id bigint, text string")
+    told = suffix_dedup.remove_repeats(table, suffix_dedup.SuffixOptions(**options, block_bytes=2000, slice_bytes=700)).collect()
+    assert {r.doc_id: (r.n_removed, bytes(r.kept)) for r in told} == plain
+
+
 def test_deep_shallow_order():
     rows = np.random.default_rng(1).integers(0, 2, (3000, 50), dtype=np.uint8)
     rows[1000:2000] = rows[:1000]
@@ -170,6 +188,8 @@ def test_packing(docs, rows, empty):
         assert at <= 512
     made = packing.sequences(packing.pack(docs, options), options).collect()
     assert {len(r.ids) for r in made} == {4 * 512}
+    written = {r.sequence_id: r for r in packing.write_sequences(docs, options).collect()}
+    assert {k: (bytes(r.ids), r.length) for k, r in written.items()} == {r.sequence_id: (bytes(r.ids), r.length) for r in made}
     assert packing.pack(empty, options).count() == 0
 
 
