@@ -30,6 +30,14 @@ def with_row_id(df: DataFrame, name: str = "__row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def shielded(docs: DataFrame, *needed: str) -> DataFrame:
+    """``docs`` with names of its own for all columns but the needed ones, so none clashes with what an operator makes.
+
+    ``toDF(*docs.columns)`` on the result's columns, in their order, gives the names back.
+    """
+    return docs.toDF(*(c if c in needed else f"given_column_{i}" for i, c in enumerate(docs.columns)))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int, label: str) -> tuple[DataFrame, bool]:
     """The table, written once, as a broadcast if it has at most ``max_rows`` rows."""
     kept = materialize(df, label)

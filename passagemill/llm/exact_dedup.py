@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import BROADCAST_ROWS, SPACES, broadcast_if_small, lookup, salted, text_of, with_row_id
+from passagemill.llm.common import BROADCAST_ROWS, SPACES, broadcast_if_small, lookup, salted, shielded, text_of, with_row_id
 from passagemill.session import materialize
 
 
@@ -146,7 +146,8 @@ def copies(docs: DataFrame, options: ExactOptions | None = None, id_col: str = "
 
 
 def drop_copies(docs: DataFrame, options: ExactOptions | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, see :func:`copies`."""
-    numbered = materialize(with_row_id(docs), "numbered")
+    """``docs`` with one row of each group of equal texts, see :func:`copies`; columns of any name stay as they are."""
+    own = shielded(docs, id_col, text)
+    numbered = materialize(with_row_id(own), "numbered")
     dropped = copies(numbered, options, id_col, text).filter("NOT kept").select("__row")
-    return lookup(numbered, dropped, ["__row"], "left_anti", BROADCAST_ROWS, 1).select(*docs.columns)
+    return lookup(numbered, dropped, ["__row"], "left_anti", BROADCAST_ROWS, 1).select(*own.columns).toDF(*docs.columns)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import BROADCAST_ROWS, beside, broadcast_if_small, lookup, sized, text_of, with_row_id
+from passagemill.llm.common import BROADCAST_ROWS, beside, broadcast_if_small, lookup, shielded, sized, text_of, with_row_id
 from passagemill.session import materialize
 
 SLICE = 1024  # documents worked on at a time
@@ -511,7 +511,8 @@ def groups(docs: DataFrame, options: MinHashOptions | None = None, id_col: str =
 
 
 def drop_near_copies(docs: DataFrame, options: MinHashOptions | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, see :func:`groups`."""
-    numbered = materialize(with_row_id(docs), "numbered")
+    """``docs`` with one row of each component, see :func:`groups`; columns of any name stay as they are."""
+    own = shielded(docs, id_col, text)
+    numbered = materialize(with_row_id(own), "numbered")
     dropped = groups(numbered, options, id_col, text).filter("NOT kept").select("__row")
-    return lookup(numbered, dropped, ["__row"], "left_anti", BROADCAST_ROWS, 1).select(*docs.columns)
+    return lookup(numbered, dropped, ["__row"], "left_anti", BROADCAST_ROWS, 1).select(*own.columns).toDF(*docs.columns)

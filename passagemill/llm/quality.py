@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import SPACES, WORDS, bound, lookup, text_of
+from passagemill.llm.common import SPACES, WORDS, bound, lookup, shielded, text_of
 from passagemill.session import materialize
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_capitals", "n_lines", "n_dup_lines", "n_repeat_words"]
@@ -199,6 +199,15 @@ def judge_quality(
     return verdicts(features, thresholds(counts, options), options)
 
 
+def drop_rejected(
+    docs: DataFrame, options: QualityOptions | None = None, text: str = "text", lang: str = "lang", source: str = "source"
+) -> DataFrame:
+    """``docs`` without the documents that fail a rule, see :func:`judge_quality`; columns of any name stay as they are."""
+    own = shielded(docs, text, lang, source)
+    judged = judge_quality(own, options, own.columns, text, lang, source)
+    return judged.filter("kept").select(*own.columns).toDF(*docs.columns)
+
+
 def verdicts(features: DataFrame, limits: DataFrame, options: QualityOptions) -> DataFrame:
     """Join every document with the bounds of its group and apply both kinds of rules."""
     joined = lookup(features, limits, ["__lang", "__source"], "left", options.broadcast_rows)

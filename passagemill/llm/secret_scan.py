@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagemill.llm.common import bound, text_of, with_row_id
+from passagemill.llm.common import bound, shielded, text_of, with_row_id
 from passagemill.session import materialize
 
 
@@ -175,10 +175,13 @@ def report(docs: DataFrame, options: SecretOptions | None = None, id_col: str =
 def redact(docs: DataFrame, options: SecretOptions | None = None, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every reported span of ``text`` replaced by ``mark``, overlapping ones by one.
 
-    Rows without a span stay as they are, null texts too.
+    Rows without a span stay as they are, null texts too; repeated rows are
+    masked one by one, other columns of any name stay as they are, and an empty
+    table gives an empty table.
     """
     options = options or SecretOptions()
-    rows = matched(with_row_id(docs), options, text, *[F.col(c) for c in docs.columns])
+    own = shielded(docs, text)
+    rows = matched(with_row_id(own), options, text, *[F.col(c) for c in own.columns])
     # Texts without any match are written on as they are; only the others meet their spans.
     hit = F.exists("__matches", lambda of_kind: F.coalesce(F.exists(of_kind, lambda m: m["good"]), F.lit(False)))
     found = scan(rows, options)
@@ -189,4 +192,4 @@ def redact(docs: DataFrame, options: SecretOptions | None = None, text: str = "t
     masked = F.concat(F.array_join(F.transform(fresh, part), ""), rest)
     joined = rows.filter(hit).drop("__matches").join(found, "__row", "left")
     changed = joined.withColumn(text, F.when(F.col("__found").isNull(), F.col(text)).otherwise(masked))
-    return rows.filter(~hit).select(*docs.columns).union(changed.select(*docs.columns))
+    return rows.filter(~hit).select(*own.columns).union(changed.select(*own.columns)).toDF(*docs.columns)

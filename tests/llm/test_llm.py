@@ -294,6 +294,33 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id: r.ids_crc32 for r in got} == {d: crc([*encode(t), 2]) for d, t in plain.items()}
 
 
+CLASHING = ["__row", "kept", "n_words", "__lang", "h", "sequence_id", "__matches", "__found", "__salt", "component_id"]
+
+
+def test_stages_leave_clashing_columns_alone(spark):
+    draw = np.random.default_rng(6)
+    vocabulary = ["".join(draw.choice(list("abcdefghij"), 6)) for _ in range(3000)]
+    clean = [" ".join(draw.choice(vocabulary, 120)) for _ in range(4)]
+    texts = [*clean, clean[0], "password=abcdefgh12 " + clean[1][::-1], None, "junk"]
+    rows = [(i, t, "en", "s", *(f"{c} {i}" for c in CLASHING)) for i, t in enumerate(texts)]
+    rows.append(rows[3])
+    schema = "doc_id bigint, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    docs = materialize(spark.createDataFrame(rows, schema), "clashing")
+    none = materialize(spark.createDataFrame([], schema), "clashing-none")
+    for name, work in corpus_pipeline.STAGES[:-1]:
+        docs, none = materialize(work(spark, docs, "a"), "stage"), materialize(work(spark, none, "b"), "stage")
+        assert docs.columns == none.columns == ["doc_id", "text", "lang", "source", *CLASHING], name
+    assert sorted(r.doc_id for r in docs.collect()) == [0, 1, 2, 3, 5]
+    for r in docs.collect():
+        assert tuple(r[4:]) == tuple(f"{c} {r.doc_id}" for c in CLASHING)
+        assert r.text == ("[SECRET] " + clean[1][::-1] if r.doc_id == 5 else texts[r.doc_id])
+    packed = corpus_pipeline.STAGES[-1][1]
+    encode = library(WORD_FILE)
+    told = {r.doc_id: bytes(r.ids) for r in packed(spark, docs, "a").collect()}
+    assert told == {r.doc_id: np.array([*encode(r.text), 2], "<u4").tobytes() for r in docs.collect()}
+    assert packed(spark, none, "b").count() == 0
+
+
 def test_near_copies_that_share_a_template(spark):
     """A thousand texts near 0.75 with each other, so all share table keys, and 60 pairs of them just above 0.8."""
     draw = np.random.default_rng(5)
