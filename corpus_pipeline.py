@@ -12,12 +12,17 @@ a stage to the shared folder and reads it again as the next one's ``docs``.
 5. packing: the pieces of all documents with their place in a sequence.
 
 Null texts count as empty and fail the quality rules; an empty table passes
-through all stages as an empty table.
+through all stages as an empty table. Rows that repeat an id are judged by their
+texts; of equal texts the longest stays, then the smallest id (null last), then
+the first row. Columns beside ``doc_id text lang source`` may have any name and
+keep their values up to the last stage, but ``n_chars`` follows a masked text.
 """
 
 from __future__ import annotations
 
 import functools
+import threading
+from collections import defaultdict
 from collections.abc import Callable
 
 import public_tokenizers
@@ -28,7 +33,12 @@ from passagemill.llm import exact_dedup, minhash, packing, quality, secret_scan
 from passagemill.session import configure, delete_paths, load_table, materialize, recorded
 
 
-_left: list[str] = []
+_left: dict[tuple[str, str, int], list[str]] = defaultdict(list)
+
+
+def left_by(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Intermediate tables of the last stage over this folder in this session and thread, so runs beside each other keep theirs."""
+    return _left[spark.sparkContext.applicationId, sf_dir, threading.get_ident()]
 
 
 def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]):
@@ -36,16 +46,18 @@ def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]):
 
     The result of the stage before has been written and read again by then, so
     nothing reads them any more; the disk holds those of one stage at a time.
+    In one thread and folder a stage's result must be written before the next is called.
     """
 
     @functools.wraps(work)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         configure(spark)
-        delete_paths(spark, _left)
-        _left.clear()
+        left = left_by(spark, sf_dir)
+        delete_paths(spark, left)
+        left.clear()
         with recorded() as paths:
             result = work(spark, docs, sf_dir)
-        _left.extend(paths)
+        left.extend(paths)
         return result
 
     return run_stage
@@ -53,7 +65,7 @@ def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]):
 
 @stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judge_quality(docs, columns=docs.columns).filter("kept").select(*docs.columns)
+    return quality.drop_rejected(docs)
 
 
 @stage
@@ -97,6 +109,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(configure(spark), sf_dir, "documents")
     for name, work in STAGES:
         docs = materialize(work(spark, docs, sf_dir), name.replace(" ", "-"))
-    delete_paths(spark, _left)
-    _left.clear()
+    delete_paths(spark, left_by(spark, sf_dir))
+    _left.pop((spark.sparkContext.applicationId, sf_dir, threading.get_ident()), None)
     return docs
