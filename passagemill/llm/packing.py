@@ -89,10 +89,21 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return numbers, offsets
 
 
+def narrow(ids: bytes) -> bytes:
+    """32-bit ids in 16 bits if all fit."""
+    wide = np.frombuffer(ids, "<u4")
+    return wide.astype("<u2").tobytes() if wide.max() < 1 << 16 else bytes(ids)
+
+
+def widened(ids: bytes, count: int) -> bytes:
+    """The 32-bit ids of :func:`narrow`."""
+    return ids if len(ids) == 4 * count else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+
+
 def cut(docs: DataFrame, options: PackOptions, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces (__row, doc_id, start, length, doc_tokens, ids) of all documents, written to the shared folder.
 
-    ``ids`` are little-endian unsigned 32-bit numbers.
+    ``ids`` are little-endian unsigned numbers of 16 bits where a piece has none above 65,535, and else of 32.
     """
     window, end = options.window, np.array([options.end_id], "<u4").tobytes()
     vocabulary = options.vocabulary
@@ -111,12 +122,12 @@ def cut(docs: DataFrame, options: PackOptions, id_col: str = "doc_id", text: str
                     which.append(i)
                     starts.append(start)
                     totals.append(total)
-                    pieces.append(ids[4 * start : 4 * (start + window)])
+                    pieces.append(narrow(ids[4 * start : 4 * (start + window)]))
             taken = batch.select([0, 1]).take(pa.array(which, pa.int32()))
             columns = [
                 *taken.columns,
                 pa.array(starts, pa.int64()),
-                pa.array([len(p) // 4 for p in pieces], pa.int64()),
+                pa.array([min(window, n - at) for at, n in zip(starts, totals)], pa.int64()),
                 pa.array(totals, pa.int64()),
                 pa.array(pieces, pa.binary()),
             ]
@@ -150,7 +161,7 @@ def build(pieces: DataFrame, options: PackOptions) -> DataFrame:
         heads = np.flatnonzero(np.diff(numbers, prepend=-1))
         ends = np.append(heads[1:], len(order))
         table = table.take(pa.array(order))
-        ids = table["ids"].to_pylist()
+        ids = [widened(each, n) for each, n in zip(table["ids"].to_pylist(), length[order].tolist())]
         held = pa.StructArray.from_arrays([*(table[c].combine_chunks() for c in PIECE[:-1]), pa.array(offsets)], PIECE)
         sums = np.add.reduceat(length[order], heads)
         group = table["__group"][0].as_py()

@@ -193,6 +193,13 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, options).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 65_535, 65_536, 2**32 - 1])
+def test_ids_of_any_width(most):
+    ids = np.array([0, 7, most], "<u4").tobytes()
+    assert len(packing.narrow(ids)) == (6 if most < 65_536 else 12)
+    assert packing.widened(packing.narrow(ids), 3) == ids
+
+
 def test_best_fit_is_tightest():
     lengths = np.sort(np.random.default_rng(2).integers(1, 65, 500))[::-1]
     numbers, offsets = packing.best_fit(lengths, 64)
