@@ -49,7 +49,7 @@ class SuffixOptions:
     group: int = 8  # strings of a run that are sent together
     stretch: int = 16  # runs in a stretch, on average
     block_bytes: int = 1 << 20
-    slice_bytes: int = 1 << 20
+    slice_bytes: int = 1 << 16
     bucket_bytes: int = 8 << 20
     seed: int = 5
 
