@@ -9,7 +9,7 @@ from passagemill.functions import vectors as vec
 from passagemill.functions.ranking import distributed_row_number
 from passagemill.operators import embedding as emb
 from passagemill.operators.context import pack_context
-from passagemill.operators.search import Space, get_chunk, hydrate_hits, knn_join, range_join, search
+from passagemill.operators.search import Space, get_chunk, hydrate_hits, knn_graph, knn_join, range_join, search
 
 
 def _vectors(n=240, dim=6, seed=3):
@@ -49,6 +49,17 @@ def test_search_is_exact(spark, metric, same, strategy):
     assert got == _brute(rows, metric, 9, same)
 
 
+def test_graph_of_some_points(spark):
+    rows = _vectors()
+    store = spark.createDataFrame(rows, "chunk_id bigint, vector array<double>")
+    hits = knn_graph(store, asked=store.filter("chunk_id % 100 = 0"), k=5)
+    got = {}
+    for r in hits.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["chunk_id"], round(r["score"] + 0.0, 6)))
+    every = _brute(rows, "cosine", 5, False)
+    assert got == {q: every[q] for q in (0, 100, 200)}
+
+
 def test_threshold_ways_agree(spark):
     rows = _vectors()
     store = spark.createDataFrame(rows, "chunk_id bigint, vector array<double>")
