@@ -45,7 +45,7 @@ MADE = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha2
 class AlignOptions:
     byte_level: str  # vocabulary file of A, for the tokenizers library
     pieces: str  # model file of B, for the sentencepiece library
-    slice_words: int = 200_000  # words merged together
+    slice_words: int = 100_000  # words merged together
     lane_words: int = 512  # longer documents take several places of the state vector
     chunk_chars: int = 1 << 16  # of different words, encoded in one call
 
@@ -242,14 +242,20 @@ class Told:
 def align_texts(own: Aligner, texts: list[str]) -> list[Told]:
     """Align every text of a batch, a bounded number of words at a time."""
     options = own.options
-    split = [own.words(t) if t else [] for t in texts]
-    number = {w: i for i, w in enumerate(dict.fromkeys(w for words in split for w in words))}
+    number: dict[str, int] = {}
+    split: list[np.ndarray] = []
+    for text in texts:
+        words = own.words(text) if text else []
+        for word in words:
+            if word not in number:
+                number[word] = len(number)
+        # Words are kept as numbers; the strings of all texts would take ten times as much.
+        split.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
     a_of, b_of, good = own.encode_words(list(number))
     told = [Told() for _ in texts]
     lanes: list[tuple[int, np.ndarray]] = []
     held = 0
-    for doc, words in enumerate(split):
-        numbers = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    for doc, numbers in enumerate(split):
         if not len(numbers) or not good[numbers].all():
             continue
         for first in range(0, len(numbers), options.lane_words):
