@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from passagemill import schemas
 from passagemill.functions.text import snippet
+from passagemill.session import materialize
 
 
 def pca_reduce(df: DataFrame, k: int, vector_col: str = "vector", out: str = "reduced") -> DataFrame:
@@ -29,7 +30,11 @@ def pca_reduce(df: DataFrame, k: int, vector_col: str = "vector", out: str = "re
 
 
 def project_2d(points: DataFrame, vector_col: str = "vector") -> DataFrame:
-    """Adds ``x`` and ``y``. A single point has no layout and is left out."""
+    """Adds ``x`` and ``y``. A single point has no layout and is left out.
+
+    The points are written first, since the fit goes over them several times.
+    """
+    points = materialize(points, "points")
     alone = points.limit(2).count() < 2
     if alone:
         return points.limit(0).withColumn("x", F.lit(0.0)).withColumn("y", F.lit(0.0))
