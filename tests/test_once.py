@@ -83,3 +83,12 @@ def test_groups_do_not_depend_on_the_slice(monkeypatch):
             with monkeypatch.context() as m:
                 m.setattr("passagemill.operators.boundaries.SLICE_UNITS", 2)
                 assert kernel(parts).to_pylist() == whole
+
+
+def test_a_batch_holds_few_long_rows(spark):
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([batch.num_rows], pa.int64())})
+
+    long = spark.range(0, 12, 1, 1).select(F.repeat(F.lit("x"), 4 << 20).alias("text"))
+    assert long.mapInArrow(rows, "rows bigint").agg(F.max("rows")).first()[0] <= 3
