@@ -14,6 +14,7 @@ from passagemill.functions.markup import markup_text, without_html_tags, without
 from passagemill.functions.ranking import distributed_row_number
 from passagemill.session import materialize
 from passagemill.sources import files as fl
+from passagemill.sources import json_ranges as js
 from passagemill.sources import splits
 from passagemill.sources.structured import PART_TYPES, PdfExtractor, structured_reader
 from passagemill.sources.walk import with_content
@@ -88,24 +89,32 @@ def parse_long_files(
 ) -> DataFrame:
     """The rows of :func:`parse_files` for files of any length, which are never held whole.
 
-    CSV, TSV, JSON lines and plain text are read by many tasks, a range each;
-    JSON, markup, workbooks, packages and Parquet by one task per file. Text
+    CSV, TSV, JSON, JSON lines and plain text are read by many tasks, a range
+    each; markup, workbooks, packages and Parquet by one task per file. Text
     and markup above ``split_bytes`` become several parts, cut at white space.
     """
-    known = materialize(
-        supported_files(fl.file_metadata(splits.heads_of(files, fl.SNIFFED_BYTES))).drop("content"), "long-files"
-    )
+    heads = materialize(splits.heads_of(files, fl.SNIFFED_BYTES), "heads")
+    maybe_json = heads.filter(F.col("opens_json") | (fl.extension_of(F.col("source_file")) == ".json"))
+    json_ranges = None if maybe_json.isEmpty() else js.json_ranges(maybe_json, split_bytes)
+    heads = heads.withColumnRenamed("opens_json", "whole_json")
+    if json_ranges is not None:
+        good = json_ranges.filter((F.col("split") == 0) & F.col("problem").isNull()).select("path", F.lit(True).alias("__good"))
+        whole = F.col("whole_json") & F.coalesce("__good", F.lit(False))
+        heads = heads.join(F.broadcast(good), "path", "left").withColumn("whole_json", whole).drop("__good")
+    known = materialize(supported_files(fl.file_metadata(heads)).drop("content"), "long-files")
     parser = F.col("parsing_type_used")
     way = (
         F.when(F.col("__generic") | (parser.isin(PLAIN) & ~parser.isin(MARKUP)), "text")
         .when(parser.isin(MARKUP), "markup")
         .when(parser.isin(LINES), "lines")
+        .when(parser == ".json", "json")
         .otherwise("whole")
     )
     readers = {
         "text": lambda some: splits.text_pieces(some, split_bytes),
         "markup": lambda some: splits.markup_piece_rows(some, split_bytes),
         "lines": lambda some: splits.record_parts(some, split_bytes),
+        "json": lambda some: js.json_range_parts(some, json_ranges),
         "whole": lambda some: splits.whole_file_parts(some, pdf_extractor, MAX_WHOLE_BYTES),
     }
     made = []
