@@ -3,9 +3,9 @@
 Both vocabularies cut a text before merging, and no cut-out piece reaches over
 a single blank between two other characters. So the texts of a batch are taken
 apart there, the library encodes each different word of the batch once, many in
-one call, and the ids of a text are gathered from those of its words. The words
-of a batch are known to the next one of the task, and to no later one. A text that holds the
-string of an added token goes to the library whole.
+one call, and the ids of a text are gathered from those of its words. Words stay
+known to the next batches of the task until they are too many; then those of the
+last batch stay. A text that holds the string of an added token goes to the library whole.
 """
 
 from __future__ import annotations
@@ -82,10 +82,11 @@ ODD_SPACE = (
 
 
 class Encoded:
-    """Words and where their ids are; kept from one batch to the next, so it is as large as a batch."""
+    """Words and where their ids are, and which words the last batch had."""
 
     def __init__(self):
         self.number: dict[str, int] = {}
+        self.batch: list[str] = []
         self.ids = np.zeros(0, "<u4")
         self.first = self.count = np.zeros(0, np.int64)
 
@@ -104,7 +105,7 @@ class TextEncoder:
     the string of an added token in a text is that token.
     """
 
-    def __init__(self, vocabulary: str, chunk_chars: int = 1 << 10, slice_words: int = 200_000):
+    def __init__(self, vocabulary: str, chunk_chars: int = 1 << 10, slice_words: int = 200_000, known_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -114,7 +115,12 @@ class TextEncoder:
         self.normalizer = tokenizer.normalizer
         # Some are looked for in the normalised text.
         self.normal = [tokenizer.normalizer.normalize_str(t.content) for t in added if t.normalized and tokenizer.normalizer is not None]
-        self.chunk_chars, self.slice_words = chunk_chars, slice_words
+        self.chunk_chars, self.slice_words, self.known_words = chunk_chars, slice_words, known_words
+        # Tokens that begin with a blank; none where the vocabulary leaves blanks out.
+        self.heads = np.zeros(1 + max(tokenizer.get_vocab().values()), bool)
+        self.heads[[i for token, i in tokenizer.get_vocab().items() if token.startswith(BYTE_LETTERS[0x20])]] = True
+        if self.heads[self.library(" a a")].sum() != 2:
+            self.heads[:] = False
 
     def holding_added(self, texts: pa.Array) -> np.ndarray:
         """Which texts hold the string of an added token."""
@@ -167,6 +173,26 @@ class TextEncoder:
             first[chunk] = size + np.cumsum(counts) - counts
             add(ids)
 
+        def blanks_before(waiting: list[list[int]]) -> None:
+            """Chunks of words with a blank before each. The words hold no other, so as many heads as words tell where each begins."""
+            if not self.heads.any():
+                for chunk in waiting:
+                    together(chunk, " ")
+                waiting.clear()
+                return
+            texts = [" " + " ".join([words[i] for i in chunk]) for chunk in waiting]
+            for chunk, told in zip(waiting, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                ids = np.array(told.ids, "<u4")
+                heads = np.flatnonzero(self.heads[ids])
+                if len(heads) != len(chunk) or heads[0]:
+                    # The normalised text has other blanks.
+                    together(chunk, " ")
+                    continue
+                count[chunk], first[chunk] = np.diff(heads, append=len(ids)), size + heads
+                add(ids)
+            waiting.clear()
+
+        waiting: list[list[int]] = []
         chunks: dict[str, list[int]] = {" ": [], "\n": []}
         held = {" ": 0, "\n": 0}
         for i, word in enumerate(words):
@@ -180,27 +206,45 @@ class TextEncoder:
             chunks[joint].append(i)
             held[joint] += len(word) + 1
             if held[joint] >= self.chunk_chars:
-                together(chunks[joint], joint)
+                if joint == " ":
+                    waiting.append(chunks[joint])
+                    if len(waiting) >= 64:
+                        blanks_before(waiting)
+                else:
+                    together(chunks[joint], joint)
                 chunks[joint], held[joint] = [], 0
-        for joint, chunk in chunks.items():
-            if chunk:
-                together(chunk, joint)
+        if chunks[" "]:
+            waiting.append(chunks[" "])
+        blanks_before(waiting)
+        if chunks["\n"]:
+            together(chunks["\n"], "\n")
         return np.concatenate(found) if found else np.zeros(0, "<u4"), first, count
 
-    def encode_new(self, words: list[str], last: Encoded) -> Encoded:
-        """The ids of different words; those of the last batch are taken from there."""
-        now = Encoded()
-        now.number = {w: i for i, w in enumerate(words)}
-        before = np.fromiter((last.number.get(w, -1) for w in words), np.int64, len(words))
-        old, new = np.flatnonzero(before >= 0), np.flatnonzero(before < 0)
-        kept, _ = last.of(before[old])
-        ids, first, count = self.encode_words([words[i] for i in new.tolist()])
-        now.ids = np.concatenate([kept, ids])
-        now.count, now.first = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-        now.count[old], now.count[new] = last.count[before[old]], count
-        now.first[old] = np.cumsum(now.count[old]) - now.count[old]
-        now.first[new] = len(kept) + first
-        return now
+    def encode_new(self, words: list[str], last: Encoded) -> tuple[Encoded, np.ndarray]:
+        """What is known with the ids of different words, and the number of each word there."""
+        if len(last.number) > self.known_words:
+            last = self._recent(last)
+        now, known = Encoded(), len(last.number)
+        now.number, now.batch = last.number, words
+        place = np.fromiter((last.number.get(w, -1) for w in words), np.int64, len(words))
+        missing = np.flatnonzero(place < 0)
+        place[missing] = known + np.arange(len(missing))
+        new = [words[i] for i in missing.tolist()]
+        ids, first, count = self.encode_words(new)
+        now.number.update(zip(new, range(known, known + len(new))))
+        now.ids = np.concatenate([last.ids, ids])
+        now.first, now.count = np.concatenate([last.first, len(last.ids) + first]), np.concatenate([last.count, count])
+        return now, place
+
+    @staticmethod
+    def _recent(last: Encoded) -> Encoded:
+        """The words of the last batch alone."""
+        kept = Encoded()
+        at = np.fromiter(map(last.number.__getitem__, last.batch), np.int64, len(last.batch))
+        kept.ids, ends = last.of(at)
+        kept.number = {w: i for i, w in enumerate(last.batch)}
+        kept.count, kept.first = last.count[at], ends - last.count[at]
+        return kept
 
     def encode_batches(self, batches: Iterable[pa.Array]) -> Iterator[Iterator[bytes]]:
         """For each batch of texts the ids of each text, in order."""
@@ -221,8 +265,8 @@ class TextEncoder:
             parts = {i: self.words(texts[i].as_py()) for i in np.flatnonzero(odd).tolist()}
             if parts:
                 words = list(dict.fromkeys(chain(words, *parts.values())))
-            last = self.encode_new(words, last)
-            yield self._texts(texts, whole, parts, plain, numbers, offsets, last)
+            last, place = self.encode_new(words, last)
+            yield self._texts(texts, whole, parts, plain, place[numbers], offsets, last)
 
     def _texts(self, texts, whole, parts, plain, numbers, offsets, known: Encoded) -> Iterator[bytes]:
         ready = self._plain(numbers, offsets, known)
