@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagemill.llm.common import text_of, with_row_id
-from passagemill.llm.tokenizing import encoder
+from passagemill.llm.tokenizing import encoder, in_slices
 from passagemill.session import new_path
 
 PIECE = ["doc_id", "start", "length", "doc_tokens", "offset"]
@@ -111,7 +111,7 @@ def cut(docs: DataFrame, options: PackOptions, id_col: str = "doc_id", text: str
     names = ["__row", "doc_id", "start", "length", "doc_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given, texts = itertools.tee(batches)
+        given, texts = itertools.tee(in_slices(batches, 2))
         encoded = encoder(vocabulary).encode_batches(b.column(2) for b in texts)
         for batch, found in zip(given, encoded):
             which, starts, totals, pieces = [], [], [], []

@@ -1,15 +1,18 @@
 """Fast exact encoding of whole texts with the tokenizers library.
 
 Both vocabularies cut a text before merging, and no cut-out piece reaches over
-a single blank between two other characters. So the texts of a batch are taken
-apart there, the library encodes each different word of the batch once, many in
-one call, and the ids of a text are gathered from those of its words. Words stay
-known to the next batches of the task until they are too many; then those of the
-last batch stay. A text that holds the string of an added token goes to the library whole.
+a single blank or a line feed between two other characters, or from a letter to
+marks after it. So the texts of a batch are taken apart there, the library
+encodes each different word of the batch once, many in one call, and the ids of
+a text are gathered from those of its words. Words stay known to the next
+batches of the task until they are too many; then those of the last batch stay.
+Of a vocabulary that lower-cases, so are words that only differ in ASCII case. A
+text that holds the string of an added token goes to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -81,12 +84,16 @@ ODD_SPACE = (
 )
 
 
+# Characters cut off the end of a word, and how the letters before them end.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Encoded:
     """Words and where their ids are, and which words the last batch had."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
-        self.batch: list[str] = []
+        self.words = pa.array([], pa.string())
+        self.batch = np.zeros(0, np.int64)
         self.ids = np.zeros(0, "<u4")
         self.first = self.count = np.zeros(0, np.int64)
 
@@ -98,11 +105,26 @@ class Encoded:
         return self.ids[at], ends
 
 
+def in_slices(batches: Iterable[pa.RecordBatch], column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about ``size`` bytes of a text column, to bound the memory of what is made of them; a longer text is a slice."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at, done = 0, 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+            yield batch.slice(at, stop - at)
+            at, done = stop, int(ends[stop - 1])
+
+
 class TextEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
     Gives what ``tokenizer.encode(text, add_special_tokens=False)`` gives, so
     the string of an added token in a text is that token.
+
+    A word is kept with what is before it: a blank, not shown; line feeds, where
+    the vocabulary has them, also for the first word of a text, whose id of a line
+    feed is left out again; or nothing, shown as a tab, for marks cut off a word.
     """
 
     def __init__(self, vocabulary: str, chunk_chars: int = 1 << 10, slice_words: int = 200_000, known_words: int = 400_000):
@@ -116,11 +138,20 @@ class TextEncoder:
         # Some are looked for in the normalised text.
         self.normal = [tokenizer.normalizer.normalize_str(t.content) for t in added if t.normalized and tokenizer.normalizer is not None]
         self.chunk_chars, self.slice_words, self.known_words = chunk_chars, slice_words, known_words
-        # Tokens that begin with a blank; none where the vocabulary leaves blanks out.
-        self.heads = np.zeros(1 + max(tokenizer.get_vocab().values()), bool)
-        self.heads[[i for token, i in tokenizer.get_vocab().items() if token.startswith(BYTE_LETTERS[0x20])]] = True
-        if self.heads[self.library(" a a")].sum() != 2:
+        known = tokenizer.get_vocab()
+        # Tokens that only a word begins with, as they begin with a blank or a line feed; none where the vocabulary leaves these out.
+        self.heads = np.zeros(1 + max(known.values()), bool)
+        self.heads[[i for token, i in known.items() if token.startswith((BYTE_LETTERS[0x20], BYTE_LETTERS[0x0A]))]] = True
+        if self.heads[self.library("\na a\na")].sum() != 3:
             self.heads[:] = False
+        # Or tokens that only a run of letters, a digit or a run of marks ends with.
+        self.tails = np.zeros(len(self.heads), bool)
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        if suffix and not self.heads.any():
+            self.tails[[i for token, i in known.items() if token.endswith(suffix)]] = True
+        self.line_feed = self.library("\na")[: int(self.heads.any())]  # before the first word
+        shown = json.loads(tokenizer.to_str())["normalizer"] or {}
+        self.lower = any(n["type"] == "Lowercase" for n in shown.get("normalizers", [shown]) if n)
 
     def holding_added(self, texts: pa.Array) -> np.ndarray:
         """Which texts hold the string of an added token."""
@@ -138,9 +169,9 @@ class TextEncoder:
 
     @staticmethod
     def words(text: str) -> list[str]:
-        """A text with odd white space, cut at the blanks that words meet at; they are left out. A line feed marks the first word, which has no blank before it."""
+        """A text with odd white space, cut at the blanks that words meet at."""
         first, *rest = _MEETING.split(text)
-        return ["\n" + first, *(part[1:] for part in rest)]
+        return ["\t" + first, *(part[1:] for part in rest)]
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of different words, and where those of each word begin and how many they are."""
@@ -153,85 +184,87 @@ class TextEncoder:
             found.append(ids)
             size += len(ids)
 
-        def together(chunk: list[int], joint: str) -> None:
-            """Words without white space around them, encoded as one text with ``joint`` before each."""
-            shown = [words[i].lstrip("\n") for i in chunk]
-            # A text does not begin with the line feed between first words.
-            text = joint.join(shown) if joint == "\n" else joint + joint.join(shown)
-            told = self.tokenizer.encode(text, add_special_tokens=False)
-            sizes = np.fromiter(map(len, shown), np.int64, len(shown)) + 1
-            begins = np.cumsum(sizes) - sizes
+        def shown(chunk: list[int]) -> list[str]:
+            """Words with the line feed or blank before them."""
+            return [w if w[:1] == "\n" else " " + w for w in map(words.__getitem__, chunk)]
+
+        def by_place(chunk: list[int]) -> None:
+            """Words without white space around them, encoded as one text; the places of the tokens tell whose they are."""
+            parts = shown(chunk)
+            told = self.tokenizer.encode("".join(parts), add_special_tokens=False)
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
             at = np.fromiter((x for x, _ in told.offsets), np.int64, len(told.ids))
-            ids = np.array(told.ids, "<u4")
-            owner = np.searchsorted(begins, at, "right") - 1
-            if joint == "\n":
-                # The line feeds themselves may be tokens.
-                own = at < begins[owner] + sizes[owner] - 1
-                ids, owner = ids[own], owner[own]
+            owner = np.searchsorted(np.cumsum(sizes) - sizes, at, "right") - 1
             counts = np.bincount(owner, minlength=len(chunk))
             count[chunk] = counts
             first[chunk] = size + np.cumsum(counts) - counts
-            add(ids)
-
-        def blanks_before(waiting: list[list[int]]) -> None:
-            """Chunks of words with a blank before each. The words hold no other, so as many heads as words tell where each begins."""
-            if not self.heads.any():
-                for chunk in waiting:
-                    together(chunk, " ")
-                waiting.clear()
-                return
-            texts = [" " + " ".join([words[i] for i in chunk]) for chunk in waiting]
+            add(np.array(told.ids, "<u4"))
+
+        def by_token(waiting: list[list[int]]) -> None:
+            """Chunks of words that have a head or tail each, at least; if there are no more, these tell where each word begins."""
+            texts = ["".join(shown(chunk)) for chunk in waiting]
             for chunk, told in zip(waiting, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
                 ids = np.array(told.ids, "<u4")
-                heads = np.flatnonzero(self.heads[ids])
-                if len(heads) != len(chunk) or heads[0]:
-                    # The normalised text has other blanks.
-                    together(chunk, " ")
+                if self.tails.any():
+                    begins = np.flatnonzero(self.tails[ids]) + 1
+                    good = len(begins) == len(chunk) and begins[-1] == len(ids)
+                    begins = np.append(0, begins[:-1])
+                else:
+                    begins = np.flatnonzero(self.heads[ids])
+                    good = len(begins) == len(chunk) and begins[0] == 0
+                if not good:
+                    # The normalised text has other blanks or parts.
+                    by_place(chunk)
                     continue
-                count[chunk], first[chunk] = np.diff(heads, append=len(ids)), size + heads
+                count[chunk], first[chunk] = np.diff(begins, append=len(ids)), size + begins
                 add(ids)
             waiting.clear()
 
+        tails, heads = bool(self.tails.any()), bool(self.heads.any())
         waiting: list[list[int]] = []
-        chunks: dict[str, list[int]] = {" ": [], "\n": []}
-        held = {" ": 0, "\n": 0}
+        simple: list[int] = []
+        other: list[int] = []
+        held = held_other = 0
         for i, word in enumerate(words):
-            joint = "\n" if word[0] == "\n" else " "
-            begin = 1 if joint == "\n" else 0
-            if len(word) == begin or word[begin].isspace() or word[-1].isspace():
-                ids = self.library(word[1:] if begin else " " + word)
+            mark = word[:1]
+            bare = word[1:] if mark == "\n" or mark == "\t" else word
+            if mark == "\t" or not bare or bare[-1].isspace() or (bare[0].isspace() and bare[0] != "\n"):
+                ids = self.library(bare if mark == "\t" else shown([i])[0])
                 count[i], first[i] = len(ids), size
                 add(ids)
-                continue
-            chunks[joint].append(i)
-            held[joint] += len(word) + 1
-            if held[joint] >= self.chunk_chars:
-                if joint == " ":
-                    waiting.append(chunks[joint])
+            elif (heads and bare[0] != "\n") or (tails and bare.isalpha()):
+                simple.append(i)
+                held += len(word) + 1
+                if held >= self.chunk_chars:
+                    waiting.append(simple)
+                    simple, held = [], 0
                     if len(waiting) >= 64:
-                        blanks_before(waiting)
-                else:
-                    together(chunks[joint], joint)
-                chunks[joint], held[joint] = [], 0
-        if chunks[" "]:
-            waiting.append(chunks[" "])
-        blanks_before(waiting)
-        if chunks["\n"]:
-            together(chunks["\n"], "\n")
+                        by_token(waiting)
+            else:
+                other.append(i)
+                held_other += len(word) + 1
+                if held_other >= self.chunk_chars:
+                    by_place(other)
+                    other, held_other = [], 0
+        if simple:
+            waiting.append(simple)
+        if waiting:
+            by_token(waiting)
+        if other:
+            by_place(other)
         return np.concatenate(found) if found else np.zeros(0, "<u4"), first, count
 
-    def encode_new(self, words: list[str], last: Encoded) -> tuple[Encoded, np.ndarray]:
+    def encode_new(self, words: pa.Array, last: Encoded) -> tuple[Encoded, np.ndarray]:
         """What is known with the ids of different words, and the number of each word there."""
-        if len(last.number) > self.known_words:
+        if len(last.words) > self.known_words:
             last = self._recent(last)
-        now, known = Encoded(), len(last.number)
-        now.number, now.batch = last.number, words
-        place = np.fromiter((last.number.get(w, -1) for w in words), np.int64, len(words))
+        now, known = Encoded(), len(last.words)
+        place = pc.fill_null(pc.index_in(words, value_set=last.words), -1).to_numpy().astype(np.int64)
         missing = np.flatnonzero(place < 0)
         place[missing] = known + np.arange(len(missing))
-        new = [words[i] for i in missing.tolist()]
-        ids, first, count = self.encode_words(new)
-        now.number.update(zip(new, range(known, known + len(new))))
+        new = words.take(pa.array(missing))
+        ids, first, count = self.encode_words(new.to_pylist())
+        now.words, now.batch = pa.concat_arrays([last.words, new]), place
         now.ids = np.concatenate([last.ids, ids])
         now.first, now.count = np.concatenate([last.first, len(last.ids) + first]), np.concatenate([last.count, count])
         return now, place
@@ -240,12 +273,55 @@ class TextEncoder:
     def _recent(last: Encoded) -> Encoded:
         """The words of the last batch alone."""
         kept = Encoded()
-        at = np.fromiter(map(last.number.__getitem__, last.batch), np.int64, len(last.batch))
-        kept.ids, ends = last.of(at)
-        kept.number = {w: i for i, w in enumerate(last.batch)}
-        kept.count, kept.first = last.count[at], ends - last.count[at]
+        kept.ids, ends = last.of(last.batch)
+        kept.words = last.words.take(pa.array(last.batch))
+        kept.count = last.count[last.batch]
+        kept.first = ends - kept.count
         return kept
 
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Different words of texts without odd white space, the number of each word in order, and where each text begins.
+
+        Marks after an ASCII or Latin-1 letter or a digit are cut off, since both vocabularies cut there.
+        """
+        if self.lower:
+            # An accent may combine with a small letter only.
+            texts = pc.if_else(pc.match_substring_regex(texts, r"\p{M}"), texts, pc.ascii_lower(texts))
+        if len(self.line_feed):
+            # Line feeds after each other stay together.
+            lines = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
+            for _ in range(2):
+                lines = pc.replace_substring(lines, "\n \n", "\n\n")
+        else:
+            lines = pc.replace_substring(texts, "\n", " ")
+        split = pc.split_pattern(lines, " ")
+        offsets, words = split.offsets.to_numpy().astype(np.int64), split.values
+        if not len(words):
+            return words, np.zeros(0, np.int64), offsets
+        bodies = pc.ascii_rtrim(words, MARKS)
+        begins = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        sizes = pc.binary_length(bodies).to_numpy().astype(np.int64)
+        raw = np.frombuffer(words.buffers()[2], np.uint8)
+        at = begins[:-1] + sizes
+        end, before = raw[np.maximum(at - 1, 0)], raw[np.maximum(at - 2, 0)]
+        low = end | 0x20
+        letter = (low >= 0x61) & (low <= 0x7A) | (end >= 0x30) & (end <= 0x39)
+        letter |= (before == 0xC3) & (end >= 0x80) & (end != 0x97) & (end != 0xB7) & (sizes > 1)
+        marked = letter & (sizes > 0) & (at < begins[1:])
+        coded = pc.if_else(pa.array(marked), bodies, words).dictionary_encode()
+        which = np.flatnonzero(marked)
+        # The marks are where they were, between the end of a word and the next word.
+        places = np.empty(2 * len(which) + 1, np.int32)
+        places[:-1:2], places[1::2], places[-1] = at[which], begins[which + 1], begins[which[-1] + 1] if len(which) else 0
+        every = pa.StringArray.from_buffers(2 * len(which), pa.py_buffer(places), words.buffers()[2])
+        marks = every.take(pa.array(np.arange(0, 2 * len(which), 2))).dictionary_encode()
+        different = pa.concat_arrays([coded.dictionary, pa.array(["\t" + m for m in marks.dictionary.to_pylist()], pa.string())])
+        after = np.concatenate([[0], np.cumsum(marked)])  # marks cut off before a word
+        numbers = np.empty(len(words) + len(which), np.int64)
+        numbers[np.arange(len(words)) + after[:-1]] = coded.indices.to_numpy()
+        numbers[which + 1 + after[which]] = len(coded.dictionary) + marks.indices.to_numpy()
+        return different, numbers, offsets + after[offsets]
+
     def encode_batches(self, batches: Iterable[pa.Array]) -> Iterator[Iterator[bytes]]:
         """For each batch of texts the ids of each text, in order."""
         last = Encoded()
@@ -253,30 +329,25 @@ class TextEncoder:
             whole = self.holding_added(texts)
             odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False) & ~whole
             plain = ~(whole | odd) & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
-            split = pc.split_pattern(texts.filter(pa.array(plain)), " ")
-            offsets = split.offsets.to_numpy()
-            coded = split.values.dictionary_encode()
-            firsts = split.values.take(pa.array(offsets[:-1])).dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            # A text's first word has no blank before it.
-            numbers = coded.indices.to_numpy().astype(np.int64)
-            numbers[offsets[:-1]] = len(words) + firsts.indices.to_numpy()
-            words += ["\n" + w for w in firsts.dictionary.to_pylist()]
+            words, numbers, offsets = self.cut(texts.filter(pa.array(plain)))
             parts = {i: self.words(texts[i].as_py()) for i in np.flatnonzero(odd).tolist()}
-            if parts:
-                words = list(dict.fromkeys(chain(words, *parts.values())))
-            last, place = self.encode_new(words, last)
-            yield self._texts(texts, whole, parts, plain, place[numbers], offsets, last)
+            extra = pa.array(chain.from_iterable(parts.values()), pa.string())
+            coded = pa.concat_arrays([words, extra]).dictionary_encode()
+            last, place = self.encode_new(coded.dictionary, last)
+            place = place[coded.indices.to_numpy()]
+            ends = len(words) + np.cumsum([len(p) for p in parts.values()], dtype=np.int64)
+            own = {i: place[e - len(p) : e] for (i, p), e in zip(parts.items(), ends.tolist())}
+            yield self._texts(texts, whole, own, plain, place[numbers], offsets, last)
 
     def _texts(self, texts, whole, parts, plain, numbers, offsets, known: Encoded) -> Iterator[bytes]:
-        ready = self._plain(numbers, offsets, known)
+        ready, lead = self._plain(numbers, offsets, known), 4 * len(self.line_feed)
         for i in range(len(texts)):
             if plain[i]:
-                yield next(ready)
+                yield next(ready)[lead:]
             elif whole[i]:
                 yield self.library(texts[i].as_py()).tobytes()
             elif i in parts:
-                yield b"".join(self._gathered(np.fromiter(map(known.number.__getitem__, parts[i]), np.int64, len(parts[i])), known))
+                yield b"".join(self._gathered(parts[i], known))
             else:
                 yield b""
 

@@ -29,3 +29,25 @@ def test_words_stay_known_over_a_batch_without_them(monkeypatch):
     for told in encoder.encode_batches(pa.array([t], pa.string()) for t in ("a bb cc", "d ee", "a bb cc")):
         list(told)
     assert len(asked) == len(set(asked))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_marks_and_line_feeds_make_no_new_words(name, monkeypatch):
+    """A word is asked for once, whatever marks or line feeds follow it; ids are the library's."""
+    encoder = TextEncoder(public_tokenizers.path(name))
+    asked = []
+    encode_words = encoder.encode_words
+    monkeypatch.setattr(encoder, "encode_words", lambda words: asked.extend(words) or encode_words(words))
+    texts = ["a one two one, two. jamí", "a one... two!\nthree\n\nfour\n\n\nfive one&&& jamí.", "a"]
+    told = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts)]
+    assert told == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [w for w in asked if "one" in w] == ["one"]
+    assert [w for w in asked if "jam" in w] == ["jamí"]
+
+
+def test_slices_hold_few_bytes():
+    from passagemill.llm.tokenizing import in_slices
+
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["ab", "", None, "cde", "x" * 50, "f"])})
+    found = [s.column(0).to_pylist() for s in in_slices([batch.slice(1), batch.slice(0, 0)], 0, 4)]
+    assert found == [["", None, "cde"], ["x" * 50], ["f"]]
