@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from passagemill.llm.common import prefix_sums, text_of
 from passagemill.llm.files import fresh_file, open_file
-from passagemill.llm.tokenizing import encoder
+from passagemill.llm.tokenizing import encoder, in_slices
 from passagemill.session import materialize, new_path
 
 HEAD = struct.Struct("<4sIIQQ")
@@ -132,7 +132,7 @@ def write_token_files(
                 doc_ids.clear(), ids.clear()
                 waiting = 0
 
-            given, texts = itertools.tee(batches)
+            given, texts = itertools.tee(in_slices(batches, 1))
             for batch, encoded in zip(given, encode_batches(b.column(1) for b in texts)):
                 for doc_id, found in zip(batch.column(0).to_pylist(), encoded):
                     found += end
