@@ -39,10 +39,13 @@ def shielded(docs: DataFrame, *needed: str) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int, label: str) -> tuple[DataFrame, bool]:
-    """The table, written once, as a broadcast if it has at most ``max_rows`` rows."""
+    """The table, written once, as a broadcast if it has at most ``max_rows`` rows.
+
+    A larger one is told to be sorted: its files are so small that Spark would else broadcast it by itself.
+    """
     kept = materialize(df, label)
     small = kept.limit(max_rows + 1).count() <= max_rows
-    return (F.broadcast(kept) if small else kept), small
+    return (F.broadcast(kept) if small else kept.hint("merge")), small
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str, max_rows: int, salts: int = 32) -> DataFrame:
@@ -60,11 +63,14 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str, max_rows
 
 
 def salted(big: DataFrame, small: DataFrame, keys: list[str], how: str, salts: int = 16) -> DataFrame:
-    """The join of :func:`lookup` for a table of any size."""
+    """The join of :func:`lookup` for a table of any size, which is never broadcast."""
+    if salts == 1:
+        return big.join(small.hint("merge"), keys, how)
     rest = [c for c in big.columns if c not in keys]
     dealt = big.withColumn("__salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
     repeated = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")
+    # Spark judges the repeated table by the size of its files, so it would broadcast millions of rows.
+    return dealt.join(repeated.hint("merge"), [*keys, "__salt"], how).drop("__salt")
 
 
 def sized(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:

@@ -50,7 +50,7 @@ class MinHashOptions:
     hashes: int = 2  # in a sub-key
     seed: int = 7
     bucket_keys: int = 2_000_000
-    broadcast_nodes: int = 500_000
+    broadcast_nodes: int = 128_000  # about 20 MB of the driver each, three times while it is sent, and several at a time
     salts: int = 16
     partners: int = 64  # compared with one sent copy of a text
     order_docs: int = 20_000  # whose shingles are counted to put the rare ones first; any order is right
@@ -316,7 +316,7 @@ def all_pairs(texts: DataFrame, options: MinHashOptions) -> DataFrame:
         f"""label_s <> label_l AND (n_s < n_l OR n_s = n_l AND node_s < node_l) AND 100 * n_s >= {percent} * n_l
         AND {100 + percent} * least(n_s - place_s, n_l - place_l) >= {percent} * (n_s + n_l)"""
     )
-    met = small.join(large, ["shingle", "band", "salt"]).filter(fits)
+    met = small.join(large.hint("merge"), ["shingle", "band", "salt"]).filter(fits)
     return met.select(F.least("node_s", "node_l").alias("a"), F.greatest("node_s", "node_l").alias("b")).distinct()
 
 
@@ -446,7 +446,7 @@ def joined(labels: DataFrame, links: DataFrame, options: MinHashOptions) -> Data
         named = beside(named, table, [c], "left", options.broadcast_nodes, options.salts)
     merged = components(named.select(label("a").alias("a"), label("b").alias("b")), options)
     known = labels.select("node", "label").union(
-        merged.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti")
+        beside(merged.select("node", F.col("node").alias("label")), labels.select("node"), ["node"], "left_anti", options.broadcast_nodes, 1)
     )
     roots = merged.select(F.col("node").alias("label"), F.col("label").alias("root"))
     renamed = beside(known, roots, ["label"], "left", options.broadcast_nodes, options.salts)
@@ -467,7 +467,8 @@ def linked(docs: DataFrame, classes: DataFrame, options: MinHashOptions, text: s
         table = labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
         rest = beside(rest, table, [c], "left", options.broadcast_nodes, options.salts)
     same = F.coalesce(F.col("la"), F.col("a")) == F.coalesce(F.col("lb"), F.col("b"))
-    second = confirmed(rest.filter(~same).select("a", "b").join(best, ["a", "b"], "left_anti"), docs, options, text)
+    rest = beside(rest.filter(~same).select("a", "b"), best, ["a", "b"], "left_anti", options.broadcast_nodes, 1)
+    second = confirmed(rest, docs, options, text)
     if not second.isEmpty():
         labels = materialize(joined(labels, second, options), "joined")
     third = missed(members, labels, docs, options, text)
@@ -490,7 +491,8 @@ def groups(docs: DataFrame, options: MinHashOptions | None = None, id_col: str =
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row")
     classes = full.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(sized(classes, rows.count()), "classes").withColumn("node", F.col("first.__row"))
-    firsts = full.select(F.col("__row").alias("node"), "n_shingles", "sub_keys").join(classes.select("node"), "node", "left_semi")
+    firsts = full.select(F.col("__row").alias("node"), "n_shingles", "sub_keys")
+    firsts = beside(firsts, classes.select("node"), ["node"], "left_semi", options.broadcast_nodes, 1)
     labels = materialize(linked(docs, materialize(firsts, "class-sketches"), options, text), "components")
     # The smallest document over all classes of a component.
     limit, salts = options.broadcast_nodes, options.salts
