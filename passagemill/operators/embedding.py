@@ -8,16 +8,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagemill import schemas
 from passagemill.functions import vectors as vec
-from passagemill.functions.text import joined_terms, terms
+from passagemill.functions.text import joined_terms
+from passagemill.session import new_path
+from passagemill.sources.walk import children, qualified, store_of
 
 # Largest token-vector table sent to every executor.
 STATIC_BROADCAST_BYTES = 256 << 20
+# Terms of texts that a task holds while it goes through a larger table, and tokens of that table it reads at a time.
+HELD_TERM_BYTES = 32 << 20
+READ_TOKENS = 1 << 19
 
 
 def embed_hashed(df: DataFrame, text_col: str = "text", dim: int = 64, out: str = "vector") -> DataFrame:
@@ -43,9 +49,9 @@ def embed_static(
     """Mean of the weighted vectors of a text's known tokens.
 
     ``token_vectors(token, weight, vector)``. A table within ``broadcast_bytes``
-    goes to the executors, and texts are embedded where they lie. A larger one
-    is joined by token, after counting tokens per text, so a frequent token
-    costs one row per text.
+    goes to the executors. A larger one is written to the shared folder, and
+    tasks read it there in parts, once for many texts. Either way texts are
+    embedded where they lie, and no text or token is shuffled.
     """
     size = token_vectors.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dim"),
@@ -57,15 +63,36 @@ def embed_static(
         vector = _static_by_lookup(df, text_col, token_vectors)
         with_vector = df.withColumn(out, vector)
     else:
-        with_vector = _static_by_join(df, id_col, text_col, token_vectors, size["dim"], out)
+        with_vector = _static_by_files(df, text_col, token_vectors, size["dim"], out)
     shaped = l2_normalized(F.col(out)) if normalize else F.col(out)
     return with_vector.withColumn(out, shaped.cast("array<float>"))
 
 
-def _static_by_lookup(df: DataFrame, text_col: str, token_vectors: DataFrame) -> Column:
-    table = token_vectors.select(
+def _weighted(token_vectors: DataFrame) -> DataFrame:
+    return token_vectors.select(
         "token", F.transform("vector", lambda x: x.cast("double") * F.col("weight")).alias("vector")
-    ).toArrow()
+    )
+
+
+def _static_terms(text_col: str) -> Column:
+    return joined_terms(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _means(lengths: np.ndarray, ids: np.ndarray, found: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """The mean of the vectors of each text's terms; ``lengths`` terms belong to a text, ``found`` tells those that have an id."""
+    rows, ids = np.repeat(np.arange(len(lengths)), lengths)[found], ids[found]
+    total = np.zeros((len(lengths), vectors.shape[1]))
+    # In slices of rows, to bound the gathered vectors.
+    step = 65536
+    for at in range(0, len(ids), step):
+        r = rows[at : at + step]
+        firsts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        total[r[firsts]] += np.add.reduceat(vectors[ids[at : at + step]], firsts, axis=0)
+    return total / np.maximum(np.bincount(rows, minlength=len(lengths))[:, None], 1)
+
+
+def _static_by_lookup(df: DataFrame, text_col: str, token_vectors: DataFrame) -> Column:
+    table = _weighted(token_vectors).toArrow()
     tokens = table.column("token").combine_chunks()
     matrix = vec.matrix_of(table.column("vector").combine_chunks())
     shared = df.sparkSession.sparkContext.broadcast((tokens, matrix))
@@ -76,44 +103,58 @@ def _static_by_lookup(df: DataFrame, text_col: str, token_vectors: DataFrame) ->
         lengths, flat = vec.term_lists(texts)
         ids = pc.index_in(flat, value_set=known)
         found = ids.is_valid().to_numpy(zero_copy_only=False)
-        rows = np.repeat(np.arange(len(lengths)), lengths)[found]
-        ids = ids.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-        total = np.zeros((len(lengths), vectors.shape[1]))
-        # In slices of rows, to bound the gathered vectors.
-        step = 65536
-        for at in range(0, len(ids), step):
-            r = rows[at : at + step]
-            firsts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            total[r[firsts]] += np.add.reduceat(vectors[ids[at : at + step]], firsts, axis=0)
-        counts = np.bincount(rows, minlength=len(lengths))[:, None]
-        return vec.lists_of(total / np.maximum(counts, 1), pa.float64())
-
-    return average(joined_terms(F.coalesce(F.col(text_col), F.lit(""))))
-
-
-def _static_by_join(
-    df: DataFrame, id_col: str, text_col: str, token_vectors: DataFrame, dim: int, out: str
-) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    counted = (
-        df.select(F.col(id_col), F.explode(terms(F.col(text_col))).alias("token"))
-        .groupBy(id_col, "token")
-        .agg(F.count(F.lit(1)).cast("double").alias("n"))
-    )
-    scaled = token_vectors.select(
-        "token",
-        array_to_vector(F.transform("vector", lambda x: x.cast("double") * F.col("weight"))).alias("v"),
-    )
-    means = (
-        counted.join(scaled, "token")
-        .groupBy(id_col)
-        .agg(vector_to_array(Summarizer.mean(F.col("v"), F.col("n"))).alias(out))
-    )
-    return df.join(means, id_col, "left").withColumn(
-        out, F.coalesce(F.col(out), F.array_repeat(F.lit(0.0), dim))
-    )
+        ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return vec.lists_of(_means(lengths, ids, found, vectors), pa.float64())
+
+    return average(_static_terms(text_col))
+
+
+def _static_by_files(df: DataFrame, text_col: str, token_vectors: DataFrame, dim: int, out: str) -> DataFrame:
+    """A token's first row counts. A task holds the terms of some texts and a part of the table at a time."""
+    spark = df.sparkSession
+    root = qualified(spark, new_path(spark, "token-vectors"))
+    _weighted(token_vectors).write.parquet(root)
+    held_bytes, read_tokens = HELD_TERM_BYTES, READ_TOKENS
+    kept = [c for c in df.columns if c != out]
+    # The terms come last.
+    given = df.select(*kept, _static_terms(text_col).alias("__terms"))
+
+    def table() -> Iterator[tuple[pa.Array, np.ndarray]]:
+        store, inside = store_of(root)
+        for name in sorted(x.path for x in children(store, inside) if x.path.endswith(".parquet")):
+            with store.open_input_file(name) as stream:
+                for part in pq.ParquetFile(stream).iter_batches(read_tokens):
+                    yield part.column(0), vec.matrix_of(part.column(1))
+
+    def embedded(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths, flat = vec.term_lists(pa.concat_arrays([b.column(len(kept)) for b in batches]))
+        coded = flat.dictionary_encode()
+        vectors, known = np.zeros((len(coded.dictionary), dim)), np.zeros(len(coded.dictionary), bool)
+        for tokens, matrix in table() if len(known) else ():
+            at = pc.index_in(coded.dictionary, value_set=tokens)
+            new = at.is_valid().to_numpy(zero_copy_only=False) & ~known
+            vectors[new] = matrix[at.fill_null(0).to_numpy(zero_copy_only=False)[new]]
+            known |= new
+        ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        means, first = _means(lengths, ids, known[ids], vectors), 0
+        for b in batches:
+            mean = vec.lists_of(means[first : first + b.num_rows], pa.float64())
+            first += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], mean], [*kept, out])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += pc.sum(pc.binary_length(batch.column(len(kept)))).as_py() or 0
+            if size >= held_bytes:
+                yield from embedded(held)
+                held, size = [], 0
+        if held:
+            yield from embedded(held)
+
+    fields = [f for f in df.schema.fields if f.name != out]
+    return given.mapInArrow(run, T.StructType([*fields, T.StructField(out, T.ArrayType(T.DoubleType()))]))
 
 
 def embed_with_model(
